@@ -27,10 +27,10 @@ BITS = 20
 #: Documented bound of the fit: labelled rows that the driver sees, as feature ids only.
 MAX_FIT_ROWS = 4_000
 MIN_TEXTS = 3
-MIN_RATIO = 1.0
+MIN_RATIO = 1.5
 SMOOTHING = 1.0
-L2 = 1e-3
-STEPS = 60
+L2 = 3e-3
+STEPS = 100
 BLOCK_CHARS = 1 << 18
 _SPACE = re.compile(r"\s+")
 
