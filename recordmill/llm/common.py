@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but the six ASCII white-space characters.
@@ -38,3 +38,9 @@ def keep_free(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def bound_batches(spark: SparkSession, records: int = 500, size: str = "16m") -> None:
+    """Arrow batches of whole texts: few rows and few bytes each, so that long texts don't fill a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

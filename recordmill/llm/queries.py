@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import bpe, langid, toxicity
-from recordmill.llm.common import fold
+from recordmill.llm import bpe, langid, simhash, toxicity
+from recordmill.llm.common import bound_batches, fold
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -38,9 +39,15 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.components_of(read(spark, sf_dir, "documents"), size=4, radius=4)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
     "op8_language": op8_language,
+    "op10_simhash": op10_simhash,
 }
 ORACLE: dict[str, str] = {}
