@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import bpe, langid, simhash, toxicity
+from recordmill.llm import bpe, langid, secrets, simhash, toxicity, warc
 from recordmill.llm.common import bound_batches, fold
+from recordmill.session import fresh_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -31,6 +32,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to a content-addressed archive and read back."""
+    path = fresh_path(spark, "archive")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.digest_report(spark, path)
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text, by a ledger that starts empty."""
+    return secrets.report(read(spark, sf_dir, "documents"), fresh_path(spark, "ledger"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned from rows outside fold 0 of 5."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -47,7 +60,40 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
+    "op3_warc": op3_warc,
+    "op5_secrets": op5_secrets,
     "op8_language": op8_language,
     "op10_simhash": op10_simhash,
 }
-ORACLE: dict[str, str] = {}
+_SPANS = """(SELECT doc_id, '{kind}' AS kind, {rank} AS rank, n, start, start + n AS stop FROM (
+  SELECT doc_id, unnest(hits) AS hit, unnest(list_transform(hits, lambda x: len(x))) AS n, unnest(parts) AS part,
+    unnest(list_transform(range(1, len(hits) + 1), lambda i: CAST(coalesce(list_sum(list_transform(gaps[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: len(x))), 0) AS BIGINT))) AS start
+  FROM (SELECT doc_id, regexp_extract_all(text, {rx}, 0) AS hits, regexp_extract_all(text, {rx}, {group}) AS parts, string_split_regex(text, {rx}) AS gaps
+        FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) WHERE regexp_matches(text, {rx})))
+ WHERE len(part) >= {least})"""
+
+
+def _secret_sql() -> str:
+    """Positions are the lengths of what stands before a match: the gaps between matches, and the matches."""
+    parts = []
+    for rank, r in enumerate(secrets.RULES):
+        rx = "'" + r.pattern.replace("'", "''") + "'"
+        parts.append(_SPANS.format(kind=r.kind, rank=rank, rx=rx, group=r.group, least=r.at_least))
+    text = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
+    base = "rank < 3"
+    return f"""WITH spans AS ({" UNION ALL ".join("SELECT * FROM " + p for p in parts)}),
+ found AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+   {text} FILTER ({base}) AS base, {text} AS spans FROM spans GROUP BY doc_id)
+ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+ FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id"""
+
+
+ORACLE: dict[str, str] = {
+    "op3_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages),
+ k AS (SELECT body, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY body)
+ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(p.body) AS payload_digest,
+   CASE WHEN keeper IS NULL OR keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+   CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+ FROM p LEFT JOIN k ON p.body = k.body AND n >= 1000""",
+    "op5_secrets": _secret_sql(),
+}
