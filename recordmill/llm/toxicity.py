@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 ORDERS = (3, 4, 5, 6)
 BITS = 20
 #: Documented bound of the fit: labelled rows that the driver sees, as feature ids only.
-MAX_FIT_ROWS = 4_000
+MAX_FIT_ROWS = 3_000
 MIN_TEXTS = 3
 MIN_RATIO = 1.5
 SMOOTHING = 1.0
@@ -83,15 +83,16 @@ def train(rows: list[np.ndarray], labels: np.ndarray, orders: tuple[int, ...] =
     width = 1 << bits
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(width, np.float32), -np.inf, orders, bits)
-    flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     y = labels.astype(np.float64)
-    p, q = (np.bincount(flat[y[row] == k], minlength=width) for k in (1, 0))
+    p, q = np.zeros(width, np.int32), np.zeros(width, np.int32)
+    for ids, label in zip(rows, labels.tolist(), strict=True):  # ids are distinct within a row
+        (p if label > 0 else q)[ids] += 1
     r = np.log((p + SMOOTHING) / (y.sum() + 2 * SMOOTHING)) - np.log((q + SMOOTHING) / ((1 - y).sum() + 2 * SMOOTHING))
     kept = np.flatnonzero((p + q >= MIN_TEXTS) & (np.abs(r) >= MIN_RATIO))
-    at = np.full(width, -1)
+    at = np.full(width, -1, np.int32)
     at[kept] = np.arange(len(kept))
-    feature = at[flat]
-    row, feature = row[feature >= 0], feature[feature >= 0]
+    used = [at[ids][at[ids] >= 0] for ids in rows]
+    feature, row = np.concatenate(used), np.repeat(np.arange(len(rows)), [len(u) for u in used])
     value = r[kept][feature]
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     w = np.zeros(len(kept) + 1)  # the last is the intercept
@@ -130,11 +131,12 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     """Learns from the texts of docs that labels marks 0 or 1."""
     sample = fit_sample(labels, label_col, id_col, max_rows)  # bounded by max_rows, so it may be broadcast
     joined = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(sample), id_col)
-    rows = joined.select("y", features(F.col(text_col)).alias("x")).toArrow()
-    x = rows.column("x").combine_chunks()
-    x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
-    flat, offsets = x.values.to_numpy(), x.offsets.to_numpy()
-    return train([flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False)], rows.column("y").to_numpy())
+    table = joined.select("y", features(F.col(text_col)).alias("x")).toArrow()
+    rows: list[np.ndarray] = []
+    for chunk in table.column("x").chunks:
+        flat, offsets = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        rows += [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return train(rows, table.column("y").to_numpy())
 
 
 def score(text: Column, model: Model, spark: SparkSession) -> Column:
