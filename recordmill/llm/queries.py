@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import bpe, langid, secrets, simhash, toxicity, warc
+from recordmill.llm import bpe, htmltext, langid, nearest, secrets, simhash, toxicity, warc
 from recordmill.llm.common import bound_batches, fold
 from recordmill.session import fresh_path
 
@@ -44,6 +44,17 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents"), fresh_path(spark, "ledger"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors to every hundredth."""
+    table = read(spark, sf_dir, "embeddings")
+    return nearest.search(table, table.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, with weights from the pages whose markup declares their content."""
+    return htmltext.main_text(spark, read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned from rows outside fold 0 of 5."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -62,6 +73,8 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op5_secrets": op5_secrets,
+    "op6_nearest": op6_nearest,
+    "op7_html": op7_html,
     "op8_language": op8_language,
     "op10_simhash": op10_simhash,
 }
