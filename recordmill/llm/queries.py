@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import bpe, htmltext, langid, nearest, secrets, simhash, toxicity, warc
+from recordmill.llm import bpe, decontaminate, htmltext, langid, nearest, secrets, simhash, toxicity, warc
 from recordmill.llm.common import bound_batches, fold
 from recordmill.session import fresh_path
 
@@ -39,6 +39,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest_report(spark, path)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds."""
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text, by a ledger that starts empty."""
     return secrets.report(read(spark, sf_dir, "documents"), fresh_path(spark, "ledger"))
@@ -72,6 +77,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
+    "op4_decontaminate": op4_decontaminate,
     "op5_secrets": op5_secrets,
     "op6_nearest": op6_nearest,
     "op7_html": op7_html,
