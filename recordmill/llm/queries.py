@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import bpe, decontaminate, htmltext, langid, nearest, secrets, simhash, toxicity, warc
+from recordmill.llm import bpe, decontaminate, htmltext, langid, nearest, ngram, secrets, simhash, toxicity, warc
 from recordmill.llm.common import bound_batches, fold
 from recordmill.session import fresh_path
 
@@ -68,6 +68,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text under an interpolated pair model, learned from rows outside fold 0 of 10."""
+    return ngram.scores(read(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.components_of(read(spark, sf_dir, "documents"), size=4, radius=4)
@@ -82,6 +87,7 @@ QUERIES = {
     "op6_nearest": op6_nearest,
     "op7_html": op7_html,
     "op8_language": op8_language,
+    "op9_lm": op9_lm,
     "op10_simhash": op10_simhash,
 }
 _SPANS = """(SELECT doc_id, '{kind}' AS kind, {rank} AS rank, n, start, start + n AS stop FROM (
