@@ -85,12 +85,17 @@ def tokenize(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "tex
     return docs.withColumn(ids_col, encode(F.col(text_col), rank_bytes, pattern)).withColumn(bytes_col, decode(F.col(ids_col), rank_bytes, pattern))
 
 
-def digests(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs."""
-    done = tokenize(docs.select("doc_id", text_col), rank_path, pattern, text_col)
+def digest_columns(done: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and more columns of what tokenize returns."""
     return done.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        *more,
     )
+
+
+def digests(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """The digest columns of every row of docs."""
+    return digest_columns(tokenize(docs.select("doc_id", text_col), rank_path, pattern, text_col))

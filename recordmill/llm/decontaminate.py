@@ -24,7 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ENTRY_WORDS = 48
@@ -182,18 +183,21 @@ def matches(index: Index, text: str | None, entry_words: int = ENTRY_WORDS) -> d
     return {index.items[i][0]: (best[i] * THRESHOLD, *overlaps[i]) for i in best}
 
 
+def _indexes(docs: DataFrame, benchmark: DataFrame, question_col: str, answer_col: str | None, item_col: str, item_block: int) -> Iterator:
+    """Broadcast indexes, each of a block of about item_block items; all documents meet every one."""
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(question_col).alias("q"), (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("a"))
+    blocks = max(1, -(-items.count() // item_block))
+    for k in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "q"), F.lit(blocks)) == k)
+        yield docs.sparkSession.sparkContext.broadcast(build([(r["item"], r["q"], r["a"]) for r in part.orderBy("item", "q").collect()]))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", question_col: str = "text", answer_col: str | None = None, item_col: str = "item_id", item_block: int = ITEM_BLOCK) -> DataFrame:
     """(id_col, item_id, score, question_overlap, answer_overlap) of every document and item that match. score is the
     best passage's BM25 over the item entry's own."""
-    spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(question_col).alias("q"), (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("a"))
-    total = items.count()
     result = None
-    blocks = max(1, -(-total // item_block))
-    for k in range(blocks):  # each block is of bounded size; all documents meet every block
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "q"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast(build([(r["item"], r["q"], r["a"]) for r in part.orderBy("item", "q").collect()]))
+    for shared in _indexes(docs, benchmark, question_col, answer_col, item_col, item_block):
 
         def searched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -204,3 +208,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(searched, schema)
         result = found if result is None else result.unionByName(found)
     return result
+
+
+def holds_item(text: Column, index: Broadcast) -> Column:
+    """Whether a text holds an item of a broadcast index."""
+
+    @F.arrow_udf("boolean")
+    def holds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([bool(matches(index.value, x)) for x in batch.to_pylist()], pa.bool_())
+
+    return holds(text)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", question_col: str = "text", answer_col: str | None = None, item_col: str = "item_id", item_block: int = ITEM_BLOCK) -> DataFrame:
+    """docs without the rows whose text holds an item."""
+    for index in _indexes(docs, benchmark, question_col, answer_col, item_col, item_block):
+        docs = docs.where(~holds_item(F.col(text_col), index))
+    return docs
