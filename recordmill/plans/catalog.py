@@ -2,11 +2,121 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recordmill.functions import text as T
+from recordmill.operators import merge, review, risk, sentences, similarity
+from recordmill.plans import sql as S
+from recordmill.plans.records import from_documents, with_key, with_tokens
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+def query(oracle: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return register
+
+
+# Normal forms, keys and sizes
+
+
+@query(f"WITH {S.RECORDS}, {S.TOKENS} SELECT r.record_order, normalized_text, coalesce(string_agg(token, ' ' ORDER BY pos), '') AS tokens, count(token) AS n_tokens FROM records r LEFT JOIN tokens t ON r.record_order = t.record_order GROUP BY ALL")
+def normalized_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = with_tokens(from_documents(spark, sf_dir))
+    return r.select("record_order", "normalized_text", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").cast("long").alias("n_tokens"))
+
+
+@query(f"""WITH {S.RECORDS} SELECT record_order, list_reduce([CAST(5381 AS BIGINT)] || list_transform(list_filter(string_split(name || '|' || class_name || '|' || subject || '|' || normalized_text, ''), lambda c: c <> ''), lambda c: CAST(ord(c) AS BIGINT)), lambda h, c: (h * 33 + c) % 4294967296) AS key_number FROM records""")
+def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = with_key(from_documents(spark, sf_dir))
+    return r.select("record_order", F.conv(F.upper("check_key"), 36, 10).cast("long").alias("key_number"))
+
+
+@query(f"""WITH {S.RECORDS}, b AS (SELECT record_order, strlen(regexp_replace(text, '^[^:]{{1,30}}:{S.SPACE}*', '')) AS body_bytes FROM records) SELECT record_order, CAST(body_bytes AS BIGINT) AS body_bytes, body_bytes > 1620 AS over_limit FROM b""")
+def body_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = from_documents(spark, sf_dir)
+    size = T.body_bytes(F.col("text"), F.col("record_type"))
+    return r.select("record_order", size.alias("body_bytes"), (size > T.BYTE_LIMIT + T.BYTE_MARGIN).alias("over_limit"))
+
+
+# Similarity
+
+
+@query(f"WITH {S.RECORDS}, {S.GROUPS} SELECT record_order, group_size, partner AS exact_partner FROM groups")
+def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.exact_groups(from_documents(spark, sf_dir)).select("record_order", "group_size", "exact_partner")
+
+
+@query(f"WITH {S.RECORDS}, {S.TOKENS}, {S.GROUPS}, {S.BEST} SELECT record_order, match_order, round(similarity, 9) AS similarity FROM best")
+def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = similarity.best_partners(with_tokens(from_documents(spark, sf_dir)))
+    return best.select("record_order", "match_order", F.round("similarity", 9).alias("similarity"))
+
+
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.matched(with_tokens(from_documents(spark, sf_dir)))
+
+
+MATCHED = f"""WITH {S.RECORDS}, {S.TOKENS}, {S.GROUPS}, {S.BEST}, matched AS (SELECT r.*, g.group_size, coalesce(g.partner, b.match_order) AS match_order, CASE WHEN g.partner IS NOT NULL THEN 1.0 ELSE coalesce(b.similarity, 0.0) END AS similarity
+ FROM records r JOIN groups g ON r.record_order = g.record_order LEFT JOIN best b ON b.record_order = r.record_order)"""
+
+
+@query(MATCHED + ", keys AS (SELECT m.record_order, t.token, t.pos FROM matched m JOIN tokens t ON t.record_order = m.record_order JOIN tokens o ON o.record_order = m.match_order AND o.token = t.token WHERE length(t.token) > 1), ranked AS (SELECT *, row_number() OVER (PARTITION BY record_order ORDER BY pos) AS rn FROM keys) SELECT record_order, coalesce(string_agg(token, ' ' ORDER BY pos) FILTER (rn <= 18), '') AS keywords, count(*) AS n_keywords FROM ranked GROUP BY 1")
+def shared_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = matched(spark, sf_dir).where("match_order IS NOT NULL")
+    first, count = similarity.shared_keywords(F.col("tokens"), T.tokens(T.normalize(F.col("match_text"))))
+    return m.select("record_order", F.array_join(first, " ").alias("keywords"), count.cast("long").alias("n_keywords")).where("n_keywords > 0")
+
+
+# Sentences
+
+
+@query(f"WITH {S.RECORDS}, {S.SENTENCES} SELECT record_order, count(*) AS n_sentences, sum(length(sentence)) AS n_chars FROM sentences GROUP BY 1")
+def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sentences.exploded(from_documents(spark, sf_dir))
+    return s.groupBy("record_order").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(F.length("sentence")).alias("n_chars"))
+
+
+@query(f"WITH {S.RECORDS}, {S.SENTENCES} SELECT norm, count(DISTINCT record_order) AS n_records FROM sentences WHERE length(norm) >= 8 GROUP BY 1 HAVING count(DISTINCT record_order) >= 2")
+def sentence_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.reuse(from_documents(spark, sf_dir)).where("n_records >= 2")
+
+
+@query(f"""WITH {S.RECORDS}, {S.SENTENCES}, used AS (SELECT norm, count(DISTINCT record_order) AS n_records FROM sentences WHERE length(norm) >= 8 GROUP BY 1 HAVING count(DISTINCT record_order) >= 2),
+ own AS (SELECT record_order, norm, min("at") AS "at", arg_min(sentence, "at") AS sentence FROM sentences GROUP BY ALL), ranked AS (SELECT record_order, row_number() OVER (PARTITION BY record_order ORDER BY n_records DESC, "at") AS rank, sentence, n_records FROM own JOIN used USING (norm))
+ SELECT record_order, CAST(rank AS INTEGER) AS rank, {S.trim("sentence")} AS sentence, n_records FROM ranked WHERE rank <= 8""")
+def reused_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.reused_top(from_documents(spark, sf_dir))
+
+
+ALIGNED = MATCHED + f""", {S.SENTENCES}, words AS (SELECT record_order, "at", list_distinct(list_filter(string_split(norm, ' '), lambda t: length(t) > 1)) AS w FROM sentences),
+ pairs AS (SELECT a.record_order, a."at", a.sentence, b."at" AS bat, b.sentence AS bs, length(a.norm) >= 8 AND a.norm = b.norm AS exact, len(list_intersect(wa.w, wb.w)) AS k, len(wa.w) + len(wb.w) AS n
+   FROM matched m JOIN sentences a ON a.record_order = m.record_order JOIN words wa ON wa.record_order = a.record_order AND wa."at" = a."at" JOIN sentences b ON b.record_order = m.match_order JOIN words wb ON wb.record_order = b.record_order AND wb."at" = b."at" WHERE m.match_order IS NOT NULL),
+ scored2 AS (SELECT *, CASE WHEN exact THEN 1.0 WHEN n - k > 0 THEN k / (n - k) ELSE 0 END AS score FROM pairs), ranked AS (SELECT *, row_number() OVER (PARTITION BY record_order, "at" ORDER BY exact DESC, score DESC, bat) AS rn FROM scored2)
+ """
+
+
+@query(ALIGNED + "SELECT record_order, CAST(\"at\" AS INTEGER) AS \"at\", CASE WHEN exact THEN 'exact' WHEN score >= 0.5 AND k >= 3 THEN 'similar' ELSE 'none' END AS level, round(score, 9) AS score, CAST(CASE WHEN score > 0 THEN bat ELSE -1 END AS INTEGER) AS match_at FROM ranked WHERE rn = 1")
+def sentence_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = sentences.align(matched(spark, sf_dir).where("match_order IS NOT NULL"))
+    return a.select("record_order", "at", "level", F.round("score", 9).alias("score"), "match_at")
+
+
+@query(ALIGNED + "SELECT record_order, count(*) FILTER (exact) AS exact_sentences FROM ranked WHERE rn = 1 GROUP BY 1")
+def exact_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.exact_count(sentences.align(matched(spark, sf_dir).where("match_order IS NOT NULL")))
+
+
+@query()
+def word_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = sentences.differences(sentences.align(matched(spark, sf_dir).where("match_order IS NOT NULL")))
+    return d.select("record_order", "at", F.to_json("runs").alias("runs"))
