@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordmill.functions import rulebook
 from recordmill.functions import text as T
-from recordmill.operators import merge, review, risk, sentences, similarity
+from recordmill.operators import inspect, merge, review, risk, sentences, similarity
 from recordmill.plans import sql as S
-from recordmill.plans.records import from_documents, with_key, with_tokens
+from recordmill.plans.records import from_documents, hangul, with_key, with_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -120,3 +121,58 @@ def exact_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sentences.differences(sentences.align(matched(spark, sf_dir).where("match_order IS NOT NULL")))
     return d.select("record_order", "at", F.to_json("runs").alias("runs"))
+
+
+# Rule audit. SQL has neither lookaround nor back-references: those conditions are spelled out there.
+
+
+def found_sql(records: str, label: str, pattern: str, keep: str = "true", text: str = "text") -> str:
+    """SQL for all matches of a pattern in a records table: (record_order, label, match, start)."""
+    rx = pattern.replace("'", "''")
+    return f"""(SELECT record_order, '{label}' AS label, hit AS match, CAST(start AS INTEGER) AS start FROM (SELECT record_order, text, unnest(hits) AS hit, unnest(list_transform(range(1, len(hits) + 1), lambda i: coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))) AS start
+   FROM (SELECT record_order, {text} AS text, regexp_extract_all({text}, '{rx}') AS hits, string_split_regex({text}, '{rx}') AS gaps FROM {records} WHERE regexp_matches({text}, '{rx}'))) WHERE {keep})"""
+
+
+@query(f"WITH {S.RECORDS} SELECT record_order, label, match, start FROM {found_sql('records', '문장부호 반복', r'\.\.+|,,+|!!+|\?\?+')}")
+def issues_repeated_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = tuple(r for r in rulebook.RULES if r.label == "문장부호 반복")
+    return inspect.scan(from_documents(spark, sf_dir), rules).select("record_order", "label", "match", "start")
+
+
+@query(f"WITH {S.RECORDS} SELECT record_order, label, match, start FROM {found_sql('records', '문장 띄어쓰기', r'[.!?]', "regexp_matches(substr(text, CAST(start AS BIGINT) + 2, 1), '^[가-힣A-Za-z]')")}")
+def issues_missing_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = tuple(r for r in rulebook.RULES if r.label == "문장 띄어쓰기")
+    return inspect.scan(from_documents(spark, sf_dir), rules).select("record_order", "label", "match", "start")
+
+
+@query(f"WITH {S.RECORDS} SELECT record_order, label, match, start FROM {found_sql('records', '특수기호', rulebook.SYMBOLS)}")
+def issues_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.scan(from_documents(spark, sf_dir), rulebook.SYMBOL).select("record_order", "label", "match", "start")
+
+
+@query(f"WITH {S.RECORDS}, found AS (SELECT * FROM {found_sql('records', '따옴표 모양', '[‘’“”]')} UNION ALL SELECT * FROM {found_sql('records', '문장부호 반복', r'\.\.+|,,+|!!+|\?\?+')}), ranked AS (SELECT *, row_number() OVER (PARTITION BY record_order ORDER BY start, label, match) AS rn FROM (SELECT DISTINCT * FROM found)) SELECT record_order, label, match, start FROM ranked WHERE rn <= 10")
+def issue_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = tuple(r for r in rulebook.RULES if r.label in ("따옴표 모양", "문장부호 반복"))
+    return inspect.capped(inspect.scan(from_documents(spark, sf_dir), rules)).select("record_order", "label", "match", "start")
+
+
+@query(f"""WITH {S.RECORDS} SELECT record_order, '분량 초과' AS label, strlen(regexp_replace(text, '^[^:]{{1,30}}:{S.SPACE}*', '')) AS n_bytes FROM records WHERE strlen(regexp_replace(text, '^[^:]{{1,30}}:{S.SPACE}*', '')) > 1620""")
+def length_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = from_documents(spark, sf_dir)
+    over = inspect.overflows(r).select("record_order", "label")
+    return over.join(r.select("record_order", T.body_bytes(F.col("text"), F.col("record_type")).alias("n_bytes")), "record_order")
+
+
+@query()
+def issues_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.inspect(from_documents(spark, sf_dir))
+
+
+@query()
+def issues_hangul(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.inspect(hangul(from_documents(spark, sf_dir)))
+
+
+@query()
+def issue_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.spans(inspect.inspect(from_documents(spark, sf_dir)))
