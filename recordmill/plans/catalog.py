@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from recordmill.functions import rulebook
 from recordmill.functions import text as T
-from recordmill.operators import inspect, merge, review, risk, sentences, similarity
+from recordmill.operators import inspect, merge, review, risk, sentences, similarity, spelling
+from recordmill.plans import audit
 from recordmill.plans import sql as S
-from recordmill.plans.records import from_documents, hangul, with_key, with_tokens
+from recordmill.plans.records import HANGUL, from_documents, hangul, with_key, with_tokens
+from recordmill.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -176,3 +178,164 @@ def issues_hangul(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def issue_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.spans(inspect.inspect(from_documents(spark, sf_dir)))
+
+
+# Risk, review and export, over matches and the issues of one rule that SQL can find too
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = tuple(r for r in rulebook.RULES if r.label == "문장부호 반복")
+    r = with_key(with_tokens(from_documents(spark, sf_dir)))
+    return audit.classify(similarity.matched(r), inspect.scan(r, rules))
+
+
+CLASSIFIED = MATCHED + f""", issues AS (SELECT * FROM {found_sql('records', '문장부호 반복', r'\.\.+|,,+|!!+|\?\?+')}), issue_counts AS (SELECT record_order, count(*) AS n_issues FROM issues GROUP BY 1),
+ classified AS (SELECT m.*, coalesce(n_issues, 0) AS n_issues, CASE WHEN group_size > 1 OR similarity >= 0.9995 THEN 'exact' WHEN similarity >= 0.65 THEN 'high' WHEN n_issues > 0 OR similarity >= 0.45 THEN 'review' ELSE 'normal' END AS status
+   FROM matched m LEFT JOIN issue_counts i ON i.record_order = m.record_order) """
+
+
+@query(CLASSIFIED + "SELECT record_order, status, n_issues, match_order, round(similarity, 9) AS similarity FROM classified")
+def risk_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(spark, sf_dir).select("record_order", "status", "n_issues", "match_order", F.round("similarity", 9).alias("similarity"))
+
+
+@query(CLASSIFIED + "SELECT *, round(exact / greatest(total, 1), 9) AS exact_share, round(high / greatest(total, 1), 9) AS high_share, round(review / greatest(total, 1), 9) AS review_share, round(normal / greatest(total, 1), 9) AS normal_share FROM (SELECT count(*) AS total, count(*) FILTER (status = 'exact') AS exact, count(*) FILTER (status = 'high') AS high, count(*) FILTER (status = 'review') AS review, count(*) FILTER (status = 'normal') AS normal, count(*) FILTER (status <> 'normal') AS flagged FROM classified)")
+def risk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = risk.counts(classified(spark, sf_dir))
+    return c.select(*[F.round(x, 9).alias(x) if x.endswith("_share") else x for x in c.columns])
+
+
+@query(CLASSIFIED + "SELECT subject, count(*) AS total, count(*) FILTER (status = 'exact') AS exact, count(*) FILTER (status = 'high') AS high, count(*) FILTER (status = 'review') AS review FROM classified GROUP BY 1")
+def subject_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.ordered_summary(risk.subject_summary(classified(spark, sf_dir)))
+
+
+@query(f"WITH {S.RECORDS} SELECT subject, count(*) FILTER (grade = 'g1') AS g1, count(*) FILTER (grade = 'g2') AS g2, count(*) FILTER (grade = 'g3') AS g3 FROM records GROUP BY 1")
+def grade_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.grade_crosstab(from_documents(spark, sf_dir), ["g1", "g2", "g3"])
+
+
+@query(CLASSIFIED + "SELECT subject, flagged, total, round(flagged / total, 9) AS share FROM (SELECT subject, count(*) FILTER (status <> 'normal') AS flagged, count(*) AS total FROM classified GROUP BY 1) ORDER BY flagged DESC, total DESC, subject LIMIT 5")
+def top_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.top_subjects(classified(spark, sf_dir)).withColumn("share", F.round("share", 9))
+
+
+@query(f"WITH {S.RECORDS}, i AS (SELECT * FROM {found_sql('records', '문장부호 반복', r'\.\.+|,,+|!!+|\?\?+')}) SELECT t.type, CASE WHEN t.type = 'typo' THEN (SELECT count(DISTINCT record_order) FROM i) ELSE 0 END AS n_records FROM (VALUES ('typo'), ('symbol'), ('prohibited'), ('institution'), ('business')) t(type)")
+def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = tuple(r for r in rulebook.RULES if r.label == "문장부호 반복")
+    return risk.by_issue_type(inspect.scan(from_documents(spark, sf_dir), rules))
+
+
+@query(f"WITH {S.RECORDS} SELECT CASE WHEN bool_and(record_type = 'creative') THEN 'creative' WHEN bool_and(record_type = 'subject') THEN 'subject' ELSE 'mixed' END AS mode FROM records")
+def record_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.record_mode(from_documents(spark, sf_dir))
+
+
+@query(f"WITH {S.RECORDS} SELECT DISTINCT class_name FROM records")
+def class_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.filter_values(from_documents(spark, sf_dir), "class_name")
+
+
+ORDER = "CASE status WHEN 'exact' THEN 0 WHEN 'high' THEN 1 WHEN 'review' THEN 2 ELSE 3 END, n_issues DESC, similarity DESC, name, record_order"
+
+
+@query(CLASSIFIED + f"SELECT record_order, status, n_issues FROM classified ORDER BY {ORDER} LIMIT 30 OFFSET 30")
+def review_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.page(classified(spark, sf_dir), "priority", 2).select("record_order", "status", "n_issues")
+
+
+@query(CLASSIFIED + f"SELECT c.record_order, status FROM classified c LEFT JOIN records o ON o.record_order = c.match_order WHERE {S.normalize("concat_ws(' ', c.name, c.class_name, c.subject, c.text, o.name)")} LIKE '%the of%' AND status <> 'normal'")
+def review_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.filtered(classified(spark, sf_dir), term="The, of").where("status <> 'normal'").select("record_order", "status")
+
+
+def marked_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked keys: the records whose number is that of a user with a purchase."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'purchase'").select(F.col("user_id").alias("record_order")).distinct()
+    return with_key(from_documents(spark, sf_dir)).join(users, "record_order", "left_semi").select("check_key")
+
+
+CHECKED = f"WITH {S.RECORDS}, full_key AS (SELECT *, name || '|' || class_name || '|' || subject || '|' || normalized_text AS k FROM records), marked AS (SELECT DISTINCT k FROM full_key WHERE record_order IN (SELECT user_id FROM events WHERE event_type = 'purchase')) "
+
+
+@query(CHECKED + "SELECT record_order FROM full_key WHERE k NOT IN (SELECT k FROM marked)")
+def hide_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.unchecked(with_key(from_documents(spark, sf_dir)), marked_keys(spark, sf_dir)).select("record_order")
+
+
+@query(CHECKED + "SELECT count(*) AS n_checked FROM full_key WHERE k IN (SELECT k FROM marked)")
+def review_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.progress(with_key(from_documents(spark, sf_dir)), marked_keys(spark, sf_dir))
+
+
+@query(f"WITH {S.RECORDS}, i AS (SELECT *, CAST(record_order AS VARCHAR) || '|typo|' || start || '|' || match AS issue_key FROM {found_sql('records', '문장부호 반복', r'\.\.+|,,+|!!+|\?\?+')}), e AS (SELECT DISTINCT issue_key FROM i WHERE start % 3 = 0) SELECT record_order, start, match, issue_key NOT IN (SELECT issue_key FROM e) AS kept FROM i")
+def exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = tuple(r for r in rulebook.RULES if r.label == "문장부호 반복")
+    i = inspect.scan(from_documents(spark, sf_dir), rules)
+    i = i.withColumn("issue_key", T.issue_key(F.col("record_order").cast("string"), F.col("type"), F.col("start"), F.col("match")))
+    kept, out = review.excepted(i, i.where("start % 3 = 0"))
+    return kept.withColumn("kept", F.lit(True)).unionByName(out.withColumn("kept", F.lit(False))).select("record_order", "start", "match", "kept")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, max(ts) AS marked_at FROM events GROUP BY 1 ORDER BY marked_at DESC, key LIMIT 50000")
+def review_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return review.newest(e.select(F.col("user_id").cast("string").alias("key"), F.col("ts").alias("marked_at")))
+
+
+@query(CLASSIFIED + f""", labels AS (SELECT record_order, string_agg(match, ', ' ORDER BY start) AS issue_matches FROM issues GROUP BY 1), sized AS (SELECT *, strlen(regexp_replace(text, '^[^:]{{1,30}}:{S.SPACE}*', '')) AS b FROM classified)
+ SELECT c.record_order, c.name, CAST(c.b AS BIGINT) AS n_bytes, c.b > 1620 AS over_limit, round(c.similarity, 9) AS similarity, coalesce(o.name, '') AS match_name, c.status, CASE WHEN n_issues > 0 THEN '문장부호 반복' ELSE '' END AS issue_labels, coalesce(l.issue_matches, '') AS issue_matches
+ FROM sized c LEFT JOIN records o ON o.record_order = c.match_order LEFT JOIN labels l ON l.record_order = c.record_order""")
+def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = sinks.details(classified(spark, sf_dir))
+    return d.select("record_order", "name", "n_bytes", "over_limit", F.round("similarity", 9).alias("similarity"), "match_name", "status", "issue_labels", "issue_matches")
+
+
+@query()
+def report_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.report_issues(inspect.inspect(from_documents(spark, sf_dir)))
+
+
+# Spelling, over prose in Hangul letters; words of 20 uses or more make the dictionary
+
+
+def _dictionary(words: DataFrame) -> DataFrame:
+    return words.where("n >= 20").select("word")
+
+
+HANGUL_SQL = f"h AS (SELECT record_order, translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '{HANGUL}') AS text FROM records), words AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[가-힣]+')) AS word FROM h) WHERE length(word) >= 2 GROUP BY 1), known AS (SELECT word FROM words WHERE n >= 20)"
+
+
+@query(f"WITH {S.RECORDS}, {HANGUL_SQL} SELECT word, n FROM words")
+def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.frequency(hangul(from_documents(spark, sf_dir)))
+
+
+@query(f"""WITH {S.RECORDS}, {HANGUL_SQL}, rare AS (SELECT word, n FROM words WHERE length(word) >= 3 AND n <= 2 AND word NOT IN (SELECT word FROM known)),
+ regular AS (SELECT DISTINCT r.word FROM rare r JOIN (SELECT unnest(string_split('{" ".join(spelling.STRIPPED)}', ' ')) AS e) x ON suffix(r.word, e) AND length(r.word) - length(e) >= 2 JOIN known k ON k.word = left(r.word, CAST(length(r.word) - length(e) AS BIGINT))),
+ often AS (SELECT word, n FROM words WHERE n >= 10 AND length(word) >= 3 AND word IN (SELECT word FROM known)),
+ a AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM rare WHERE word NOT IN (SELECT word FROM regular))),
+ b AS (SELECT word AS near, n AS near_n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM often)),
+ pairs AS (SELECT word, near, near_n, a.i, ord(substr(word, a.i, 1)) - 44032 AS x, ord(substr(near, a.i, 1)) - 44032 AS y FROM a JOIN b ON a.i = b.i AND a.rest = b.rest WHERE left(word, 1) = left(near, 1) AND word <> near),
+ good AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, i, near) AS rn FROM pairs WHERE CAST(x // 588 <> y // 588 AS INTEGER) + CAST((x % 588) // 28 <> (y % 588) // 28 AS INTEGER) + CAST(x % 28 <> y % 28 AS INTEGER) = 1 AND NOT (i = length(word) AND contains('{spelling.PRODUCTIVE}', right(word, 1))))
+ SELECT word, near AS suggestion FROM good WHERE rn = 1""")
+def spelling_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.frequency(hangul(from_documents(spark, sf_dir)))
+    return spelling.verdicts(words, _dictionary(words)).where("explanation = 'neighbour'").select("word", "suggestion")
+
+
+@query()
+def spelling_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = hangul(from_documents(spark, sf_dir))
+    return spelling.suspects(r, _dictionary(spelling.frequency(r)))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document audited: issues, best match, risk, and the summary by subject."""
+    records, _ = audit.audit(with_key(with_tokens(from_documents(spark, sf_dir))))
+    return risk.ordered_summary(risk.subject_summary(records))
+
+
+@query()
+def full_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir)
