@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from recordmill.functions import rulebook
 from recordmill.functions import text as T
-from recordmill.operators import inspect, merge, review, risk, sentences, similarity, spelling
+from recordmill.operators import inspect, merge, review, risk, segment, sentences, similarity, spelling
+from recordmill.operators import lines as lines_op
 from recordmill.plans import audit
 from recordmill.plans import sql as S
-from recordmill.plans.records import HANGUL, from_documents, hangul, with_key, with_tokens
-from recordmill.sources import sinks
+from recordmill.plans.records import HANGUL, cell_rows, from_documents, hangul, lines, packed_cells, with_key, with_tokens
+from recordmill.sources import layouts, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -339,3 +340,55 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def full_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship(spark, sf_dir)
+
+
+# Rows to records
+
+
+@query(f"""WITH c AS (SELECT conv_id, role, turn, coalesce(text, '') AS chunk FROM conversations), l AS (SELECT conv_id, role, min(turn) AS turn, list(chunk ORDER BY turn, chunk) AS chunks FROM c GROUP BY ALL)
+ SELECT conv_id, role, turn, list_reduce(chunks, lambda a, b: CASE WHEN contains(regexp_replace(a, '{S.SPACE}+', '', 'g'), regexp_replace(b, '{S.SPACE}+', '', 'g')) THEN a ELSE {S.trim("a || ' ' || b")} END) AS chunk FROM l""")
+def merge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("chunk", F.coalesce("text", F.lit("")))
+    return merge.merge(turns, ["conv_id", "role"], "turn").select("conv_id", "role", "turn", "chunk")
+
+
+CELLS = """c AS (SELECT 'f' || (conv_id % 7) AS source_file, conv_id * 1000 + turn + 10 AS source_row, CASE WHEN turn = 0 THEN CAST(conv_id % 40 AS VARCHAR) END AS number, CASE WHEN turn % 2 = 0 THEN 'n' || (conv_id % 5) END AS name,
+  CASE WHEN turn % 3 = 0 THEN (conv_id % 3 + 1) || '학년' END AS grade, coalesce(text, '') AS detail FROM conversations WHERE coalesce(text, '') <> '')"""
+
+
+@query(f"""WITH {CELLS}, n AS (SELECT *, last_value(name IGNORE NULLS) OVER w AS who, last_value(number IGNORE NULLS) OVER w AS num FROM c WINDOW w AS (PARTITION BY source_file ORDER BY source_row ROWS UNBOUNDED PRECEDING)),
+ p AS (SELECT *, CASE WHEN who IS NOT NULL AND who IS DISTINCT FROM lag(who) OVER (PARTITION BY source_file ORDER BY source_row) THEN 1 ELSE 0 END AS changed FROM n), g AS (SELECT *, sum(changed) OVER (PARTITION BY source_file ORDER BY source_row ROWS UNBOUNDED PRECEDING) AS person FROM p)
+ SELECT source_file, source_row, who AS name, coalesce(num, '') AS number, coalesce(last_value(grade IGNORE NULLS) OVER (PARTITION BY source_file, person ORDER BY source_row ROWS UNBOUNDED PRECEDING), '') AS grade FROM g WHERE who IS NOT NULL""")
+def fill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cell_rows(spark, sf_dir).where("source_row > 9")
+    return layouts.class_rows(rows).select("source_file", "source_row", "name", "number", "grade")
+
+
+@query("SELECT DISTINCT 'f' || (conv_id % 7) AS source_file, CASE conv_id % 7 WHEN 1 THEN 'creative' WHEN 2 THEN 'subject' WHEN 3 THEN 'generic' ELSE 'class' END AS layout FROM conversations")
+def layout_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layouts.layouts(cell_rows(spark, sf_dir))
+
+
+@query()
+def layout_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layouts.records(cell_rows(spark, sf_dir)).select(*layouts.RECORD)
+
+
+@query()
+def subject_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.names(packed_cells(spark, sf_dir))
+
+
+@query()
+def split_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.split(packed_cells(spark, sf_dir)).select("source_file", "source_row", "pos", "name", "part")
+
+
+@query("WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents WHERE doc_id % 4 <> 0) SELECT 'f' || (doc_id % 7) AS source_file, doc_id AS person, list_reduce(ls, lambda a, b: CASE WHEN a = '' THEN b WHEN regexp_matches(a, '[.!?,]$') THEN a || ' ' || b ELSE a || b END) AS text FROM l")
+def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_op.joined(lines_op.section_lines(lines(spark, sf_dir)))
+
+
+@query()
+def resplit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.resplit_records(from_documents(spark, sf_dir)).select("record_order", "piece", "subject", "text")

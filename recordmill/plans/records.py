@@ -40,3 +40,34 @@ HANGUL = "가나다라마바사아자차카타파하거너더러머버서어저
 def hangul(records: DataFrame) -> DataFrame:
     """records whose text has a Hangul syllable for each letter."""
     return records.withColumn("text", F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", HANGUL))
+
+
+def packed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as one packed cell: 'role: text' of its turns in order; files hold conversations by number."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    said = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")))
+    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn"), said.alias("said")))).alias("t"))
+    return listed.select(F.concat(F.lit("f"), (F.col("conv_id") % 7).cast("string")).alias("source_file"), F.col("conv_id").alias("source_row"), F.concat_ws(" ", F.transform("t", lambda s: s["said"])).alias("text"))
+
+
+def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as rows of sheets in the class-wise layout, with the header that its file's number gives: number, name and
+    grade stand in some rows only."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    file = F.concat(F.lit("f"), (F.col("conv_id") % 7).cast("string"))
+    when = lambda test, value: F.when(test, value).otherwise("")
+    rows = turns.select(
+        file.alias("source_file"), F.lit("Sheet1").alias("sheet_name"), (F.col("conv_id") * 1000 + F.col("turn") + 10).alias("source_row"),
+        F.array(when(F.col("turn") == 0, (F.col("conv_id") % 40).cast("string")), when(F.col("turn") % 2 == 0, F.concat(F.lit("n"), (F.col("conv_id") % 5).cast("string"))), when(F.col("turn") % 3 == 0, (F.col("conv_id") % 3 + 1).cast("string")), F.coalesce("text", F.lit("")), F.lit(""), F.lit("")).alias("cells"),
+    )
+    files = turns.select(file.alias("source_file"), (F.col("conv_id") % 7).alias("k")).distinct()
+    heads = F.when(F.col("k") == 1, F.array(*map(F.lit, ["번호", "성명", "학년", "창의적 체험활동"]))).when(F.col("k") == 2, F.array(*map(F.lit, ["과목", "학년", "학기", "번호", "성명", "세부능력 및 특기사항"]))).when(F.col("k") == 3, F.array(F.lit("자유 양식"))).otherwise(F.array(*map(F.lit, ["번 호", "성 명", "학 년", "세부능력 및 특기사항"])))
+    return rows.unionByName(files.select("source_file", F.lit("Sheet1").alias("sheet_name"), F.lit(2).cast("long").alias("source_row"), heads.alias("cells")))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document; the fourth document of each file's lines are preceded by a table head."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    each = docs.select(F.concat(F.lit("f"), (F.col("doc_id") % 7).cast("string")).alias("source_file"), F.col("doc_id").alias("person"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "text"))
+    heads = docs.select(F.concat(F.lit("f"), (F.col("doc_id") % 7).cast("string")).alias("source_file"), F.col("doc_id").alias("person"), F.lit(-1).alias("line_no"), F.when(F.col("doc_id") % 4 == 0, "행동특성 및 종합의견").otherwise("과 목 세부능력 및 특기사항").alias("text"))
+    return each.unionByName(heads).withColumn("page", F.lit(1))
