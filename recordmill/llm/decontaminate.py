@@ -9,7 +9,7 @@ five-word shingles, and at least HALF of those of its question and of its answer
 passage. Without an answer column, an item's first half counts as its question and its second half as its answer.
 
 Words are runs of letters, digits and underscores, lower-cased. Items without words are left out; null texts have no
-passages. Items with fewer than five words are one shingle. Item blocks of bounded size are broadcast one after the
+passages. Questions and answers with fewer than five words are one shingle. Item blocks of bounded size are broadcast one after the
 other, each to all documents, so the index may be of any size. Repeated documents give repeated rows.
 """
 
@@ -49,7 +49,7 @@ def item_words(text: str | None) -> list[str]:
 
 
 def shingle_set(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if size else set()
 
 
 @dataclasses.dataclass
@@ -60,23 +60,28 @@ class Index:
     entries: list[list[tuple[int, float]]]  # by term: (entry, impact), by entry
     block_max: np.ndarray  # by term and block of entries: the largest impact
     owner: list[int]  # the item of each entry
-    items: list[tuple[int, set, set, int]]  # id, shingles of question and of answer, words
+    items: list[tuple[int, tuple[set, int], tuple[set, int], int]]  # id, shingles and their size of question and of answer, words
 
 
 def build(rows: list[tuple[int, str | None, str | None]], entry_words: int = ENTRY_WORDS, threshold: float = THRESHOLD) -> Index:
     """rows: item id, question, answer (null: halves of the question)."""
     items, owner, bags = [], [], []
     for item, question, answer in rows:
-        q = item_words(question)
-        q, a = (q, item_words(answer)) if answer is not None else (q[: (len(q) + 1) // 2], q[(len(q) + 1) // 2 :])
+        q, a = item_words(question), item_words(answer)
         words = q + a
         if not words:
             continue
+        if answer is None:  # shingles that begin in the first half, and the others
+            size = min(SHINGLE, len(q))
+            starts = range(len(q) - size + 1)
+            parts = [({tuple(q[i : i + size]) for i in starts if (2 * i < len(starts)) == first}, size) for first in (True, False)]
+        else:
+            parts = [(shingle_set(w, min(SHINGLE, len(w))), min(SHINGLE, len(w))) for w in (q, a)]
         for k in range(-(-len(words) // entry_words)):
-            parts = -(-len(words) // entry_words)
+            cuts = -(-len(words) // entry_words)
             owner.append(len(items))
-            bags.append(Counter(words[k * len(words) // parts : (k + 1) * len(words) // parts]))
-        items.append((item, shingle_set(q), shingle_set(a), len(words)))
+            bags.append(Counter(words[k * len(words) // cuts : (k + 1) * len(words) // cuts]))
+        items.append((item, *parts, len(words)))
     df = Counter(t for bag in bags for t in bag)
     average = sum(sum(bag.values()) for bag in bags) / max(1, len(bags))
     terms = {t: i for i, t in enumerate(sorted(df))}
@@ -170,11 +175,9 @@ def matches(index: Index, text: str | None, entry_words: int = ENTRY_WORDS) -> d
         for entry, score in retrieve(index, query, blocks):
             item = index.owner[entry]
             name, question, answer, n = index.items[item]
-            around = shingle_set(words[max(0, start - n) : end + n])
-            if n < SHINGLE:  # shorter than a shingle: the words in a row
-                around = shingle_set(words[start:end], n)
-                question, answer = (question | answer, set()) if len(question | answer) == 1 else ({tuple(x for s in (question, answer) for w in s for x in w)}, set())
-            q, a = len(question & around), len(answer & around)
+            around = words[max(0, start - n) : end + n]
+            (question, size), (answer, other) = question, answer
+            q, a = len(question & shingle_set(around, size)), len(answer & shingle_set(around, other))
             share = (q + a) / max(1, len(question) + len(answer))
             both = (q / len(question) if question else 1.0, a / len(answer) if answer else 1.0)
             if share >= OVERLAP and min(both) >= HALF:

@@ -38,7 +38,7 @@ NEVER = set("ad ads adv advert adverts advertisement advertising sponsor sponsor
 UNLESS_FRAME = set("sidebar aside nav navbar navigation menu header footer masthead topbar complementary contentinfo".split())
 FRAME = set("content main wrapper page container layout article body has with no".split())
 #: Counts added to those of labelled pages, inside and outside, so that a table without labels has weights too.
-PRIOR = {"word": (2000, 200), "word:link": (100, 200), "word:skipped": (1, 200), "word:outside": (1, 200), "tag": (300, 300)}
+PRIOR = {"word": (2000, 200), "word:link": (100, 200), "word:skipped": (1, 200), "word:outside": (1, 200), "tag": (300, 300), "tag:skipped": (10, 300)}
 
 
 def _named_off(name: str, attributes: str, inside: bool) -> bool:
@@ -55,7 +55,7 @@ def _named_off(name: str, attributes: str, inside: bool) -> bool:
 
 def tokens(page: str | None) -> tuple[list[tuple[str, int, int, bool]], list[list[str]]]:
     """(kind, count, block, inside) of each run of words or tag, and the texts of each block. block is -1 for tags and
-    for text that is left out; inside tells whether a content element is open."""
+    for text that is left out; tags of parts that are left out are one kind; inside tells whether a content element is open."""
     page = page or ""
     declares = bool(re.search(r"<(?:article|main)[\s>]", page, re.I))
     found: list[tuple[str, int, int, bool]] = []
@@ -104,7 +104,7 @@ def tokens(page: str | None) -> tuple[list[tuple[str, int, int, bool]], list[lis
                 if stack[k][0] == name:
                     del stack[k:]
                     break
-            found.append((f"tag:/{name}" if name in BLOCK else "tag:/inline", 1, -1, inside))
+            found.append(("tag:skipped" if skipped else f"tag:/{name}" if name in BLOCK else "tag:/inline", 1, -1, inside))
             _, skipped, inside, link = stack[-1] if stack else ("", False, False, False)
             continue
         skipped, inside, link = (stack[-1][1:] if stack else (False, False, False))
@@ -113,7 +113,7 @@ def tokens(page: str | None) -> tuple[list[tuple[str, int, int, bool]], list[lis
             inside = inside or (name in CONTENT and not skipped)
             link = link or name == "a"
             stack.append((name, skipped, inside, link))
-        found.append((f"tag:{name}" if name in BLOCK else "tag:inline", 1, -1, inside))
+        found.append(("tag:skipped" if skipped else f"tag:{name}" if name in BLOCK else "tag:inline", 1, -1, inside))
     return found, blocks
 
 
@@ -136,7 +136,7 @@ def weights(summed: dict[str, tuple[int, int]]) -> dict[str, float]:
     found = {}
     for kind, (a, b) in full.items():
         ratio = math.log((a + 1) / ins) - math.log((b + 1) / outs)
-        found[kind] = max(ratio, 0.1) if kind == "word" else max(-0.5, min(ratio, -0.1)) if kind in ("word:skipped", "word:outside") else ratio if kind == "word:link" else max(-3.0, min(ratio, -0.05))
+        found[kind] = max(ratio, 0.1) if kind == "word" else max(-0.5, min(ratio, -0.1)) if kind in ("word:skipped", "word:outside") else max(-0.1, min(ratio, -0.05)) if kind == "tag:skipped" else ratio if kind == "word:link" else max(-3.0, min(ratio, -0.05))
     return found
 
 

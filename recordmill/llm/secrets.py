@@ -73,7 +73,9 @@ def find(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     text = F.col("text")
     wanted = [(F.col("kinds").isNull() | F.array_contains("kinds", r.kind)) & r.may_match(text) for r in rules]
     hits = F.array(*[F.when(w, F.lit(i)) for i, w in enumerate(wanted)])
-    some = blobs.withColumn("rule", F.filter(hits, lambda i: i.isNotNull())).where(F.size("rule") > 0).select("blob", "text", F.explode("rule").alias("rule"))
+    some = blobs.withColumn("rule", F.filter(hits, lambda i: i.isNotNull())).where(F.size("rule") > 0)
+    # rows that repeat a blob are told apart, so that each one's places are counted on their own
+    some = some.select("blob", F.monotonically_increasing_id().alias("row"), "text", F.explode("rule").alias("rule"))
     matches, lengths, pieces = F.lit(None), F.lit(None), F.lit(None)
     for i, r in enumerate(rules):
         own, rx = F.col("rule") == i, F.lit(r.pattern)
@@ -81,8 +83,8 @@ def find(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         matches = F.when(own, F.transform(found, F.length)).otherwise(matches)
         lengths = F.when(own, F.transform(found if r.group == 0 else F.regexp_extract_all(text, rx, F.lit(r.group)), F.length)).otherwise(lengths)
         pieces = F.when(own, F.transform(F.split(text, r.pattern, -1), F.length)).otherwise(pieces)
-    zipped = some.select("blob", "rule", F.posexplode(F.arrays_zip(matches.alias("own"), lengths.alias("part"), pieces.alias("gap"))).alias("at", "m")).where("m.own IS NOT NULL")
-    before = Window.partitionBy("blob", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    zipped = some.select("blob", "row", "rule", F.posexplode(F.arrays_zip(matches.alias("own"), lengths.alias("part"), pieces.alias("gap"))).alias("at", "m")).where("m.own IS NOT NULL")
+    before = Window.partitionBy("blob", "row", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     placed = zipped.withColumn("stop", F.sum(F.col("m.own") + F.col("m.gap")).over(before).cast("int"))
     table = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (i, r.at_least)])
     kinds = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (i, r.kind)])

@@ -75,7 +75,7 @@ class Model:
         hits = [x[self.used[x]] for x in hashed_grams(text, self.orders, self.bits)]
         ids = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.uint32)
         z = self.bias + float(self.weights[ids].sum(dtype=np.float64))
-        return float(1 / (1 + np.exp(-np.clip(z, -700, 60))))
+        return 0.0 if z == -np.inf else float(1 / (1 + np.exp(-np.clip(z, -700, 60))))
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> Model:
