@@ -11,18 +11,22 @@ FLOOR = 0.45
 FREQUENT = 10_000
 
 
+def _text_key() -> list[Column]:
+    """A normal form as 128 bits, so that groups are made and moved without their texts."""
+    return [F.xxhash64("normalized_text").alias("_k1"), F.xxhash64(F.lit(1), F.col("normalized_text")).alias("_k2")]
+
+
 def exact_groups(records: DataFrame) -> DataFrame:
     """records with group_size and exact_partner: the lowest other record_order with the same normalized_text. Grouping
     keeps a count and the two lowest orders only, so a text that a third of all records share costs no more."""
-    key = F.xxhash64("normalized_text").alias("_h")
-    text = F.col("normalized_text")
-    least = records.groupBy(key, F.length(text).alias("_n"), text.alias("_t")).agg(F.count(F.lit(1)).alias("group_size"), F.min("record_order").alias("_first"))
-    joined = records.join(least, records["normalized_text"] == least["_t"])
-    # the second lowest order is needed for the first record only
-    second = joined.where((F.col("group_size") > 1) & (F.col("record_order") != F.col("_first"))).groupBy(F.col("_t").alias("_s")).agg(F.min("record_order").alias("_second"))
-    both = joined.join(second, joined["_t"] == second["_s"], "left")
-    partner = F.when(F.col("group_size") > 1, F.when(F.col("record_order") == F.col("_first"), F.col("_second")).otherwise(F.col("_first")))
-    return both.withColumn("exact_partner", partner).select(*records.columns, "group_size", "exact_partner")
+    keyed = records.select("record_order", *_text_key())
+    groups = keyed.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("group_size"), F.min("record_order").alias("_first"))
+    several = groups.where("group_size > 1")
+    members = keyed.join(several, ["_k1", "_k2"])
+    second = members.where("record_order <> _first").groupBy("_k1", "_k2").agg(F.min("record_order").alias("_second"))
+    partner = F.when(F.col("record_order") == F.col("_first"), F.col("_second")).otherwise(F.col("_first"))
+    found = members.join(second, ["_k1", "_k2"]).select("record_order", "group_size", partner.alias("exact_partner"))
+    return records.join(found, "record_order", "left").withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long"))).select(*records.columns, "group_size", "exact_partner")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -46,7 +50,8 @@ def best_partners(records: DataFrame, floor: float = FLOOR) -> DataFrame:
     similarity of floor or more, the one of the highest; ties go to the one that shares the earliest of the record's
     tokens, then to the lowest order. records: record_order, normalized_text, tokens. With floor 0 every pair that
     shares a token is looked at, which suits small tables only."""
-    one = records.groupBy("normalized_text").agg(F.min("record_order").alias("record_order"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens")).where(F.size("tokens") > 0)
+    least = records.select("record_order", *_text_key()).groupBy("_k1", "_k2").agg(F.min("record_order").alias("record_order"), F.count(F.lit(1)).alias("copies"))
+    one = records.select("record_order", "tokens").join(least.select("record_order", "copies"), "record_order").where(F.size("tokens") > 0)
     if floor > 0:
         keyed = _prefixes(one.select("record_order", "tokens"), floor)
     else:
