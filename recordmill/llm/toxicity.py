@@ -2,18 +2,19 @@
 
 Features are the hashed character n-grams (ORDERS) of the whole lower-cased text, white space made one space, each
 counted once a text. Feature f has the value r_f = log of its smoothed rate in toxic texts over that in others;
-features in fewer than MIN_TEXTS fitted texts or with a ratio under MIN_RATIO either way are left out. A logistic
+features in too few fitted texts (MIN_TEXTS, MIN_SHARE) or with a ratio under MIN_RATIO either way are left out. A logistic
 regression on these values, whose classes weigh alike, gives the score. Null and empty texts have no n-grams and get
 the intercept's score.
 
-The fit reads at most MAX_FIT_ROWS labelled rows (chosen by a hash of the id, so the choice is the same in every run,
-toxic rows first up to half of them): this bound is what keeps the training matrix of fixed size on the driver.
+The fit reads at most MAX_FIT_ROWS distinct labelled texts (chosen by a hash of the text, so the choice is the same in
+every run, toxic ones up to half of them): this bound is what keeps the training matrix, which one task holds, of fixed size.
 A table without labels of both kinds gives a model that scores every text 0.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import functools
 import re
 from collections.abc import Iterator
 
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
-#: Documented bound of the fit: labelled rows that the driver sees, as feature ids only.
+#: Documented bound of the fit: labelled texts that one task sees, as feature ids only.
 MAX_FIT_ROWS = 3_000
-MIN_TEXTS = 3
+#: A feature is used from so many fitted texts on: this many, or this share of them.
+MIN_TEXTS, MIN_SHARE = 3, 0.005
 MIN_RATIO = 1.5
 SMOOTHING = 1.0
 L2 = 3e-3
@@ -63,18 +65,26 @@ def feature_ids(text: str | None, orders: tuple[int, ...] = ORDERS, bits: int =
 
 @dataclasses.dataclass
 class Model:
-    weights: np.ndarray  # w * r, float32 by feature id
+    """The weights w * r of the features used, and the intercept."""
+
+    ids: np.ndarray
+    values: np.ndarray
     bias: float
-    orders: tuple[int, ...]
-    bits: int
+    orders: tuple[int, ...] = ORDERS
+    bits: int = BITS
 
-    def __post_init__(self) -> None:
-        self.used = self.weights != 0
+    @functools.cached_property
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights by feature id, and which are used; made where the model is used."""
+        weights = np.zeros(1 << self.bits, np.float32)
+        weights[self.ids] = self.values
+        return weights, weights != 0
 
     def score(self, text: str | None) -> float:
-        hits = [x[self.used[x]] for x in hashed_grams(text, self.orders, self.bits)]
+        weights, used = self.dense
+        hits = [x[used[x]] for x in hashed_grams(text, self.orders, self.bits)]
         ids = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.uint32)
-        z = self.bias + float(self.weights[ids].sum(dtype=np.float64))
+        z = self.bias + float(weights[ids].sum(dtype=np.float64))
         return 0.0 if z == -np.inf else float(1 / (1 + np.exp(-np.clip(z, -700, 60))))
 
 
@@ -82,13 +92,13 @@ def train(rows: list[np.ndarray], labels: np.ndarray, orders: tuple[int, ...] =
     """Fits on feature ids and 0/1 labels."""
     width = 1 << bits
     if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(width, np.float32), -np.inf, orders, bits)
+        return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), -np.inf, orders, bits)
     y = labels.astype(np.float64)
     p, q = np.zeros(width, np.int32), np.zeros(width, np.int32)
     for ids, label in zip(rows, labels.tolist(), strict=True):  # ids are distinct within a row
         (p if label > 0 else q)[ids] += 1
     r = np.log((p + SMOOTHING) / (y.sum() + 2 * SMOOTHING)) - np.log((q + SMOOTHING) / ((1 - y).sum() + 2 * SMOOTHING))
-    kept = np.flatnonzero((p + q >= MIN_TEXTS) & (np.abs(r) >= MIN_RATIO))
+    kept = np.flatnonzero((p + q >= max(MIN_TEXTS, MIN_SHARE * len(rows))) & (np.abs(r) >= MIN_RATIO))
     at = np.full(width, -1, np.int32)
     at[kept] = np.arange(len(kept))
     used = [at[ids][at[ids] >= 0] for ids in rows]
@@ -103,44 +113,48 @@ def train(rows: list[np.ndarray], labels: np.ndarray, orders: tuple[int, ...] =
         grad = np.append(np.bincount(feature, value * g[row], minlength=len(kept)) + L2 * w[:-1], g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    weights = np.zeros(width, np.float32)
-    weights[kept] = w[:-1] * r[kept]
-    return Model(weights, float(w[-1]), orders, bits)
+    return Model(kept.astype(np.int32), (w[:-1] * r[kept]).astype(np.float32), float(w[-1]), orders, bits)
 
 
-def features(text: Column, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> Column:
-    @F.arrow_udf("array<int>")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([feature_ids(x, orders, bits) for x in batch.to_pylist()], pa.list_(pa.int32()))
+def fit_sample(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = MAX_FIT_ROWS) -> DataFrame:
+    """(id, y) of at most max_rows labelled texts: toxic ones up to half of them, others for the rest, each by a hash of
+    the text. Of equal texts one counts, for a text with many copies would outweigh the others' words. Labels other than
+    0 and 1 take no part; of several labels of a text the larger counts."""
+    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    one = texts.join(known, "id").groupBy("h").agg(F.max("y").alias("y"), F.min("id").alias("id"))
+    toxic = one.where("y = 1").orderBy("h").limit(max_rows // 2)
+    rest = one.where("y = 0").orderBy("h").limit(max_rows - max_rows // 2)
+    return toxic.unionByName(rest).select("id", "y")
 
-    return ids(text)
 
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = MAX_FIT_ROWS) -> Model:
+    """Learns from the texts of docs that labels marks 0 or 1."""
+    sample = fit_sample(docs, labels, text_col, label_col, id_col, max_rows)  # bounded by max_rows, so it may be broadcast
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("text", "y")
 
-def fit_sample(labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = MAX_FIT_ROWS) -> DataFrame:
-    """At most max_rows labelled ids: toxic ones up to half of them, others for the rest, each by a hash of the id.
-    Labels other than 0 and 1 take no part; of several labels of an id the larger counts."""
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    ordered = (F.xxhash64(F.col(id_col).cast("string")), F.col(id_col))
-    toxic = known.where("y = 1").orderBy(*ordered).limit(max_rows // 2)
-    rest = known.where("y = 0").orderBy(*ordered).limit(max_rows - max_rows // 2)
-    return toxic.unionByName(rest)
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([feature_ids(x) for x in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["y", "x"])
 
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, labels = [], []
+        for batch in batches:
+            flat, offsets = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
+            rows += [flat[a:b].copy() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            labels += batch.column(0).to_pylist()
+        model = train(rows, np.array(labels))
+        yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.ids], pa.list_(pa.int32())), pa.array([model.values], pa.list_(pa.float32()))], names=["bias", "ids", "values"])
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = MAX_FIT_ROWS) -> Model:
-    """Learns from the texts of docs that labels marks 0 or 1."""
-    sample = fit_sample(labels, label_col, id_col, max_rows)  # bounded by max_rows, so it may be broadcast
-    joined = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(sample), id_col)
-    table = joined.select("y", features(F.col(text_col)).alias("x")).toArrow()
-    rows: list[np.ndarray] = []
-    for chunk in table.column("x").chunks:
-        flat, offsets = chunk.values.to_numpy(), chunk.offsets.to_numpy()
-        rows += [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    return train(rows, table.column("y").to_numpy())
+    # the bounded sample is fitted in one task; the driver sees the weights of the features used
+    fitted = texts.mapInArrow(featured, "y int, x array<int>").repartition(1).mapInArrow(trained, "bias double, ids array<int>, values array<float>").first()
+    if fitted is None:
+        return train([], np.zeros(0))
+    return Model(np.array(fitted["ids"], np.int32), np.array(fitted["values"], np.float32), fitted["bias"])
 
 
 def score(text: Column, model: Model, spark: SparkSession) -> Column:
-    """0 to 1, higher for toxic. The model is of fixed size (2**bits floats) and broadcast."""
+    """0 to 1, higher for toxic. The model has at most 2**bits weights and is broadcast."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
