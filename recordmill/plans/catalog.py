@@ -84,7 +84,7 @@ def shared_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sentences
 
 
-@query(f"WITH {S.RECORDS}, {S.SENTENCES} SELECT record_order, count(*) AS n_sentences, sum(length(sentence)) AS n_chars FROM sentences GROUP BY 1")
+@query(f"WITH {S.RECORDS}, {S.SENTENCES} SELECT record_order, count(*) AS n_sentences, CAST(sum(length(sentence)) AS BIGINT) AS n_chars FROM sentences GROUP BY 1")
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sentences.exploded(from_documents(spark, sf_dir))
     return s.groupBy("record_order").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(F.length("sentence")).alias("n_chars"))
@@ -297,6 +297,46 @@ def report_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.report_issues(inspect.inspect(from_documents(spark, sf_dir)))
 
 
+@query(CLASSIFIED + "SELECT subject, count(*) FILTER (grade = 'g1') AS g1, count(*) FILTER (grade = 'g2') AS g2, count(*) FILTER (grade = 'g3') AS g3, count(*) AS total, count(*) FILTER (status = 'exact') AS exact, count(*) FILTER (status = 'high') AS high, count(*) FILTER (status = 'review') AS review FROM classified GROUP BY 1")
+def export_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.summary(classified(spark, sf_dir), ["g1", "g2", "g3"])
+
+
+@query(CHECKED + "SELECT record_order FROM full_key WHERE k IN (SELECT k FROM marked)")
+def checked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.checked(with_key(from_documents(spark, sf_dir)), marked_keys(spark, sf_dir)).select("record_order")
+
+
+@query(CLASSIFIED + "SELECT record_order, class_name FROM classified WHERE status = 'review' AND n_issues > 0 AND subject = 'en'")
+def review_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.filtered(classified(spark, sf_dir), status="review", issue_type="typo", subject="en").select("record_order", "class_name")
+
+
+@query(f"WITH {S.RECORDS}, ranked AS (SELECT record_order, grade, row_number() OVER (PARTITION BY grade ORDER BY CAST(nullif(regexp_extract(class_name, '([0-9]+)', 1), '') AS BIGINT), class_name, CAST(number AS BIGINT), subject, record_order) AS place FROM records) SELECT record_order, grade, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 30")
+def class_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.in_group_rank(from_documents(spark, sf_dir), "grade", "class").where("place <= 30").select("record_order", "grade", "place")
+
+
+@query("""WITH s AS (SELECT CAST(user_id AS VARCHAR) AS key, max(ts) AS marked_at FROM events WHERE event_type = 'purchase' GROUP BY 1), t AS (SELECT CAST(user_id AS VARCHAR) AS key, max(ts) AS marked_at FROM events WHERE event_type <> 'purchase' AND user_id % 2 = 0 GROUP BY 1)
+ SELECT * FROM s WHERE key NOT IN (SELECT key FROM t) UNION ALL SELECT * FROM t WHERE key NOT IN (SELECT key FROM s)""")
+def toggled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id"), "event_type", F.col("ts").alias("marked_at"))
+    newest = lambda df: df.groupBy(F.col("user_id").cast("string").alias("key")).agg(F.max("marked_at").alias("marked_at"))
+    return review.toggled(newest(e.where("event_type = 'purchase'")), newest(e.where("event_type <> 'purchase' AND user_id % 2 = 0")))
+
+
+@query(f"WITH {S.RECORDS}, i AS (SELECT * FROM {found_sql('records', '문장부호 반복', r'\.\.+|,,+|!!+|\?\?+')}) SELECT 'typo' AS type, '문장부호 반복' AS label, 'typo' AS category, count(*) AS n_issues FROM i HAVING count(*) > 0")
+def issue_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = tuple(r for r in rulebook.RULES if r.label == "문장부호 반복")
+    found = inspect.scan(from_documents(spark, sf_dir), rules)
+    return found.groupBy("type", "label", T.issue_category(F.col("label"), F.col("type")).alias("category")).agg(F.count(F.lit(1)).alias("n_issues"))
+
+
+@query()
+def report_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.report_rules(inspect.inspect(from_documents(spark, sf_dir)))
+
+
 # Spelling, over prose in Hangul letters; words of 20 uses or more make the dictionary
 
 
