@@ -41,7 +41,7 @@ def _prefixes(records: DataFrame, floor: float) -> DataFrame:
     frequent = each.groupBy("token").count().orderBy(F.desc("count"), "token").limit(FREQUENT)
     placed = each.join(F.broadcast(frequent), "token", "left").select("record_order", "n", F.struct(F.coalesce("count", F.lit(0)).alias("often"), F.xxhash64("token").alias("key")).alias("place"))
     kept = F.col("n") - F.ceil(F.lit(floor) * F.col("n")).cast("int") + 1
-    sorted_ = placed.groupBy("record_order", "n").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    sorted_ = placed.groupBy("record_order", "n").agg(F.sort_array(F.collect_list("place")).alias("places"))
     return sorted_.select("record_order", "n", F.transform(F.slice("places", 1, kept), lambda s: s["key"]).alias("prefix"))
 
 
@@ -56,11 +56,13 @@ def best_partners(records: DataFrame, floor: float = FLOOR) -> DataFrame:
         keyed = _prefixes(one.select("record_order", "tokens"), floor)
     else:
         keyed = one.select("record_order", F.size("tokens").alias("n"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("prefix"))
-    keys = keyed.select("record_order", "n", F.explode("prefix").alias("key"))
-    left = keys.join(one.where("copies = 1").select("record_order"), "record_order", "left_semi").withColumnRenamed("record_order", "a").withColumnRenamed("n", "na")
-    right = keys.withColumnRenamed("record_order", "b").withColumnRenamed("n", "nb")
+    keys = keyed.select("record_order", "n", (F.col("n") - F.size("prefix")).alias("s"), F.explode("prefix").alias("key"))
+    left = keys.join(one.where("copies = 1").select("record_order"), "record_order", "left_semi").select(F.col("record_order").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), "key")
+    right = keys.select(F.col("record_order").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), "key")
     near = (F.col("nb") >= floor * F.col("na")) & (F.col("na") >= floor * F.col("nb"))
-    pairs = left.join(right, "key").where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
+    met = left.join(right, "key").where((F.col("a") != F.col("b")) & near).groupBy("a", "b", "na", "nb", "sa", "sb").agg(F.count(F.lit(1)).alias("k"))
+    # what isn't shared in both prefixes can only stand behind the one that ends first
+    pairs = met.where(F.col("k") + F.greatest("sa", "sb") >= F.lit(floor / (1 + floor)) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
     texts = one.select("record_order", "tokens")
     full = pairs.join(texts.select(F.col("record_order").alias("a"), F.col("tokens").alias("ta")), "a").join(texts.select(F.col("record_order").alias("b"), F.col("tokens").alias("tb")), "b")
     shared = F.array_intersect("ta", "tb")
