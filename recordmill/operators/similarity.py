@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordmill.session import materialize
+
 #: Below this similarity no threshold setting looks at a partner, so one run at this floor serves all settings.
 FLOOR = 0.45
 #: Words whose frequency orders the prefixes: the most frequent so many, a table of fixed size that may be broadcast.
@@ -51,7 +53,7 @@ def best_partners(records: DataFrame, floor: float = FLOOR) -> DataFrame:
     tokens, then to the lowest order. records: record_order, normalized_text, tokens. With floor 0 every pair that
     shares a token is looked at, which suits small tables only."""
     least = records.select("record_order", *_text_key()).groupBy("_k1", "_k2").agg(F.min("record_order").alias("record_order"), F.count(F.lit(1)).alias("copies"))
-    one = records.select("record_order", "tokens").join(least.select("record_order", "copies"), "record_order").where(F.size("tokens") > 0)
+    one = materialize(records.select("record_order", "tokens").join(least.select("record_order", "copies"), "record_order").where(F.size("tokens") > 0), "texts")
     if floor > 0:
         keyed = _prefixes(one.select("record_order", "tokens"), floor)
     else:
