@@ -112,3 +112,33 @@ def test_keep_one_drops_copies_only_for_a_similar_text_that_stays(spark):
     alike = [(a, b) for a in kept for b in kept if a < b and jaccard(rows[a], rows[b]) >= 0.8]
     assert not alike and 500 in kept and 501 not in kept and 502 in kept and 503 not in kept
     assert dedup.keep_one(docs).count() == len(kept) and dedup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_texts_that_no_round_compares_are_compared_in_the_end(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage = [word() for _ in range(70)]
+    rows = {}
+    for _ in range(60):
+        own = [word() for _ in range(80)]
+        rows[len(rows)] = " ".join(passage + own)
+        rows[len(rows)] = " ".join([word() for _ in range(28)] + passage + own)
+    monkeypatch.setattr(simhash, "groups", lambda texts, *_: texts.withColumn("component_id", simhash.F.lit(0).cast("long")))
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    kept = {r["doc_id"] for r in dedup.keep_one(docs).collect()}
+    assert len(kept) == 60 and {i // 2 for i in kept} == set(range(60))
+
+
+def test_leaders_that_go_open_what_they_took(spark):
+    base = list(range(100))
+    sets = {1: base, 2: base[10:] + [100], 3: base[20:] + [200], 4: [900], 5: base[20:] + [300]}
+    none, order = np.array([], np.int64), np.array([], np.int64)
+    rows = [(i, [len(s), *dedup.prefix_of(np.array(sorted(s)), none, order).tolist()]) for i, s in sets.items()]
+    table = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "tid long, sh array<long>")
+    stars = spark.createDataFrame([(3, 2), (5, 2), (4, 1)], "tid long, leader long").where("tid <> 4").unionByName(spark.createDataFrame([(6, 1)], "tid long, leader long"))
+    gone = dedup.resolved(spark.createDataFrame(rows, "tid long, prefix array<long>"), stars, lambda tids: table.join(tids, "tid", "left_semi"))
+    left = {r["tid"] for r in gone.collect()}
+    alike = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
+    stay = set(sets) - left
+    assert 2 in left and 1 in stay and not any(alike(a, b) for a in stay for b in stay if a < b)
+    assert all(any(alike(a, b) for b in stay) for a in left & set(sets))
