@@ -142,3 +142,18 @@ def test_leaders_that_go_open_what_they_took(spark):
     stay = set(sets) - left
     assert 2 in left and 1 in stay and not any(alike(a, b) for a in stay for b in stay if a < b)
     assert all(any(alike(a, b) for b in stay) for a in left & set(sets))
+
+
+def test_similar_texts_meet_whatever_their_fingerprints(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = {}
+    for g in range(60):
+        base = [word() for _ in range(150)]
+        copy = base + [word() for _ in range(34)] if g % 3 == 0 else base[:123] if g % 3 == 1 else [word() if i in (20, 70, 120) else w for i, w in enumerate(base)]
+        rows |= {2 * g: " ".join(base), 2 * g + 1: " ".join(copy)}
+    assert all(0.8 <= jaccard(rows[i], rows[i + 1]) <= 0.85 for i in range(0, len(rows), 2))
+    far = sum((simhash.fingerprint_of(simhash.shingles(rows[i], 1, True)) ^ simhash.fingerprint_of(simhash.shingles(rows[i + 1], 1, True))).bit_count() > dedup.RADIUS for i in range(0, len(rows), 2))
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    kept = {r["doc_id"] for r in dedup.keep_one(docs).collect()}
+    assert far > 10 and len(kept) == 60 and {i // 2 for i in kept} == set(range(60))
