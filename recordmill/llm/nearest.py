@@ -47,13 +47,14 @@ def directions(dimensions: int, projections: int = PROJECTIONS, seed: int = SEED
 
 
 def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, projections: int = PROJECTIONS) -> list[tuple[int, int, float]]:
-    """(query, id, distance) of the nearest verified candidates in one shard, at most k for each query."""
+    """(query, id, distance) of the nearest verified candidates in one shard, at most k ids for each query; an
+    id that stands in several rows counts once, by its smallest distance."""
     a = directions(vectors.shape[1], projections)
     values = vectors @ a
     order = np.argsort(values, axis=0, kind="stable").T.copy()  # one sorted array for each projection
     arrays = np.take_along_axis(values.T, order, axis=1)
-    n = len(ids)
-    enough = min(n, max(ENOUGH, k) + int(SHARE * n))
+    n, distinct = len(ids), len(np.unique(ids))
+    enough = min(distinct, max(ENOUGH, k) + int(SHARE * n))
     need = math.ceil(THRESHOLD * projections)
     spread = float(np.median(np.std(values, axis=0))) or 1.0
     centres = (queries @ a).T
@@ -72,11 +73,12 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
             counts += np.bincount(np.concatenate(opened), minlength=n)
             before = low, high
             candidates = np.flatnonzero(counts >= need)
-            if len(candidates) >= enough:
+            if len(candidates) >= enough and (distinct == n or len(np.unique(ids[candidates])) >= enough):
                 break
         candidates = candidates[ids[candidates] != qid]
         distances = np.sqrt(((vectors[candidates] - query) ** 2).sum(axis=1))
-        for i in np.lexsort((ids[candidates], distances))[: k + 1]:
+        near = np.lexsort((ids[candidates], distances))
+        for i in near[np.sort(np.unique(ids[candidates][near], return_index=True)[1])[:k]]:
             found.append((int(qid), int(ids[candidates[i]]), float(distances[i])))
     return found
 
@@ -91,7 +93,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score")).limit(0)
     dimensions, count = sizes["d"], sizes["count"]
     shards, blocks = -(-count // SHARD_ROWS), max(1, -(-asked.count() // QUERY_BLOCK))
-    rows, asked = rows.where(F.size("v") == dimensions), asked.where(F.size("v") == dimensions)
+    rows, asked = rows.where(F.size("v") == dimensions).dropDuplicates(["id", "v"]), asked.where(F.size("v") == dimensions)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     right = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
     left = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))

@@ -29,6 +29,22 @@ def test_nearest_finds_most_of_brute_force_and_takes_odd_vectors(spark):
     assert nearest.search(table.limit(0), table, 10).count() == 0
 
 
+def test_repeated_rows_and_ids_take_no_place_of_others(spark):
+    rng = np.random.default_rng(2)
+    vectors = {i: rng.standard_normal(8).astype(np.float32).tolist() for i in range(1, 600)}
+    once = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    asked = once.where("vec_id % 100 = 0")
+    found = lambda table: [tuple(r) for r in nearest.search(table, asked, 10).orderBy("query_id", "rank").collect()]
+    expected = found(once)
+    assert len(expected) == 50 and found(once.unionByName(once).unionByName(once)) == expected
+    # one id in many rows near a query, all different
+    many = [(7, (np.array(vectors[100]) + 0.001 * rng.standard_normal(8)).tolist()) for _ in range(600)]
+    table = once.where("vec_id <> 7").unionByName(spark.createDataFrame(many, "vec_id long, embedding array<float>"))
+    ids = [x for q, _, x, _ in found(table) if q == 100]
+    others = [x for q, _, x, _ in expected if q == 100 and x != 7]
+    assert ids == [7, *others[:9]]
+
+
 def test_wand_finds_what_full_scoring_finds():
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(120)]
