@@ -314,7 +314,13 @@ def review_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S.RECORDS}, ranked AS (SELECT record_order, grade, row_number() OVER (PARTITION BY grade ORDER BY CAST(nullif(regexp_extract(class_name, '([0-9]+)', 1), '') AS BIGINT), class_name, CAST(number AS BIGINT), subject, record_order) AS place FROM records) SELECT record_order, grade, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 30")
 def class_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.in_group_rank(from_documents(spark, sf_dir), "grade", "class").where("place <= 30").select("record_order", "grade", "place")
+    return class_places(spark, sf_dir).where("place <= 30")
+
+
+@query(f"WITH {S.RECORDS} SELECT record_order, grade, CAST(row_number() OVER (PARTITION BY grade ORDER BY CAST(nullif(regexp_extract(class_name, '([0-9]+)', 1), '') AS BIGINT), class_name, CAST(number AS BIGINT), subject, record_order) AS INTEGER) AS place FROM records")
+def class_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = from_documents(spark, sf_dir).select("record_order", "grade", "class_name", "number", "subject")
+    return review.in_group_rank(r, "grade", "class").select("record_order", "grade", "place")
 
 
 @query("""WITH s AS (SELECT CAST(user_id AS VARCHAR) AS key, max(ts) AS marked_at FROM events WHERE event_type = 'purchase' GROUP BY 1), t AS (SELECT CAST(user_id AS VARCHAR) AS key, max(ts) AS marked_at FROM events WHERE event_type <> 'purchase' AND user_id % 2 = 0 GROUP BY 1)
