@@ -2,20 +2,31 @@
 
 Items are cut into entries of at most ENTRY_WORDS words. Every document is cut into overlapping passages of twice that
 length, so that any entry that stands in a document stands whole in one of its passages. Each passage is a query (its
-distinct words): block-max WAND returns every entry whose BM25 score reaches THRESHOLD of the entry's score against
-itself; there is no top-k. The block maxima of a passage's words are summed for all passages of a document at once;
-only blocks of entries whose sum reaches a threshold are opened, by WAND within the block. What is retrieved is verified: at least OVERLAP of the item's
-five-word shingles, and at least HALF of those of its question and of its answer, must stand in the document around the
-passage. Without an answer column, an item's first half counts as its question and its second half as its answer.
+distinct words) and retrieves every entry whose BM25 score reaches THRESHOLD of the entry's score against itself; there
+is no top-k. Document frequencies, the number of entries and their average length are those of the whole benchmark.
+
+Search is block-max WAND, for many passages at once. A passage's words are ordered by their largest impact; those before
+the pivot can't reach a threshold together, so only blocks of entries that hold a word from the pivot on are looked at.
+In each of these, the words' maxima in the block bound the score, and only blocks whose bound reaches the threshold are
+opened and scored. Postings and block maxima are sparse.
+
+What is retrieved is verified: at least OVERLAP of the item's five-word shingles, and at least HALF of those of its
+question and of its answer, must stand in the document around the passage. Without an answer column, shingles that begin
+in an item's first half count as its question's, the others as its answer's.
 
 Words are runs of letters, digits and underscores, lower-cased. Items without words are left out; null texts have no
-passages. Questions and answers with fewer than five words are one shingle. Item blocks of bounded size are broadcast one after the
-other, each to all documents, so the index may be of any size. Repeated documents give repeated rows.
+passages. Questions and answers with fewer than five words are one shingle. Rows that repeat an item count once; other
+rows that share an id are items of their own, reported once a document, by the better score. Items with a null id are
+reported each, with a null id. Ids may be of any type. Repeated documents give repeated rows. Empty tables give empty
+results, and no item means that all documents stay.
+
+An index holds the items of about INDEX_WORDS words and is broadcast; items that share an id stand in one index. A larger
+benchmark makes several, and each is one more pass over the documents; the statistics are shared, so results don't depend
+on how items fall into indexes.
 """
 
 from __future__ import annotations
 
-import bisect
 import dataclasses
 import math
 import re
@@ -27,6 +38,9 @@ import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from recordmill.session import materialize
 
 ENTRY_WORDS = 48
 THRESHOLD = 0.75
@@ -36,11 +50,12 @@ SHINGLE = 5
 K1, B = 1.2, 0.75
 #: Entries in a block of the index, by number.
 ENTRY_BLOCK = 8
-#: Passages of one document that are bounded at once, and what rounding may take from a score of 1.
-PASSAGES = 2_000
-SLACK = 1e-5
-#: Items in one broadcast index.
-ITEM_BLOCK = 2_000
+#: Passages, and rows of expanded block lists, that are searched at once; and what rounding may take from a score of 1.
+PASSAGES = 4_000
+EXPANDED = 4_000_000
+SLACK = 1e-9
+#: Words of the items in one broadcast index, about. An item isn't cut over indexes.
+INDEX_WORDS = 2_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -48,167 +63,250 @@ def item_words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def shingle_set(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
+def shingle_set(words: list, size: int = SHINGLE) -> set[tuple]:
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if size else set()
 
 
+def halves(words: list, question: int, answered: bool) -> list[tuple[set[tuple], int]]:
+    """The shingles of a question and of an answer, each with their size. words: both, question: how many are its."""
+    if answered:
+        parts = words[:question], words[question:]
+        return [(shingle_set(w, min(SHINGLE, len(w))), min(SHINGLE, len(w))) for w in parts]
+    size = min(SHINGLE, len(words))
+    starts = range(len(words) - size + 1)
+    return [({tuple(words[i : i + size]) for i in starts if (2 * i < len(starts)) == first}, size) for first in (True, False)]
+
+
+def cut(words: list, entry_words: int = ENTRY_WORDS) -> list[list]:
+    """An item's entries, of about the same length."""
+    n = -(-len(words) // entry_words)
+    return [words[k * len(words) // n : (k + 1) * len(words) // n] for k in range(n)]
+
+
+@dataclasses.dataclass
+class Statistics:
+    """Of all entries of a benchmark."""
+
+    entries: int
+    average: float
+    df: dict[str, int]
+
+    @staticmethod
+    def of(rows: list[tuple], entry_words: int = ENTRY_WORDS) -> Statistics:
+        bags = [e for _, q, a in rows if item_words(q) + item_words(a) for e in cut(item_words(q) + item_words(a), entry_words)]
+        return Statistics(len(bags), sum(map(len, bags)) / max(1, len(bags)), Counter(t for bag in bags for t in set(bag)))
+
+
 @dataclasses.dataclass
 class Index:
     """Postings hold normed impacts: an entry's BM25 contribution over what its score must reach. So every threshold is 1."""
 
     terms: dict[str, int]
-    entries: list[list[tuple[int, float]]]  # by term: (entry, impact), by entry
-    block_max: np.ndarray  # by term and block of entries: the largest impact
-    owner: list[int]  # the item of each entry
-    items: list[tuple[int, tuple[set, int], tuple[set, int], int]]  # id, shingles and their size of question and of answer, words
-
-
-def build(rows: list[tuple[int, str | None, str | None]], entry_words: int = ENTRY_WORDS, threshold: float = THRESHOLD) -> Index:
+    largest: np.ndarray  # by term: its largest impact
+    blocks: int
+    lists: np.ndarray  # by term: where its blocks begin; one more for the end
+    keys: np.ndarray  # term * blocks + block of each list entry, ascending
+    maxima: np.ndarray  # the largest impact of the term in the block
+    starts: np.ndarray  # where the postings of the term in the block begin; one more for the end
+    entry: np.ndarray
+    impact: np.ndarray
+    owner: np.ndarray  # the item of each entry
+    items: list[tuple[object, np.ndarray, int, bool]]  # id, words as terms, words of the question, whether there is an answer
+
+
+def build(rows: list[tuple], statistics: Statistics | None = None, entry_words: int = ENTRY_WORDS, threshold: float = THRESHOLD) -> Index:
     """rows: item id, question, answer (null: halves of the question)."""
-    items, owner, bags = [], [], []
+    statistics = statistics or Statistics.of(rows, entry_words)
+    terms: dict[str, int] = {}
+    items, owner, postings = [], [], []
     for item, question, answer in rows:
         q, a = item_words(question), item_words(answer)
-        words = q + a
-        if not words:
+        if not q and not a:
             continue
-        if answer is None:  # shingles that begin in the first half, and the others
-            size = min(SHINGLE, len(q))
-            starts = range(len(q) - size + 1)
-            parts = [({tuple(q[i : i + size]) for i in starts if (2 * i < len(starts)) == first}, size) for first in (True, False)]
-        else:
-            parts = [(shingle_set(w, min(SHINGLE, len(w))), min(SHINGLE, len(w))) for w in (q, a)]
-        for k in range(-(-len(words) // entry_words)):
-            cuts = -(-len(words) // entry_words)
+        for words in cut(q + a, entry_words):
+            bag = Counter(words)
+            norm = K1 * (1 - B + B * len(words) / statistics.average)
+            impact = {}
+            for t, tf in bag.items():
+                n = statistics.df[t]
+                impact[t] = math.log(1 + (statistics.entries - n + 0.5) / (n + 0.5)) * tf * (K1 + 1) / (tf + norm)
+            least = threshold * sum(impact.values())
+            postings += [(terms.setdefault(t, len(terms)), len(owner), x / least) for t, x in impact.items()]
             owner.append(len(items))
-            bags.append(Counter(words[k * len(words) // cuts : (k + 1) * len(words) // cuts]))
-        items.append((item, *parts, len(words)))
-    df = Counter(t for bag in bags for t in bag)
-    average = sum(sum(bag.values()) for bag in bags) / max(1, len(bags))
-    terms = {t: i for i, t in enumerate(sorted(df))}
-    entries: list[list[tuple[int, float]]] = [[] for _ in terms]
-    for e, bag in enumerate(bags):
-        norm = K1 * (1 - B + B * sum(bag.values()) / average)
-        impact = {t: math.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + norm) for t, tf in bag.items()}
-        least = threshold * sum(impact.values())
-        for t, x in impact.items():
-            entries[terms[t]].append((e, x / least))
-    block_max = np.zeros((len(terms), max(1, -(-len(bags) // ENTRY_BLOCK))), np.float32)
-    for t, own in enumerate(entries):
-        for e, x in own:
-            block_max[t, e // ENTRY_BLOCK] = max(block_max[t, e // ENTRY_BLOCK], x)
-    return Index(terms, entries, block_max, owner, items)
-
-
-def retrieve(index: Index, query: list[int], blocks: list[int]) -> list[tuple[int, float]]:
-    """WAND within the blocks of entries whose maxima allow it: every (entry, normed score) of at least 1 for a query of
-    distinct term ids. Terms bound by their maximum in the block, so the pivot moves past entries that can't score 1."""
-    found = []
-    for block in blocks:
-        low, high = block * ENTRY_BLOCK, (block + 1) * ENTRY_BLOCK
-        cursors = []  # current entry, position, term
-        for t in query:
-            if index.block_max[t, block] > 0:
-                at = bisect.bisect_left(index.entries[t], (low, 0.0))
-                cursors.append([index.entries[t][at][0], at, t])
-        while cursors:
-            cursors.sort()
-            total, pivot = 0.0, -1
-            for i, (_, _, t) in enumerate(cursors):
-                total += index.block_max[t, block]
-                if total >= 1 - SLACK:
-                    pivot = i
-                    break
-            if pivot < 0:
-                break
-            target = cursors[pivot][0]
-            if cursors[0][0] == target:
-                score = 0.0
-                for entry, at, t in cursors:
-                    if entry != target:
-                        break
-                    score += index.entries[t][at][1]
-                if score >= 1 - SLACK:
-                    found.append((target, score))
-            goal = target + (cursors[0][0] == target)
-            for c in cursors:
-                if c[0] >= goal:
-                    break
-                own, at = index.entries[c[2]], c[1]
-                while at < len(own) and own[at][0] < goal:
-                    at += 1
-                c[0], c[1] = (own[at][0], at) if at < len(own) and own[at][0] < high else (high, at)
-            cursors = [c for c in cursors if c[0] < high]
+        items.append((item, np.array([terms[t] for t in q + a], np.int32), len(q), answer is not None))
+    blocks = max(1, -(-len(owner) // ENTRY_BLOCK))
+    term, entry, impact = (np.array([p[i] for p in postings], t) for i, t in enumerate((np.int64, np.int64, np.float64)))
+    order = np.lexsort((entry, term))
+    term, entry, impact = term[order], entry[order], impact[order]
+    keys, starts = np.unique(term * blocks + entry // ENTRY_BLOCK, return_index=True)
+    maxima = np.maximum.reduceat(impact, starts) if len(starts) else np.zeros(0)
+    lists = np.searchsorted(keys, np.arange(len(terms) + 1) * blocks)
+    largest = np.maximum.reduceat(maxima, lists[:-1]) if len(terms) else np.zeros(0)
+    return Index(terms, largest, blocks, lists, keys, maxima, np.append(starts, len(entry)), entry, impact, np.array(owner, np.int64), items)
+
+
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, position) of every place of ranges that begin at first and have these sizes."""
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[which]
+
+
+def retrieve(index: Index, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, entry, normed score) of every score of at least 1. passage, term: the distinct terms of each passage,
+    sorted by passage."""
+    empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    order = np.lexsort((index.largest[term], passage))
+    passage, term = passage[order], term[order]
+    begin = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+    number = np.cumsum(np.concatenate([[True], passage[1:] != passage[:-1]])) - 1
+    sums = np.cumsum(index.largest[term])
+    sums -= np.concatenate([[0.0], sums])[begin][number]
+    late = sums >= 1 - SLACK  # from the pivot on
+    if not late.any():
+        return empty
+    early = np.bincount(number[~late], index.largest[term[~late]], minlength=len(begin))
+    # blocks with a word from the pivot on; what those before it may add is bounded by their largest impacts
+    own, pos = _ranges(index.lists[term[late]], np.diff(index.lists)[term[late]])
+    keys, at = np.unique(number[late][own] * index.blocks + index.keys[pos] % index.blocks, return_inverse=True)
+    bound = np.bincount(at, index.maxima[pos])
+    who, block = np.divmod(keys, index.blocks)
+    near = bound + early[who] >= 1 - SLACK
+    who, block = who[near], block[near]
+    if not len(who):
+        return empty
+    # the maxima of all words of the passage in those blocks
+    ends = np.append(begin[1:], len(term))
+    pair, pos = _ranges(begin[who], (ends - begin)[who])
+    wanted = term[pos] * index.blocks + block[pair]
+    slot = np.minimum(np.searchsorted(index.keys, wanted), len(index.keys) - 1)
+    there = index.keys[slot] == wanted
+    pair, slot = pair[there], slot[there]
+    opened = np.bincount(pair, index.maxima[slot], minlength=len(who)) >= 1 - SLACK
+    pair, slot = pair[opened[pair]], slot[opened[pair]]
+    if not len(pair):
+        return empty
+    # opened blocks are scored
+    own, pos = _ranges(index.starts[slot], np.diff(index.starts)[slot])
+    found, at = np.unique(who[pair][own] * len(index.owner) + index.entry[pos], return_inverse=True)
+    score = np.bincount(at, index.impact[pos])
+    good = score >= 1 - SLACK
+    which, entry = np.divmod(found[good], len(index.owner))
+    return passage[begin[which]], entry, score[good]
+
+
+def hits(index: Index, docs: list[np.ndarray], entry_words: int = ENTRY_WORDS) -> Iterator[tuple[int, int, int, float]]:
+    """(document, first word of the passage, entry, normed score) for documents given as the term of every word (-1: a
+    word of no item). A passage is two neighbouring cuts of entry_words words."""
+    cuts = np.array([max(1, -(-len(d) // entry_words) - 1) for d in docs], np.int64)
+    offsets = np.concatenate([[0], np.cumsum(cuts)])
+    lengths = np.diff(index.lists)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    cost = first = 0
+
+    def search() -> Iterator[tuple[int, int, int, float]]:
+        passage, term = np.concatenate([p for p, _ in held]), np.concatenate([t for _, t in held])
+        keys = np.unique(passage * len(index.terms) + term)
+        for p, e, s in zip(*(x.tolist() for x in retrieve(index, *np.divmod(keys, len(index.terms)))), strict=True):
+            d = int(np.searchsorted(offsets, p, "right")) - 1
+            yield d, (p - int(offsets[d])) * entry_words, e, s
+
+    for d, ids in enumerate(docs):
+        for begin in range(0, int(cuts[d]), PASSAGES):  # so that a long document takes bounded memory
+            end = min(int(cuts[d]), begin + PASSAGES)
+            part = ids[begin * entry_words : (end + 1) * entry_words]
+            known = np.flatnonzero(part >= 0)
+            at = known // entry_words
+            both = np.concatenate([np.minimum(at, end - begin - 1), np.maximum(at - 1, 0)]) + offsets[d] + begin
+            term = np.tile(part[known], 2)
+            held.append((both, term.astype(np.int64)))
+            cost += int(lengths[term].sum())
+            first += end - begin
+            if first >= PASSAGES or cost >= EXPANDED:
+                yield from search()
+                held, cost, first = [], 0, 0
+    if held:
+        yield from search()
+
+
+def matches(index: Index, texts: list[str | None], entry_words: int = ENTRY_WORDS) -> list[dict[int, tuple[float, float, float]]]:
+    """For each text, by item: the best score over passages, and the shares of question and answer shingles found."""
+    found: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
+    if not index.items:
+        return found
+    docs = []
+    for text in texts:
+        words = item_words(text)
+        docs.append(np.fromiter(map(index.terms.get, words, (-1,) * len(words)), np.int32, len(words)))
+    parts: dict[int, list[tuple[set[tuple], int]]] = {}
+    for d, start, entry, score in hits(index, docs, entry_words):
+        item = int(index.owner[entry])
+        _, own, n_question, answered = index.items[item]
+        if item not in parts:
+            parts = parts if len(parts) < 1000 else {}
+            parts[item] = halves(own.tolist(), n_question, answered)
+        (question, size), (answer, other) = parts[item]
+        around = docs[d][max(0, start - len(own)) : start + 2 * entry_words + len(own)].tolist()
+        q, a = len(question & shingle_set(around, size)), len(answer & shingle_set(around, other))
+        share = (q + a) / max(1, len(question) + len(answer))
+        both = (q / len(question) if question else 1.0, a / len(answer) if answer else 1.0)
+        if share >= OVERLAP and min(both) >= HALF:
+            before = found[d].get(item, (0.0, 0.0, 0.0))
+            found[d][item] = (max(before[0], score * THRESHOLD), *max(before[1:], both))
     return found
 
 
-def passages(index: Index, ids: np.ndarray, entry_words: int = ENTRY_WORDS) -> Iterator[tuple[int, int, list[int], list[int]]]:
-    """(start, end, distinct terms, blocks worth a look) of each passage that may reach a threshold. ids: the term of
-    every word of a document. A passage is two neighbouring cuts of entry_words words; the block maxima of its distinct
-    terms are summed for all passages at once."""
-    none, n = len(index.terms), len(ids)
-    count = max(1, -(-n // entry_words) - 1)
-    for first in range(0, count, PASSAGES):  # so that a long document takes bounded memory
-        last = min(count, first + PASSAGES)
-        part = ids[first * entry_words : (last + 1) * entry_words]
-        cut = np.arange(len(part)) // entry_words
-        keys = np.unique(np.concatenate([np.minimum(cut, last - first - 1) * (none + 1) + part, np.maximum(cut - 1, 0) * (none + 1) + part]))
-        which, term = np.divmod(keys, none + 1)
-        which, term = which[term < none], term[term < none]
-        if not len(which):
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
-        ends = np.append(starts[1:], len(which))
-        sums = np.add.reduceat(index.block_max[term], starts, axis=0)
-        for k in np.flatnonzero(sums.max(axis=1) >= 1 - SLACK):
-            at = first + int(which[starts[k]])
-            yield at * entry_words, min(n, (at + 2) * entry_words), term[starts[k] : ends[k]].tolist(), np.flatnonzero(sums[k] >= 1 - SLACK).tolist()
-
-
-def matches(index: Index, text: str | None, entry_words: int = ENTRY_WORDS) -> dict[int, tuple[float, float, float]]:
-    """item id: best normed score over passages, share of question shingles and of answer shingles found."""
-    words = item_words(text)
-    none = len(index.terms)
-    ids = np.fromiter(map(index.terms.get, words, (none,) * len(words)), np.int64, len(words))
-    best: dict[int, float] = {}
-    overlaps: dict[int, tuple[float, float]] = {}
-    for start, end, query, blocks in passages(index, ids, entry_words):
-        for entry, score in retrieve(index, query, blocks):
-            item = index.owner[entry]
-            name, question, answer, n = index.items[item]
-            around = words[max(0, start - n) : end + n]
-            (question, size), (answer, other) = question, answer
-            q, a = len(question & shingle_set(around, size)), len(answer & shingle_set(around, other))
-            share = (q + a) / max(1, len(question) + len(answer))
-            both = (q / len(question) if question else 1.0, a / len(answer) if answer else 1.0)
-            if share >= OVERLAP and min(both) >= HALF:
-                best[item] = max(best.get(item, 0.0), score)
-                overlaps[item] = max(overlaps.get(item, (0.0, 0.0)), both)
-    return {index.items[i][0]: (best[i] * THRESHOLD, *overlaps[i]) for i in best}
-
-
-def _indexes(docs: DataFrame, benchmark: DataFrame, question_col: str, answer_col: str | None, item_col: str, item_block: int) -> Iterator:
-    """Broadcast indexes, each of a block of about item_block items; all documents meet every one."""
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(question_col).alias("q"), (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("a"))
-    blocks = max(1, -(-items.count() // item_block))
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "q"), F.lit(blocks)) == k)
-        yield docs.sparkSession.sparkContext.broadcast(build([(r["item"], r["q"], r["a"]) for r in part.orderBy("item", "q").collect()]))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", question_col: str = "text", answer_col: str | None = None, item_col: str = "item_id", item_block: int = ITEM_BLOCK) -> DataFrame:
-    """(id_col, item_id, score, question_overlap, answer_overlap) of every document and item that match. score is the
+def _indexes(benchmark: DataFrame, question_col: str, answer_col: str | None, item_col: str, index_words: int) -> Iterator[Broadcast]:
+    """Broadcast indexes over all items, with the statistics of all."""
+    spark = benchmark.sparkSession
+    answer = (F.col(answer_col) if answer_col else F.lit(None)).cast("string")
+    items = materialize(benchmark.select(F.col(item_col).alias("item"), F.col(question_col).alias("q"), answer.alias("a")).distinct(), "items")
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [e for q, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (w := item_words(q) + item_words(a)) for e in cut(w)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(len, own), pa.int64()), pa.array([sorted(set(e)) for e in own], pa.list_(pa.string()))], names=["n", "words"])
+
+    every = materialize(items.select("q", "a").mapInArrow(entries, "n long, words array<string>"), "entries")
+    count, total = every.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    df = every.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    shards = max(1, -(-total // index_words))
+    df = materialize(df, "frequencies") if shards > 1 else df
+    name = F.xxhash64(F.coalesce(F.xxhash64(F.col("item").cast("string")), F.lit(0)), F.when(F.col("item").isNull(), F.xxhash64("q", "a")))
+    for k in range(shards):
+        rows, known = items, df
+        if shards > 1:
+            rows = items.where(F.pmod(name, F.lit(shards)) == k)
+            words = rows.select("q", "a").mapInArrow(entries, "n long, words array<string>").select(F.explode("words").alias("word")).distinct()
+            known = df.join(words, "word")
+        frequencies = {r["word"]: r["n"] for r in known.collect()}
+        listed = sorted((tuple(r) for r in rows.collect()), key=repr)
+        yield spark.sparkContext.broadcast(build(listed, Statistics(count, total / max(1, count), frequencies)))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", question_col: str = "text", answer_col: str | None = None, item_col: str = "item_id", index_words: int = INDEX_WORDS) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap) of every document and item that match. score is the
     best passage's BM25 over the item entry's own."""
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    numbers = ["score", "question_overlap", "answer_overlap"]
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", benchmark.schema[item_col].dataType), *[T.StructField(c, T.DoubleType()) for c in numbers]])
+    item_type = benchmark.select(item_col).limit(0).toArrow().schema.field(0).type
     result = None
-    for shared in _indexes(docs, benchmark, question_col, answer_col, item_col, item_block):
+    for shared in _indexes(benchmark, question_col, answer_col, item_col, index_words):
 
         def searched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                out = [(doc, item, *row) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for item, row in matches(index, text).items()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64() if i < 2 else pa.float64()) for i in range(5)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-
-        found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(searched, schema)
+                out = []
+                for i, found in enumerate(matches(index, batch.column(1).to_pylist())):
+                    best: dict[object, tuple] = {}
+                    for item, row in found.items():
+                        name = index.items[item][0]
+                        key = ("null", item) if name is None else name
+                        best[key] = max(best.get(key, (0.0, 0.0, 0.0, name)), (*row, name), key=lambda r: r[:3])
+                    out += [(i, row[3], *row[:3]) for row in best.values()]
+                ids = batch.column(0).take(pa.array([r[0] for r in out], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in out], item_type), *[pa.array([r[k] for r in out], pa.float64()) for k in (2, 3, 4)]], names=["doc_id", "item_id", *numbers])
+
+        found = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(searched, schema)
         result = found if result is None else result.unionByName(found)
     return result
 
@@ -219,13 +317,13 @@ def holds_item(text: Column, index: Broadcast) -> Column:
     @F.arrow_udf("boolean")
     def holds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([bool(matches(index.value, x)) for x in batch.to_pylist()], pa.bool_())
+            yield pa.array([bool(m) for m in matches(index.value, batch.to_pylist())], pa.bool_())
 
     return holds(text)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", question_col: str = "text", answer_col: str | None = None, item_col: str = "item_id", item_block: int = ITEM_BLOCK) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", question_col: str = "text", answer_col: str | None = None, item_col: str = "item_id", index_words: int = INDEX_WORDS) -> DataFrame:
     """docs without the rows whose text holds an item."""
-    for index in _indexes(docs, benchmark, question_col, answer_col, item_col, item_block):
+    for index in _indexes(benchmark, question_col, answer_col, item_col, index_words):
         docs = docs.where(~holds_item(F.col(text_col), index))
     return docs

@@ -45,21 +45,91 @@ def test_repeated_rows_and_ids_take_no_place_of_others(spark):
     assert ids == [7, *others[:9]]
 
 
+def impacts(entries: list[list[str]], threshold: float) -> list[dict[str, float]]:
+    """BM25 of every entry's words over what the entry's score must reach, by the formula."""
+    n, average = len(entries), sum(map(len, entries)) / len(entries)
+    out = []
+    for e in entries:
+        own = {}
+        for t in set(e):
+            df, tf = sum(t in x for x in entries), e.count(t)
+            own[t] = np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(e) / average))
+        out.append({t: x / (threshold * sum(own.values())) for t, x in own.items()})
+    return out
+
+
 def test_wand_finds_what_full_scoring_finds():
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(120)]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(3, 70))), None) for i in range(60)]
     index = decontaminate.build(items, threshold=0.3)
-    for _ in range(60):
-        text = rng.choices(vocabulary, k=96)
-        ids = np.array([index.terms[w] for w in text if w in index.terms])
-        query = np.unique(ids).tolist()
-        scores = np.zeros(len(index.owner))
-        for t in query:
-            for e, x in index.entries[t]:
-                scores[e] += x
-        blocks = np.flatnonzero(index.block_max[query].sum(axis=0) >= 1 - decontaminate.SLACK).tolist()
-        assert sorted(e for e, _ in decontaminate.retrieve(index, query, blocks)) == np.flatnonzero(scores >= 1 - decontaminate.SLACK).tolist()
+    entries = [e for _, q, _ in items for e in decontaminate.cut(q.split())]
+    own = impacts(entries, 0.3)
+    texts = [rng.choices(vocabulary, k=rng.choice([0, 20, 96, 400])) for _ in range(60)]
+    docs = [np.array([index.terms.get(w, -1) for w in t], np.int32) for t in texts]
+    want = {}
+    for d, text in enumerate(texts):
+        for start in range(0, max(1, 48 * (-(-len(text) // 48) - 1)), 48):
+            passage = set(text[start : start + 96])
+            want |= {(d, start, e): s for e, x in enumerate(own) if (s := sum(v for t, v in x.items() if t in passage)) >= 1 - 1e-9}
+    got = {(d, start, e): s for d, start, e, s in decontaminate.hits(index, docs)}
+    assert want and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    for passages, expanded in ((1, 10**9), (10**9, 1)):
+        decontaminate.PASSAGES, before, decontaminate.EXPANDED, last = passages, decontaminate.PASSAGES, expanded, decontaminate.EXPANDED
+        assert {(d, start, e) for d, start, e, _ in decontaminate.hits(index, docs)} == set(want)
+        decontaminate.PASSAGES, decontaminate.EXPANDED = before, last
+
+
+def test_contamination_is_what_brute_force_over_all_passages_and_items_finds(spark):
+    """Partial copies around both limits, questions and answers, and any number of indexes."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([6, 20, 60]))), " ".join(rng.choices(vocabulary, k=rng.choice([2, 9, 30]))) if i % 2 else None) for i in range(50)]
+    docs = []
+    for d in range(150):
+        _, q, a = items[d % 50]
+        copied = (q + " " + (a or "")).split()
+        copied = [w if rng.random() > d % 5 * 0.01 else "other" for w in copied][: rng.choice([None, None, -3, len(copied) * 3 // 4])]
+        docs.append((d, " ".join(rng.choices(vocabulary, k=rng.randint(0, 120)) + copied + rng.choices(vocabulary, k=rng.randint(0, 120)))))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, q string, a string")
+    parts = [(i, e) for i, (_, q, a) in enumerate(items) for e in decontaminate.cut((q + " " + (a or "")).split())]
+    own, shingles = impacts([e for _, e in parts], 0.75), lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    want = {}
+    for d, text in docs:
+        words = text.split()
+        for start in range(0, max(1, 48 * (-(-len(words) // 48) - 1)), 48):
+            passage = set(words[start : start + 96])
+            for (i, _), x in zip(parts, own, strict=True):
+                score = sum(v for t, v in x.items() if t in passage)
+                if score < 1 - 1e-9:
+                    continue
+                _, q, a = items[i]
+                q, a = q.split(), (a or "").split()
+                n = len(q) + len(a)
+                if a:
+                    sides = [(shingles(w, min(5, len(w))), min(5, len(w))) for w in (q, a)]
+                else:
+                    every = [tuple(q[k : k + 5]) for k in range(len(q) - 4)]
+                    sides = [({s for k, s in enumerate(every) if (2 * k < len(every)) == first}, 5) for first in (True, False)]
+                around = words[max(0, start - n) : start + 96 + n]
+                found = [len(s & shingles(around, size)) for s, size in sides]
+                if sum(found) >= 0.8 * sum(len(s) for s, _ in sides) and all(f >= 0.5 * len(s) for f, (s, _) in zip(found, sides, strict=True)):
+                    want[d, i] = max(want.get((d, i), 0.0), score * 0.75)
+    for words in (10**6, 400):
+        got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(table, bench, question_col="q", answer_col="a", index_words=words).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert 30 < len(want) < 150
+
+
+def test_repeated_null_and_text_item_ids(spark):
+    one, two, three = ("alpha beta gamma delta epsilon zeta eta", "uno due tre quattro cinque sei sette", "eins zwei drei vier fuenf sechs sieben")
+    bench = spark.createDataFrame([("x", one), ("x", one), ("x", two), (None, three), (None, one)], "item_id string, text string")
+    docs = spark.createDataFrame([("d1", f"{one} and {two}"), ("d1", f"{one} and {two}"), ("d2", three), (None, two), ("d3", "none")], "doc_id string, text string")
+    for words in (10**6, 8):
+        got = sorted((str(r["doc_id"]), str(r["item_id"])) for r in decontaminate.contaminated(docs, bench, index_words=words).collect())
+        assert got == sorted([("d1", "x"), ("d1", "None")] * 2 + [("d2", "None"), ("None", "x")])
+        assert [r["doc_id"] for r in decontaminate.clean(docs, bench, index_words=words).collect()] == ["d3"]
 
 
 def test_contamination_finds_planted_items_in_odd_tables(spark):
@@ -79,8 +149,8 @@ def test_contamination_finds_planted_items_in_odd_tables(spark):
     truth |= {(502, 0)}
     table = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
-    for block in (1000, 10):
-        found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(table, bench, item_block=block).collect()}
+    for words in (10**6, 500):
+        found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(table, bench, index_words=words).collect()}
         assert {p for p in found if p[1] != 90} == truth
     clean = {r["doc_id"] for r in decontaminate.clean(table, bench).collect()}
     assert clean == {d for d, _ in docs} - {d for d, _ in found}
