@@ -2,17 +2,31 @@
 
 A page is read as a row of tokens, tags and words. Words score positive and tags negative, by weights that labelled
 pages give: pages whose markup declares its content (an article or main element) label their own tokens as inside or
-outside, and a token kind's weight is the log ratio of its smoothed rates there. One linear scan finds the contiguous
-run of tokens with the highest sum; the blocks of text in it are the main text. Parts inside it that markup names as
-something else (navigation, adverts, asides, notices, forms, reader comments, scripts, styles) are left out.
+outside, and a token kind's weight is the log ratio of its smoothed rates there, kept on its side of zero. Kinds of words
+are words, words of links, and words that stand outside a declared content; those of tags are the names of blocks, and
+inline tags. One linear scan finds the contiguous run of tokens with the highest sum; the blocks in it are the main text,
+but for those that stand outside a declared content.
 
-Null and empty pages give the empty text. Character references are decoded once, white space inside a block becomes
-one space, blocks are joined by an empty line. Unclosed tags, comments and scripts end with the page. Ties between runs
-go to the first.
+Some parts take no part in the scan and aren't text: scripts, styles, graphics and what is hidden; elements for menus,
+footers, asides and forms, page headers; and parts whose class, id or role names them as such, as notices, adverts or
+reader comments. A name is read by its head ("ad-free" is no advert, "comment-list" is comments), and a part that is also
+named as content isn't left out. Nor is a named part that holds the page's heading or declared content, or a named part,
+form, aside or header that scores over RIVAL times as much as all that is left (comments and consent notices excepted):
+names don't remove an article.
+
+Tags follow HTML's rules: an unquoted value ends at white space or ">", whatever quotes stand in it; a quoted one at its
+quote, or, where that never comes, like an unquoted one; blocks end open paragraphs, items end items. A comment or script
+that is never closed takes the rest of the page; a tag cut off by the page's end is dropped. A menu or other part that is
+never closed ends at the next heading, paragraph, section, article or main element.
+
+Null and empty pages give the empty text. Character references are decoded once, white space inside a block becomes one
+space, blocks are joined by an empty line. Ties between runs go to the first, and to the longer of those that begin there.
+Repeated rows are read each; text and n_chars columns are replaced; a table without labelled pages has weights too (PRIOR).
 """
 
 from __future__ import annotations
 
+import dataclasses
 import html
 import math
 import re
@@ -22,141 +36,280 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--(?:.*?(?:-->|$))|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_TOKEN = re.compile(r"""<!--(?:-?>|(?s:.*?)(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?>"[^"]*+"|'[^']*+'|[^\s>]*+))?+|=)*+)(?:>|\Z)""")
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?>"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-#: Elements whose content isn't markup.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "xmp"}
-BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul caption".split())
-SKIPPED = {"nav", "footer", "aside", "form", "head", "menu", "button", "select", "dialog", "fieldset", "audio", "video"}
+_NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Elements whose content isn't markup; all but noscript end at their own end tag only.
+RAW = {"script", "style", "noscript", "iframe", "textarea", "title", "xmp", "noembed", "noframes"}
+#: Elements that are no text of a page.
+UNSEEN = {"head", "template", "svg", "object", "canvas", "audio", "video", "select", "button", "datalist"}
+PARTS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 CONTENT = {"article", "main"}
+BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul caption".split())
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "source", "area", "base", "col", "embed", "param", "track"}
-#: Names of classes, ids and roles that mark a part as something other than the article.
-NEVER = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall social share sharing related recommended recommendations comment comments reply replies respond disqus discussion widget breadcrumb breadcrumbs pagination pager login search skip toolbar".split())
-#: The same, unless the name also tells of a page's frame (as in "content with-sidebar").
-UNLESS_FRAME = set("sidebar aside nav navbar navigation menu header footer masthead topbar complementary contentinfo".split())
-FRAME = set("content main wrapper page container layout article body has with no".split())
+#: What an unclosed part ends at, and start tags that end an open element of their group.
+RESTART = {"main", "article", "section", "p", "h1", "h2", "h3"}
+SIBLINGS = {n: g for g in ({"li"}, {"dd", "dt"}, {"tr"}, {"td", "th"}, {"option"}, {"tbody", "thead", "tfoot"}) for n in g}
+#: Heads of names that mark a part as something other than the article; those that do so even if it is the larger part;
+#: those that mark content; what may follow a head; and words before which a name tells of something else.
+OFF = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner notice notices alert popup modal overlay subscribe subscription signup paywall social share sharing related recommended recommendations widget widgets breadcrumb breadcrumbs pagination pager login search skip toolbar sidebar aside nav navbar navigation menu header footer masthead topbar complementary contentinfo".split())
+STRONG = set("comment comments reply replies respond disqus discussion cookie cookies consent gdpr newsletter".split())
+GOOD = set("article content entry post story main body text page blog news".split())
+TAIL = set("list area container wrapper wrap left right top bottom box block section inner outer links link items item posts buttons button bar panel group widget form unit slot row".split())
+BEFORE = set("with has no without is not".split())
+RIVAL = 4
+#: Elements of PARTS, and page headers, that may hold an article all the same.
+RIVALS = {"form", "fieldset", "header", "aside", "dialog"}
 #: Counts added to those of labelled pages, inside and outside, so that a table without labels has weights too.
-PRIOR = {"word": (2000, 200), "word:link": (100, 200), "word:skipped": (1, 200), "word:outside": (1, 200), "tag": (300, 300), "tag:skipped": (10, 300)}
-
-
-def _named_off(name: str, attributes: str, inside: bool) -> bool:
-    if name in SKIPPED or (name == "header" and not inside):
-        return True
-    if not attributes or name in ("html", "body", *CONTENT):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    parts = {p.lower() for m in _NAMES.finditer(attributes) for p in _PART.findall(m[1] or m[2] or m[3] or "")}
-    frame = parts & FRAME or (inside and parts & {"header"})
-    return bool(parts & NEVER) or bool(parts & UNLESS_FRAME and not frame)
-
-
-def tokens(page: str | None) -> tuple[list[tuple[str, int, int, bool]], list[list[str]]]:
-    """(kind, count, block, inside) of each run of words or tag, and the texts of each block. block is -1 for tags and
-    for text that is left out; tags of parts that are left out are one kind; inside tells whether a content element is open."""
-    page = page or ""
-    declares = bool(re.search(r"<(?:article|main)[\s>]", page, re.I))
-    found: list[tuple[str, int, int, bool]] = []
-    blocks: list[list[str]] = [[]]
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, skipped, inside, link: each with what it inherits
-    skipped = inside = link = False
-    at, end = 0, len(page)
+PRIOR = {"word": (2000, 200), "word:link": (100, 200), "word:out": (1, 200), "tag": (300, 150)}
+
+
+def _name(token: str) -> str:
+    """What one class, id or role says of its part: off, strong, good or nothing."""
+    parts = [p.lower() for p in _PART.findall(token)]
+    if not parts or parts[0] in BEFORE:
+        return ""
+    while len(parts) > 1 and parts[-1] in TAIL:
+        parts.pop()
+    return "strong" if parts[-1] in STRONG or (parts[-1] in OFF and parts[0] in STRONG) else "off" if parts[-1] in OFF else "good" if parts[-1] in GOOD else ""
+
+
+@dataclasses.dataclass
+class Tag:
+    name: str
+    closing: bool
+    attributes: str
+    end: int = 0  # where the element ends, by token
+    closed: bool = True
+    off: str = ""  # unseen, part, strong or off: why it is left out
+    link: bool = False
 
-    def text(raw: str) -> None:
-        plain = html.unescape(raw)
-        n = len(plain.split())
-        if not n:
-            if raw and not skipped:
-                blocks[-1].append(" ")
+    def read(self, inside: bool) -> None:
+        """Why the element is left out, if it is."""
+        if self.name in UNSEEN:
+            self.off = "unseen"
+        elif self.name in PARTS or (self.name == "header" and not inside):
+            self.off = "part"
+        if not self.attributes or self.name in ("html", "body"):
             return
-        kind = "word:skipped" if skipped else "word:outside" if declares and not inside else "word:link" if link else "word"
-        if not skipped:
-            blocks[-1].append(plain)
-        found.append((kind, n, -1 if skipped else len(blocks) - 1, inside))
+        says = set()
+        for m in _ATTRIBUTE.finditer(self.attributes):
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if (name == "hidden" and value.lower() not in ("false", "until-found")) or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _NO_DISPLAY.search(value)):
+                self.off = "unseen"
+                return
+            if name in ("class", "id", "role"):
+                says |= {_name(t) for t in html.unescape(value).split()}
+        if self.off or self.name == "main":
+            return
+        if "good" not in says and says & {"off", "strong"} and not (self.name == "header" and inside):
+            self.off = "strong" if "strong" in says else "off"
+
 
+def lex(page: str) -> list[str | Tag]:
+    """Texts and tags of a page; comments and what isn't markup are gone."""
+    found: list[str | Tag] = []
+    at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
-            text(page[at:])
+            found.append(page[at:])
             break
         if m.start() > at:
-            text(page[at : m.start()])
+            found.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         name, closing = m[2].lower(), m[1] == "/"
-        if name in RAW and not closing:
-            if not m[3].endswith("/"):
+        if name in RAW:
+            if not closing:
                 close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
                 at = end if close is None else (page.find(">", close.start()) + 1 or end)
-            blocks[-1].append(" ") if not skipped else None
+            found.append(" ")
+        elif page[m.end() - 1] == ">":
+            found.append(Tag(name, closing, m[3]))
+    return found
+
+
+def match(tokens: list[str | Tag]) -> None:
+    """Sets where every element ends, by HTML's rules of implied ends, and what is left out."""
+    stack: list[tuple[int, Tag, bool]] = []  # token, tag, whether a content element is open
+
+    def pop(k: int, at: int, closed: bool) -> None:
+        for _, tag, _ in stack[k + 1 :]:
+            tag.end, tag.closed = at, tag.name in ("p", "li", "dd", "dt", "tr", "td", "th", "option")
+        stack[k][1].end, stack[k][1].closed = at, closed
+        del stack[k:]
+
+    for i, tag in enumerate(tokens):
+        if isinstance(tag, str):
             continue
-        if name in BLOCK and blocks[-1]:
-            blocks.append([])
-        elif name in ("br", "td", "th") and not skipped:
-            blocks[-1].append(" ")
-        if name in BLOCK and stack and stack[-1][0] == "p":  # a block ends an open paragraph
-            stack.pop()
-        if closing:
+        if tag.closing:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][1].name == tag.name:
+                    pop(k, i + 1, True)
+                    break
+                if tag.name not in BLOCK and tag.name != "a" and stack[k][1].name in BLOCK:
+                    break  # the end of an inline element ends no block
+            continue
+        if tag.name in BLOCK:  # a block ends an open paragraph
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][1].name == "p":
+                    pop(k, i, True)
+                    break
+                if stack[k][1].name in BLOCK:
+                    break
+        if tag.name in SIBLINGS:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+                if stack[k][1].name in SIBLINGS[tag.name]:
+                    pop(k, i, True)
                     break
-            found.append(("tag:skipped" if skipped else f"tag:/{name}" if name in BLOCK else "tag:/inline", 1, -1, inside))
-            _, skipped, inside, link = stack[-1] if stack else ("", False, False, False)
+                if stack[k][1].name in ("ul", "ol", "dl", "table", "select", "menu"):
+                    break
+        inside = bool(stack) and stack[-1][2]
+        tag.read(inside)
+        tag.link = tag.name == "a"
+        tag.end = i + 1
+        if tag.name not in VOID:
+            stack.append((i, tag, inside or (tag.name in CONTENT and not tag.off)))
+    if stack:
+        pop(0, len(tokens), False)
+    restarts = [i for i, t in enumerate(tokens) if isinstance(t, Tag) and not t.closing and t.name in RESTART]
+    for i, tag in enumerate(tokens):
+        if isinstance(tag, Tag) and tag.off and not tag.closed:
+            tag.end = next((k for k in restarts if i < k < tag.end), tag.end)
+
+
+@dataclasses.dataclass
+class Page:
+    """The tokens that take part in the scan: kind, number of words or 1, and block; and the pieces of each block."""
+
+    found: list[tuple[str, int, int]]
+    blocks: list[list[str]]
+    declared: bool
+
+
+def read(tokens: list[str | Tag], sizes: list[int], spared: frozenset[int] = frozenset()) -> Page:
+    """tokens after match; sizes: words before each token; spared: named parts that are taken in nevertheless."""
+    skip = [False] * (len(tokens) + 1)
+    heads = [isinstance(t, Tag) and not t.closing and (t.name in ("main", "h1") or (t.name == "article" and not t.off)) for t in tokens]
+    before = [0]
+    for h in heads:
+        before.append(before[-1] + h)
+    until = 0
+    for i, t in enumerate(tokens):
+        if isinstance(t, Tag) and t.off and i >= until and i not in spared and (t.off != "off" or before[t.end] == before[i + 1]):
+            until = t.end
+        skip[i] = i < until
+    seen = [0]
+    for i in range(len(tokens)):
+        seen.append(seen[-1] + (0 if skip[i] else sizes[i + 1] - sizes[i]))
+    count = lambda t, i: seen[t.end] - seen[i]
+    own = {n: [(i, t) for i, t in enumerate(tokens) if isinstance(t, Tag) and not t.closing and t.name == n and not skip[i]] for n in CONTENT}
+    words = {n: max([0, *(count(t, i) for i, t in own[n])]) for n in CONTENT}
+    # the narrower element declares the content, if it holds most of the wider one's words and a fair share of the page's
+    name = "article" if own["article"] and 2 * sum(count(t, i) for i, t in own["article"]) >= words["main"] else "main"
+    declared = bool(own[name]) and 5 * sum(count(t, i) for i, t in own[name]) >= seen[-1] > 0
+    inside = [False] * len(tokens)
+    for i, t in own[name] if declared else []:
+        inside[i : t.end] = [True] * (t.end - i)
+    found: list[tuple[str, int, int]] = []
+    blocks: list[list[str]] = [[]]
+    link = 0
+    for i, t in enumerate(tokens):
+        if isinstance(t, str):
+            if not skip[i]:
+                blocks[-1].append(html.unescape(t))
+                n = sizes[i + 1] - sizes[i]
+                if n:
+                    found.append(("word:out" if declared and not inside[i] else "word:link" if i < link else "word", n, len(blocks) - 1))
             continue
-        skipped, inside, link = (stack[-1][1:] if stack else (False, False, False))
-        if name not in VOID and not m[3].endswith("/"):
-            skipped = skipped or _named_off(name, m[3], inside)
-            inside = inside or (name in CONTENT and not skipped)
-            link = link or name == "a"
-            stack.append((name, skipped, inside, link))
-        found.append(("tag:skipped" if skipped else f"tag:{name}" if name in BLOCK else "tag:inline", 1, -1, inside))
-    return found, blocks
+        if t.name in BLOCK:
+            if blocks[-1]:
+                blocks.append([])
+        elif t.name in ("br", "td", "th"):
+            blocks[-1].append(" ")
+        if skip[i]:
+            continue
+        if t.link and not t.closing:
+            link = max(link, t.end)
+        found.append(("tag:inline" if t.name not in BLOCK else f"tag:/{t.name}" if t.closing else f"tag:{t.name}", 1, -1))
+    return Page(found, blocks, declared)
+
+
+def tokens_of(page: str | None) -> tuple[list[str | Tag], list[int]]:
+    tokens = lex(page or "")
+    match(tokens)
+    sizes = [0]
+    for t in tokens:
+        sizes.append(sizes[-1] + (len(html.unescape(t).split()) if isinstance(t, str) else 0))
+    return tokens, sizes
 
 
 def counts(page: str | None) -> dict[str, list[int]]:
     """Of a labelled page: how many tokens of each kind are inside and outside; nothing for other pages."""
-    found, _ = tokens(page)
+    tokens, sizes = tokens_of(page)
+    own = read(tokens, sizes)
     seen: dict[str, list[int]] = {}
-    if any(inside for *_, inside in found):
-        for kind, n, _, inside in found:
-            own = seen.setdefault(kind, [0, 0])
-            own[0 if inside and kind != "word:skipped" else 1] += n
+    if own.declared:
+        content = {b for kind, _, b in own.found if kind in ("word", "word:link")}
+        first, last = min(content, default=0), max(content, default=-1)
+        block = 0
+        for kind, n, b in own.found:
+            block = max(block, b)
+            inside = kind != "word:out" and first <= block <= last
+            seen.setdefault(kind, [0, 0])[0 if inside else 1] += n
+        # links and words outside are told from those inside by their markup only, so they count as plain ones too
+        seen.setdefault("word", [0, 0])[1] += seen.get("word:out", [0, 0])[1]
     return seen
 
 
 def weights(summed: dict[str, tuple[int, int]]) -> dict[str, float]:
-    """Log ratios of the smoothed rates, words at least and tags at most a small amount from zero on their side;
-    words that markup places outside the content stay negative, but little, so that an aside doesn't cut an article."""
+    """Log ratios of the smoothed rates, within bounds: words are over, tags and words outside a declared content under
+    zero, words of links no lower than a plain word is high. Tags of kinds that weren't seen weigh as all seen together."""
+    tags = [v for k, v in summed.items() if k.startswith("tag:")]
+    summed = {**summed, "tag": (sum(a for a, _ in tags), sum(b for _, b in tags))}
     full = {k: (a + PRIOR.get(k, (0, 0))[0], b + PRIOR.get(k, (0, 0))[1]) for k, (a, b) in {**dict.fromkeys(PRIOR, (0, 0)), **summed}.items()}
     ins, outs = (sum(v[i] for v in full.values()) + len(full) for i in (0, 1))
     found = {}
     for kind, (a, b) in full.items():
         ratio = math.log((a + 1) / ins) - math.log((b + 1) / outs)
-        found[kind] = max(ratio, 0.1) if kind == "word" else max(-0.5, min(ratio, -0.1)) if kind in ("word:skipped", "word:outside") else max(-0.1, min(ratio, -0.05)) if kind == "tag:skipped" else ratio if kind == "word:link" else max(-3.0, min(ratio, -0.05))
+        low, high = {"word": (0.2, 3.0), "word:link": (-1.0, 3.0), "word:out": (-1.0, -0.5)}.get(kind, (-3.0, -0.05))
+        found[kind] = min(max(ratio, low), high)
     return found
 
 
-def extract_text(page: str | None, weight: dict[str, float]) -> str:
-    found, blocks = tokens(page)
-    best, start, span, total, tag = 0.0, 0, (0, 0), 0.0, weight["tag"]
-    for i, (kind, n, _, _) in enumerate(found):
-        score = weight.get(kind, tag) * n
+def best_run(scores: list[float]) -> tuple[int, int, float]:
+    """(start, end, sum) of the first contiguous run with the highest sum; nothing where no score is positive."""
+    best, span, total, start = 0.0, (0, 0), 0.0, 0
+    for i, score in enumerate(scores):
         if total <= 0:
             total, start = 0.0, i
         total += score
-        if total > best:
+        if total > best or (total == best and span[1] and start == span[0]):
             best, span = total, (start, i + 1)
-    kept = sorted({b for kind, _, b, _ in found[span[0] : span[1]] if b >= 0 and kind != "word:outside"})
-    lines = (" ".join("".join(blocks[b]).split()) for b in kept)
+    return *span, best
+
+
+def extract_text(page: str | None, weight: dict[str, float]) -> str:
+    tokens, sizes = tokens_of(page)
+    score = lambda own: [weight.get(kind, weight["tag"]) * n for kind, n, _ in own.found]
+    own = read(tokens, sizes)
+    start, end, best = best_run(score(own))
+    named = {i: sizes[t.end] - sizes[i] for i, t in enumerate(tokens) if isinstance(t, Tag) and (t.off == "off" or (t.off == "part" and t.name in RIVALS))}
+    if named and max(named.values()) * weight["word"] > RIVAL * best:  # a large part left out: taken in if it scores like an article
+        wider = read(tokens, sizes, frozenset(i for i, n in named.items() if 2 * n >= max(named.values())))
+        span = best_run(score(wider))
+        if span[2] > RIVAL * best:
+            own, (start, end, best) = wider, span
+    kept = sorted({b for kind, _, b in own.found[start:end] if b >= 0 and kind != "word:out"})
+    lines = (" ".join("".join(own.blocks[b]).split()) for b in kept)
     return "\n\n".join(line for line in lines if line)
 
 
 def learn(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
-    """Weights from all labelled pages: counts of a bounded set of token kinds, summed by Spark."""
+    """Weights from all labelled pages: counts of token kinds, summed by Spark. Kinds are names of BLOCK and few others."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summed: dict[str, list[int]] = {}

@@ -177,6 +177,63 @@ def test_main_text(spark):
 
 
 def test_the_region_is_the_best_scoring_run():
-    weight = {"word": 1.0, "tag": -2.0, "word:link": -1.0, "word:skipped": -0.5, "word:outside": -1.0}
+    weight = {"word": 1.0, "tag": -2.0, "word:link": -1.0, "word:out": -1.0}
     page = "<p>a b</p><p><i><i><i><i>c d e f g h</i></i></i></i></p>"
     assert htmltext.extract_text(page, weight) == "c d e f g h"
+    rng = random.Random(6)
+    for _ in range(300):
+        scores = [rng.choice([-3, -1, -0.5, 0, 0.5, 1, 4]) for _ in range(rng.randint(0, 25))]
+        start, end, best = htmltext.best_run(scores)
+        runs = [(sum(scores[a:b]), -a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        most = max(runs, default=(0, 0, 0))
+        if most[0] <= 0:
+            assert (start, end, best) == (0, 0, 0.0)
+        else:
+            assert sum(scores[start:end]) == best == most[0]
+
+
+ARTICLE = "<h1>Big title here</h1><p>First para with <b>words</b> that go on and on.</p><p>Second one.</p><p>End.</p>"
+MENU = "<ul><li><a href=/a>Home</a></li><li><a href=/b>About us</a></li></ul>"
+FOOT = "<footer>copyright us 2020</footer>"
+LIKED = "<p>I liked it a lot thanks very much for this really great article my friends.</p>"
+SHAPES = {
+    "a class that hides overflow": f'<nav>{MENU}</nav><div class="overflow-hidden">{ARTICLE}</div>{FOOT}',
+    "content without adverts": f'<nav>{MENU}</nav><div class="entry-content ad-free">{ARTICLE}</div>{FOOT}',
+    "a post related to something": f'<nav>{MENU}</nav><div class="post related-to-x">{ARTICLE}</div>{FOOT}',
+    "a story of search results": f'<nav>{MENU}</nav><div id="search-results-story">{ARTICLE}</div>{FOOT}',
+    "a widget that is the page": f'<nav>{MENU}</nav><div class="widget">{ARTICLE}</div>{FOOT}',
+    "an apostrophe in a value": f'<nav>{MENU}</nav><div>{ARTICLE.replace("<p>First", "<p data-x=O\'Brien>First").replace("<p>Second", "<p title=don\'t>Second")}</div>{FOOT}',
+    "a stray quote": f'<div>{ARTICLE.replace("<p>Second", "<p title=a\" b>Second")}</div>',
+    "a menu that never ends": f"<nav>{MENU}<div>{ARTICLE}</div>{FOOT}",
+    "a menu without a name": f"<div>{MENU}</div><div>{ARTICLE}</div>{FOOT}",
+    "comments within": f'<article>{ARTICLE}<section id="comments"><article class="comment">{LIKED}</article></section></article>{FOOT}',
+    "comments longer than the article": f'<div class=main>{ARTICLE}</div><div id="comments"><div class="comment-body">{LIKED * 20}</div></div>{FOOT}',
+    "a form around the page": f"<form id=all><nav>{MENU}</nav><div>{ARTICLE}</div></form>{FOOT}",
+    "a header with the title": f"<header><a href=/>Site</a></header><main><header>{ARTICLE[:23]}</header>{ARTICLE[23:]}</main>",
+    "a sidebar by name": f'<div class="content with-sidebar">{ARTICLE}</div><div class="article-sidebar">{LIKED}</div>',
+    "an advert and an aside within": f"<article>{ARTICLE.replace('<p>Second', '<div class=ad>Buy now this great product</div><aside>see also</aside><p>Second')}</article>",
+    "a notice": f'<div class="cookie-notice">{LIKED}</div><div hidden>{LIKED}</div><div style="display:none">{LIKED}</div><div>{ARTICLE}</div>',
+    "a small teaser marked as an article": f"<nav>{MENU}</nav><div>{ARTICLE * 3}</div><article class=teaser>short</article>",
+}
+
+
+def test_articles_of_many_shapes():
+    want = "Big title here\n\nFirst para with words that go on and on.\n\nSecond one.\n\nEnd."
+    for weight in (htmltext.weights({}), htmltext.weights({k: tuple(v) for k, v in htmltext.counts(PAGE * 20).items()})):
+        for shape, page in SHAPES.items():
+            got = htmltext.extract_text(page, weight)
+            assert got.startswith("\n\n".join([want] * 3)) if "teaser" in shape else got == want, (shape, got)
+
+
+def test_markup_by_the_rules_of_html():
+    weight = htmltext.weights({})
+    for page, want in (
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p></article>", "Let x=1 be."),
+        ("<p>a < b and c > d &lt;b&gt; &amp;amp; x</p>", "a < b and c > d <b> &amp; x"),
+        ('<p>good text</p><p class="x', "good text"),
+        ("<p>before</p><script>var x=1; if (a<b) {}", "before"),
+        ("<p>one<!-- two --> and more<!-- four", "one and more"),
+        ("<p>un<b>believ</b>able and\u00a0 more\n here<br>now", "unbelievable and more here now"),
+        ("<ul><li>one thing or two<li>three things or four</ul>", "one thing or two\n\nthree things or four"),
+    ):
+        assert htmltext.extract_text(page, weight) == want
