@@ -11,8 +11,11 @@ empty text is its end alone. Words and pairs are named by 64-bit hashes. Repeate
 How it runs: each task cuts its rows into chunks, and sends every distinct word and pair of a chunk with its count there
 to the bucket that its hash falls in; buckets add up the counts and answer each chunk in the order it asked. Then each
 chunk's token numbers meet its answers. Frequent words and pairs are so added up before they move, and no task holds
-more than a chunk or a bucket, whose number grows with the input. A chunk is named by where it stands in the scan and by
-its contents; if a second reading of the rows cut them differently, names wouldn't agree, and the job would stop.
+more than a chunk or a bucket, whose number grows with the input, as does the number of tasks. A chunk is named by where
+it stands in the scan and by its contents; the rows are read twice, so they are stored first, that both cut them alike.
+
+Ids may be of any type; a null id is in the fold of the empty text. Columns of docs may have any names. An empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordmill.llm.common import fold
-from recordmill.llm.graph import materialize
+from recordmill.session import materialize
 
 CHUNK_BYTES = 12 << 20
 BUCKET_BYTES = 8 << 20
@@ -206,20 +209,25 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.concat_tables([replies, pa.Table.from_arrays(sums, names=names)])
 
 
-OWN = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("learned", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int32()))])
+OWN = ["chunk", "ids", "learned", "lengths", "keys", "tokens"]
+
+
+def _own(id_type: pa.DataType):
+    types = id_type, pa.bool_(), pa.int32(), pa.int64(), pa.int32()
 
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, chunk in _chunks(batches):
+            columns = (chunk.ids, chunk.learned, chunk.lengths.astype(np.int32), chunk.keys.view(np.int64), chunk.tokens)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c, t)) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk.name], pa.int64()), *lists], names=OWN)
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, chunk in _chunks(batches):
-        columns = (chunk.ids, chunk.learned, chunk.lengths.astype(np.int32), chunk.keys.view(np.int64), chunk.tokens)
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c, t.type.value_type)) for c, t in zip(columns, list(OWN)[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([chunk.name], pa.int64()), *lists], schema=OWN)
+    return own
 
 
 def _meet(own: pa.Table, answers: pa.Table) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray]:
     """The chunk, the totals of its words, the number of each token's pair, and the totals of its pairs."""
     if own.num_rows != 1:
-        raise RuntimeError("the rows were cut into other chunks when they were read again; write them to a table first")
+        raise RuntimeError("a stored row was cut into another chunk when it was read again")
     row = [own.column(c)[0].values for c in own.column_names[1:]]
     chunk = Chunk(row[0].to_pylist(), row[1].to_numpy(zero_copy_only=False), row[2].to_numpy().astype(np.int64), row[3].to_numpy().view(np.uint64), row[4].to_numpy(), 0)
     pairs, at = np.unique(chunk.pair_hashes(), return_inverse=True)
@@ -278,7 +286,7 @@ def learn_weights(context: np.ndarray, n: np.ndarray, f2: np.ndarray, f1: np.nda
     return found
 
 
-def _scored(weights: np.ndarray, total: int, vocabulary: int):
+def _scored(weights: np.ndarray, total: int, vocabulary: int, id_type: pa.DataType):
     def scored(own: pa.Table, answers: pa.Table) -> pa.Table:
         chunk, words, pair, pairs = _meet(own, answers)
         c, h = words[chunk.tokens], words[chunk.previous()]
@@ -287,7 +295,7 @@ def _scored(weights: np.ndarray, total: int, vocabulary: int):
         at = np.concatenate([[0], np.cumsum(chunk.lengths)[:-1]])
         add = lambda x: np.add.reduceat(x, at)
         base = np.log10((c + 0.1) / (total + 0.1 * (vocabulary + 1)))
-        return pa.table({"id": pa.array(chunk.ids, pa.int64()), "learned": chunk.learned, "n_tokens": chunk.lengths, "n_known": add((c > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))})
+        return pa.table({"id": pa.array(chunk.ids, id_type), "learned": chunk.learned, "n_tokens": chunk.lengths, "n_known": add((c > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))})
 
     return scored
 
@@ -296,18 +304,20 @@ def scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs; rows whose id falls
     in fold 0 of 10 aren't learned from."""
     tenth = fold(F.col(id_col), 10).cast("int")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), tenth.alias("tenth"))
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(4, -(-size // BUCKET_BYTES))
+    kind, id_type = docs.schema[id_col].dataType.simpleString(), docs.select(id_col).limit(0).toArrow().schema.field(0).type
+    rows = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), tenth.alias("tenth")), "rows")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, chunks = max(4, -(-size // BUCKET_BYTES)), max(4, -(-size // CHUNK_BYTES))
     asked = rows.mapInArrow(_ask(buckets), "grams int, bucket int, kind int, chunk long, keys array<long>, n array<int>")
-    answers = materialize(asked.groupBy("grams", "bucket").applyInArrow(_answer, ANSWERED), "answers")
+    answers = materialize(asked.repartition(buckets, "grams", "bucket").groupBy("grams", "bucket").applyInArrow(_answer, ANSWERED), "answers")
     sums = answers.where("kind = -1 AND grams = 1").agg(F.sum(F.col("n")[0]), F.sum(F.col("n")[1])).first()
     vocabulary, total = int(sums[0] or 0), int(sums[1] or 0)
-    own = "chunk long, ids array<long>, learned array<boolean>, lengths array<int>, keys array<long>, tokens array<int>"
-    meet = lambda rows, answers: rows.mapInArrow(_own, own).groupBy("chunk").cogroup(answers.where("kind >= 0").groupBy("chunk"))
+    own = f"chunk long, ids array<{kind}>, learned array<boolean>, lengths array<int>, keys array<long>, tokens array<int>"
+    grouped = lambda df: df.repartition(chunks, "chunk").groupBy("chunk")
+    meet = lambda rows, answers: grouped(rows.mapInArrow(_own(id_type), own)).cogroup(grouped(answers.where("kind >= 0")))
     held = meet(rows.where("tenth = 1"), answers.where("kind = 1")).applyInArrow(_held_out(total), "code long, n long, f2 double, f1 double")
     held = held.groupBy("code").agg(F.sum("n").alias("n"), F.sum("f2").alias("f2"), F.sum("f1").alias("f1")).toPandas()  # bounded by the number of bins
     n = held["n"].to_numpy(np.float64)
     weights = learn_weights(held["code"].to_numpy() // (512 * 512), n, held["f2"].to_numpy() / n, held["f1"].to_numpy() / n, 1 / (vocabulary + 1))
-    found = meet(rows, answers).applyInArrow(_scored(weights, total, vocabulary), "id long, learned boolean, n_tokens long, n_known long, base_score double, score double")
+    found = meet(rows, answers).applyInArrow(_scored(weights, total, vocabulary, id_type), f"id {kind}, learned boolean, n_tokens long, n_known long, base_score double, score double")
     return found.select(F.col("id").alias(id_col), (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
