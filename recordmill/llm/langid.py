@@ -3,28 +3,40 @@
 Every letter has a random vector of +1 and -1. A trigram's vector is the product of its letters' vectors, the first
 rotated by two places, the second by one. A text's profile is the sum (bundle) of its trigrams' vectors, a language's
 prototype that of all its learning texts; the nearest prototype by cosine is the prediction. Since bundling is linear,
-prototypes come from trigram counts that Spark sums over all learning texts.
+tasks bundle the trigram counts of their rows, and Spark sums the bundles of each language.
 
-Letters are lower-cased; a run of other characters counts as one space. The vectors of letters come from a hash of the
-code point, so any alphabet works without a learned inventory. Texts that are null or hold no letter get UNKNOWN and
-score 0. A score is the cosine, negative ones as 0. Ties go to the first language in order.
+Letters are those of Unicode's letter categories, with the marks that belong to them; they are lower-cased, and a run of
+other characters counts as one space. The vectors of letters come from a hash of the code point, so any alphabet works
+without a learned inventory. Texts that are null or hold no letter get UNKNOWN and score 0, and so do all where nothing
+was learned from. A score is the cosine, negative ones as 0. Ties go to the first language in order.
+
+Rows without a language aren't learned from; repeated rows are learned from and predicted each. Columns that an operator
+doesn't name may have any names. Prototypes are a stored table; they are broadcast LANGUAGES at a time, and a text keeps
+the best of all, so their number has no bound. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordmill.session import materialize
+
 DIMENSIONS = 1024
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
-SLICE_CHARS = 1 << 20
+#: Languages whose prototypes are broadcast, or bundled in one task, at a time.
+LANGUAGES = 2_000
+_NOT_ASCII_LETTERS = re.compile("[^a-z]+")
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def letter_vectors(codes: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -49,8 +61,9 @@ def gram_vectors(grams: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
 
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct trigrams of a whole text and their counts; none if it has no letter."""
-    plain = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
-    if not plain:
+    lower = (text or "").lower()
+    plain = (_NOT_ASCII_LETTERS if lower.isascii() else _NOT_LETTERS).sub(" ", lower).strip()
+    if not plain or not (plain.isascii() or _LETTER.search(plain)):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     codes = np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     packed = (codes[:-2] << np.uint64(42)) | (codes[1:-1] << np.uint64(21)) | codes[2:]
@@ -63,26 +76,13 @@ class Profiles:
     vectors: np.ndarray  # one normed row for each language
 
 
-def gram_counts(text: Column) -> Column:
-    """array<struct<gram,n>> of one text."""
-
-    @F.arrow_udf("struct<gram:array<long>,n:array<long>>")
-    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            found = [trigrams(x) for x in batch.to_pylist()]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(g) for g, _ in found])]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[k].astype(np.int64) for x in found]) if found else np.zeros(0, np.int64))) for k in (0, 1)]
-            yield pa.StructArray.from_arrays(lists, names=["gram", "n"])
-
-    return counted(text)
-
-
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS) -> Profiles:
-    """Prototypes from all rows with a language. Each task sums the trigram counts of its rows before they are
-    bundled, so what leaves it is one vector a language; the driver adds one vector for each task and language."""
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS) -> DataFrame:
+    """Prototypes (lang, vector) from all rows with a language, stored. Each task sums the trigram counts of its rows
+    before they are bundled, so what leaves it is one vector a language."""
 
     def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+        packed = lambda: pa.RecordBatch.from_pydict({"lang": list(sums), "part": [v.tolist() for v in sums.values()]}, schema=pa.schema([("lang", pa.string()), ("part", pa.list_(pa.float64()))]))
         for batch in batches:
             by_lang: dict[str, list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -94,15 +94,16 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
                 for start in range(0, len(grams), 8192):
                     part = counts[start : start + 8192].astype(np.float32) @ gram_vectors(grams[start : start + 8192], dimensions)
                     sums[lang] = sums.get(lang, 0) + part.astype(np.float64)
+            if len(sums) >= LANGUAGES:
+                yield packed()
+                sums.clear()
         if sums:
-            yield pa.RecordBatch.from_pydict({"lang": list(sums), "part": [v.tolist() for v in sums.values()]}, schema=pa.schema([("lang", pa.string()), ("part", pa.list_(pa.float64()))]))
+            yield packed()
 
-    parts = docs.where(F.col(lang_col).isNotNull()).select(lang_col, text_col).mapInArrow(bundled, "lang string, part array<double>")
+    parts = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(bundled, "lang string, part array<double>")
     summed = parts.select("lang", F.posexplode("part").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
-    rows = summed.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("v")).orderBy("lang").collect()
-    vectors = np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), dimensions)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    return Profiles([r["lang"] for r in rows], vectors.astype(np.float32))
+    listed = summed.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("vector"))
+    return materialize(listed, "prototypes")
 
 
 def predict_batch(texts: list[str | None], own: Profiles, group: int = 64) -> tuple[list[str], list[float]]:
@@ -116,7 +117,8 @@ def predict_batch(texts: list[str | None], own: Profiles, group: int = 64) -> tu
         profiles = np.zeros((len(found), dimensions), np.float32)
         for k in range(0, len(grams), 16384):
             profiles += counts[:, k : k + 16384] @ gram_vectors(grams[k : k + 16384], dimensions)
-        cosines = (profiles @ own.vectors.T) / np.maximum(np.linalg.norm(profiles, axis=1, keepdims=True), 1e-12)
+        exact = profiles.astype(np.float64)  # whole numbers
+        cosines = (exact @ own.vectors.T) / np.maximum(np.linalg.norm(exact, axis=1, keepdims=True), 1e-12)
         for (g, _), row in zip(found, cosines, strict=True):
             best = int(np.argmax(row)) if len(row) else -1
             known = len(g) > 0 and best >= 0
@@ -125,14 +127,25 @@ def predict_batch(texts: list[str | None], own: Profiles, group: int = 64) -> tu
     return langs, scores
 
 
-def predict(text: Column, profiles: Profiles, spark) -> Column:
-    """struct<lang,score>. The profiles hold one vector a language and are broadcast."""
+def predict(text: Column, prototypes: DataFrame) -> Column:
+    """struct<score,lang> of the nearest of the prototypes (lang, vector)."""
+    best = F.struct(F.lit(0.0).alias("score"), F.lit(UNKNOWN).alias("lang"))
+    rows = prototypes.orderBy("lang").toLocalIterator()
+    while block := list(itertools.islice(rows, LANGUAGES)):
+        vectors = np.array([r["vector"] for r in block], dtype=np.float64)
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        found = _nearest(text, Profiles([r["lang"] for r in block], vectors), prototypes.sparkSession)
+        best = F.when((found["lang"] != UNKNOWN) & ((best["lang"] == UNKNOWN) | (found["score"] > best["score"])), found).otherwise(best)
+    return best
+
+
+def _nearest(text: Column, profiles: Profiles, spark) -> Column:
     shared = spark.sparkContext.broadcast(profiles)
 
-    @F.arrow_udf("struct<lang:string,score:double>")
+    @F.arrow_udf("struct<score:double,lang:string>")
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             langs, scores = predict_batch(batch.to_pylist(), shared.value)
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
+            yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(langs, pa.string())], names=["score", "lang"])
 
     return predicted(text)

@@ -63,8 +63,8 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned from rows outside fold 0 of 5."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    profiles = langid.learn(docs.where(fold(F.col("doc_id"), 5) != 0))
-    found = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), langid.predict(F.col("text"), profiles, spark).alias("p"))
+    prototypes = langid.learn(docs.where(fold(F.col("doc_id"), 5) != 0))
+    found = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), langid.predict(F.col("text"), prototypes).alias("p"))
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
