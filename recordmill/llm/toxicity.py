@@ -6,9 +6,11 @@ features in too few fitted texts (MIN_TEXTS, MIN_SHARE) or with a ratio under MI
 regression on these values, whose classes weigh alike, gives the score. Null and empty texts have no n-grams and get
 the intercept's score.
 
-The fit reads at most MAX_FIT_ROWS distinct labelled texts (chosen by a hash of the text, so the choice is the same in
-every run, toxic ones up to half of them): this bound is what keeps the training matrix, which one task holds, of fixed size.
-A table without labels of both kinds gives a model that scores every text 0.
+The fit reads at most MAX_FIT_ROWS distinct labelled texts and MAX_FIT_CHARS of their characters (chosen by a hash of the
+text, so the choice is the same in every run, toxic ones up to half of them; texts of over MAX_TEXT_CHARS are scored, but
+not fitted): these bounds keep the training matrix, which one task holds, of fixed size. A table without labels of both
+kinds gives a model that scores every text 0. Rows with a null id have no label. Repeated rows are scored each, and are
+one text in the fit. Columns that an operator doesn't name may have any names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,13 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
-#: Documented bound of the fit: labelled texts that one task sees, as feature ids only.
+#: Documented bounds of the fit: labelled texts that one task sees, as feature ids only; the characters of all of them
+#: together, and of one. A character gives at most four ids.
 MAX_FIT_ROWS = 3_000
+MAX_FIT_CHARS = 16_000_000
+MAX_TEXT_CHARS = 1_000_000
 #: A feature is used from so many fitted texts on: this many, or this share of them.
 MIN_TEXTS, MIN_SHARE = 3, 0.005
 MIN_RATIO = 1.5
@@ -116,16 +121,18 @@ def train(rows: list[np.ndarray], labels: np.ndarray, orders: tuple[int, ...] =
     return Model(kept.astype(np.int32), (w[:-1] * r[kept]).astype(np.float32), float(w[-1]), orders, bits)
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = MAX_FIT_ROWS) -> DataFrame:
-    """(id, y) of at most max_rows labelled texts: toxic ones up to half of them, others for the rest, each by a hash of
-    the text. Of equal texts one counts, for a text with many copies would outweigh the others' words. Labels other than
-    0 and 1 take no part; of several labels of a text the larger counts."""
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
-    one = texts.join(known, "id").groupBy("h").agg(F.max("y").alias("y"), F.min("id").alias("id"))
+def fit_sample(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = MAX_FIT_ROWS, max_chars: int = MAX_FIT_CHARS, max_text: int = MAX_TEXT_CHARS) -> DataFrame:
+    """(id, y) of at most max_rows labelled texts of no more than max_chars characters together: toxic ones up to half of
+    both, others for the rest, each by a hash of the text. Of equal texts one counts, for a text with many copies would
+    outweigh the others' words. Labels other than 0 and 1 take no part; of several labels of a text the larger counts."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.length(text).alias("n")).where(F.col("n") <= max_text)
+    one = texts.join(known, "id").groupBy("h").agg(F.max("y").alias("y"), F.min(F.struct("id", "n")).alias("s")).select("h", "y", "s.*")
     toxic = one.where("y = 1").orderBy("h").limit(max_rows // 2)
     rest = one.where("y = 0").orderBy("h").limit(max_rows - max_rows // 2)
-    return toxic.unionByName(rest).select("id", "y")
+    before = F.sum("n").over(Window.partitionBy("y").orderBy("h"))  # over max_rows rows at most
+    return toxic.unionByName(rest).withColumn("sum", before).where(F.col("sum") <= max_chars // 2).select("id", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = MAX_FIT_ROWS) -> Model:
