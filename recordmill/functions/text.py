@@ -39,8 +39,9 @@ def clean(c: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """clean, lower case, PUNCTUATION as space."""
-    return collapse(F.regexp_replace(F.lower(clean(c)), PUNCTUATION, " "))
+    """clean, lower case, PUNCTUATION as space: one pass, for white space that clean would leave collapses all the same."""
+    dropped = f"[{CONTROL[1:-1]}{SPACE[1:-1]}{PUNCTUATION[1:-1]}]+"
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), dropped, " "))
 
 
 def header(c: Column, creative: bool = False) -> Column:
@@ -104,7 +105,8 @@ def body_bytes(text: Column, record_type: Column) -> Column:
 
 
 def percent(c: Column) -> Column:
-    return F.concat(F.round(c * 100).cast("int").cast("string"), F.lit("%"))
+    """A share as whole per cent, halves up."""
+    return F.concat(F.floor(c * 100 + 0.5).cast("string"), F.lit("%"))
 
 
 def issue_category(label: Column, kind: Column) -> Column:

@@ -21,21 +21,23 @@ TOP = 8
 
 def split(text: Column) -> Column:
     """The sentences of a text, blank ones left out; the whole text if there is none."""
-    found = F.filter(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: trim(s) != "")
-    return F.when(F.size(found) > 0, found).otherwise(F.array(text))
+    found = F.filter(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: s.rlike(f"[^{SPACE[1:]}"))
+    # bound to a name of the row, so that a text is split once
+    return F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(text)))[0]
 
 
 def exploded(records: DataFrame) -> DataFrame:
-    """(record_order, at, sentence, norm) of every sentence of every record."""
-    each = records.select("record_order", F.posexplode(split(F.col("text"))).alias("at", "sentence"))
+    """(record_order, at, sentence, norm) of every sentence of every record. No record is without one; the outer form
+    keeps the optimiser from splitting each text again to test for that."""
+    each = records.select("record_order", F.posexplode_outer(split(F.col("text"))).alias("at", "sentence"))
     return each.select("record_order", "at", "sentence", normalize(F.col("sentence")).alias("norm"))
 
 
 def reuse(records: DataFrame) -> DataFrame:
     """(norm, n_records) of sentences of at least LEAST_LENGTH characters: in how many records each stands. A record's
     own repeats are dropped before anything is shuffled."""
-    own = records.select(F.array_distinct(F.transform(split(F.col("text")), normalize)).alias("norms"))
-    each = own.select(F.explode(F.filter("norms", lambda s: F.length(s) >= LEAST_LENGTH)).alias("norm"))
+    norms = F.filter(F.array_distinct(F.transform(split(F.col("text")), normalize)), lambda s: F.length(s) >= LEAST_LENGTH)
+    each = records.select(F.explode_outer(norms).alias("norm")).where("norm IS NOT NULL")
     return each.groupBy("norm").agg(F.count(F.lit(1)).alias("n_records"))
 
 
@@ -57,7 +59,7 @@ def align(pairs: DataFrame) -> DataFrame:
     """For each sentence of a record the best sentence of its match. pairs: record_order, text, match_text. Level exact:
     equal normal forms of at least LEAST_LENGTH characters, the first such; similar: a word Jaccard similarity of at
     least SIMILAR_SCORE with SIMILAR_SHARED words shared; none otherwise. Ties go to the earlier sentence."""
-    side = lambda c, n: pairs.select("record_order", F.posexplode(split(F.col(c))).alias(f"{n}at", f"{n}s")).select("record_order", f"{n}at", f"{n}s", normalize(F.col(f"{n}s")).alias(f"{n}n"))
+    side = lambda c, n: pairs.select("record_order", F.posexplode_outer(split(F.col(c))).alias(f"{n}at", f"{n}s")).select("record_order", f"{n}at", f"{n}s", normalize(F.col(f"{n}s")).alias(f"{n}n"))
     left = side("text", "a").withColumn("aw", _words(F.col("an")))
     right = side("match_text", "b").withColumn("bw", _words(F.col("bn")))
     both = left.join(right, "record_order", "left")
