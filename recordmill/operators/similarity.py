@@ -53,22 +53,32 @@ def best_partners(records: DataFrame, floor: float = FLOOR) -> DataFrame:
     tokens, then to the lowest order. records: record_order, normalized_text, tokens. With floor 0 every pair that
     shares a token is looked at, which suits small tables only."""
     least = records.select("record_order", *_text_key()).groupBy("_k1", "_k2").agg(F.min("record_order").alias("record_order"), F.count(F.lit(1)).alias("copies"))
-    one = materialize(records.select("record_order", "tokens").join(least.select("record_order", "copies"), "record_order").where(F.size("tokens") > 0), "texts")
+    words = records.select("record_order", "tokens").join(least.select("record_order", "copies"), "record_order").where(F.size("tokens") > 0)
+    one = materialize(words.withColumn("hashes", F.transform("tokens", lambda t: F.xxhash64(t))), "texts")
     if floor > 0:
         keyed = _prefixes(one.select("record_order", "tokens"), floor)
     else:
-        keyed = one.select("record_order", F.size("tokens").alias("n"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("prefix"))
-    keys = keyed.select("record_order", "n", (F.col("n") - F.size("prefix")).alias("s"), F.explode("prefix").alias("key"))
-    left = keys.join(one.where("copies = 1").select("record_order"), "record_order", "left_semi").select(F.col("record_order").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), "key")
-    right = keys.select(F.col("record_order").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), "key")
+        keyed = one.select("record_order", F.size("tokens").alias("n"), F.col("hashes").alias("prefix"))
+    keys = keyed.select("record_order", "n", (F.col("n") - F.size("prefix")).alias("s"), F.posexplode_outer("prefix").alias("i", "key"))
+    own = lambda df, e: df.select("key", F.col("record_order").alias(e), *[F.col(c).alias(c + e) for c in ("n", "s", "i")])
+    left = own(keys.join(one.where("copies = 1").select("record_order"), "record_order", "left_semi"), "a")
     near = (F.col("nb") >= floor * F.col("na")) & (F.col("na") >= floor * F.col("nb"))
-    met = left.join(right, "key").where((F.col("a") != F.col("b")) & near).groupBy("a", "b", "na", "nb", "sa", "sb").agg(F.count(F.lit(1)).alias("k"))
-    # what isn't shared in both prefixes can only stand behind the one that ends first
-    pairs = met.where(F.col("k") + F.greatest("sa", "sb") >= F.lit(floor / (1 + floor)) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
-    texts = one.select("record_order", "tokens")
-    full = pairs.join(texts.select(F.col("record_order").alias("a"), F.col("tokens").alias("ta")), "a").join(texts.select(F.col("record_order").alias("b"), F.col("tokens").alias("tb")), "b")
-    shared = F.array_intersect("ta", "tb")
-    scored = full.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity"), F.array_position("ta", F.element_at(shared, 1)).alias("at"))
+    met = left.join(own(keys, "b"), "key").where((F.col("a") != F.col("b")) & near)
+    met = met.groupBy("a", "b", "na", "nb", "sa", "sb").agg(F.count(F.lit(1)).alias("k"), F.min("ia").alias("ia"), F.min("ib").alias("ib"))
+    # the first token shared and all behind it must be enough; what isn't shared in both prefixes stands behind the one that ends first
+    most = F.least(F.col("k") + F.greatest("sa", "sb"), F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    enough = most >= F.lit(floor / (1 + floor)) * (F.col("na") + F.col("nb")) - 1e-6
+    of = lambda shared: shared / (F.col("na") + F.col("nb") - shared)
+    pairs = met.where(enough).select("a", "b", of(F.col("k")).alias("low"), (of(most) + 1e-9).alias("high"))
+    if floor > 0:  # a partner that can't reach what another one has for certain isn't fetched
+        pairs = materialize(pairs, "pairs")
+        certain = pairs.groupBy("a").agg(F.max("low").alias("least"))
+        pairs = pairs.join(certain, "a").where("high >= least")
+    texts = one.select("record_order", "hashes")
+    full = pairs.select("a", "b").join(texts.select(F.col("record_order").alias("a"), F.col("hashes").alias("ta")), "a").join(texts.select(F.col("record_order").alias("b"), F.col("hashes").alias("tb")), "b")
+    shared = F.transform(F.array(F.array_intersect("ta", "tb")), lambda s: F.struct(F.size(s).alias("k"), F.array_position(F.col("ta"), F.get(s, F.lit(0))).alias("at")))[0]
+    each = full.select("a", "b", (F.size("ta") + F.size("tb")).alias("n"), shared.alias("s"))
+    scored = each.select("a", "b", (F.col("s.k") / (F.col("n") - F.col("s.k"))).alias("similarity"), F.col("s.at").alias("at"))
     best = F.max_by(F.struct("b", "similarity"), F.struct("similarity", -F.col("at"), -F.col("b")))
     return scored.where(F.col("similarity") >= floor).groupBy("a").agg(best.alias("m")).select(F.col("a").alias("record_order"), F.col("m.b").alias("match_order"), F.col("m.similarity").alias("similarity"))
 
