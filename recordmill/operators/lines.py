@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordmill.functions.text import SPACE, spaceless
+from recordmill.functions.text import DEFAULTS, SPACE, clean, spaceless
+from recordmill.operators import segment
+from recordmill.operators.merge import long_enough
 
 # Patterns of lines that aren't record text.
 WATERMARK = r"/[0-9]{4}\.[0-9]{2}\.[0-9]{2} [0-9]{2}:[0-9]{2}/"
@@ -68,3 +70,15 @@ def classes(people: DataFrame, rows: DataFrame) -> DataFrame:
     room = F.coalesce("s.class_number", "fc", "r.class_number")
     label = lambda *c: F.coalesce(F.concat(*c), F.lit(""))
     return both.select("source_file", "person", label(grade.cast("string"), F.lit("학년")).alias("grade"), label(grade.cast("string"), F.lit("학년 "), room.cast("string"), F.lit("반")).alias("class_name"), number.alias("number"))
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """(source_file, person, pos, subject, text) of the sections of every person's text; all lines of a file give its
+    section names. A text without sections is one of an unknown subject; those of up to three characters are left out."""
+    texts = joined(section_lines(lines)).select("source_file", "person", F.col("person").alias("source_row"), "text")
+    parts = segment.split(texts, segment.names(texts))
+    several = F.max("pos").over(Window.partitionBy("source_file", "person")) >= 0
+    unknown = DEFAULTS["subject"]
+    kept = parts.withColumn("_several", several).where(~F.col("_several") | (F.col("pos") >= 0)).withColumn("subject", F.coalesce("name", F.lit(unknown)))
+    text = clean(F.when(F.col("subject") == unknown, F.col("part")).otherwise(F.concat("subject", F.lit(": "), "part")))
+    return long_enough(kept.select("source_file", "person", F.greatest("pos", F.lit(0)).alias("pos"), "subject", text.alias("text")))
