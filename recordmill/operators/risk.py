@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 THRESHOLD, REVIEW_FLOOR, REVIEW_STEP, EQUAL = 0.65, 0.45, 0.2, 0.9995
 STATUSES = ("exact", "high", "review", "normal")
 LABELS = {"exact": "완전 일치", "high": "높은 유사도", "review": "검토 필요", "normal": "정상"}
+#: Subjects that stand first in a filter.
+FIRST_SUBJECTS = ("자율활동", "자율·자치활동", "진로활동", "동아리활동", "봉사활동", "개인별 세특")
 ISSUE_TYPES = ("typo", "symbol", "prohibited", "institution", "business")
 
 
@@ -67,8 +69,10 @@ def record_mode(records: DataFrame) -> DataFrame:
     return records.agg(F.when(creative, "creative").when(subject, "subject").otherwise("mixed").alias("mode"))
 
 
-def filter_values(records: DataFrame, column: str, first: list[str] | None = None) -> DataFrame:
-    """Distinct values of a column: those named first in that order, then the rest, digits in them by value."""
+def filter_values(records: DataFrame, column: str, first: tuple[str, ...] | None = None) -> DataFrame:
+    """Distinct values of a column: those named first in that order, then the rest, digits in them by value; for subjects
+    FIRST_SUBJECTS, if nothing else is asked for."""
+    first = FIRST_SUBJECTS if first is None and column == "subject" else first
     place = F.array_position(F.array(*map(F.lit, first)), F.col(column)) if first else F.lit(0)
     number = F.regexp_extract(column, "([0-9]+)", 1)
     return records.select(column).distinct().orderBy(F.when(place > 0, place).otherwise(1 << 30), F.when(number != "", number.cast("long")), column)

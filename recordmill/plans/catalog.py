@@ -13,7 +13,7 @@ from recordmill.operators import inspect, merge, review, risk, segment, sentence
 from recordmill.operators import lines as lines_op
 from recordmill.plans import audit
 from recordmill.plans import sql as S
-from recordmill.plans.records import HANGUL, cell_rows, from_documents, hangul, lines, packed_cells, with_key, with_tokens
+from recordmill.plans.records import HANGUL, cell_rows, from_documents, hangul, lines, packed_cells, people_lines, replaced, subject_sheets, with_key, with_tokens
 from recordmill.sources import layouts, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,6 +166,59 @@ def length_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return over.join(r.select("record_order", T.body_bytes(F.col("text"), F.col("record_type")).alias("n_bytes")), "record_order")
 
 
+#: Words of the invented prose, and what stands in their place where rules are to meet something.
+SIGNS = ((" the ", " ★ "), (" and ", " → "), (" of ", " ① "))
+NAMED = ((" the ", " 「구글」 "), (" in ", " 구글 "), (" and ", " 국세청 "), (" of ", " 국사편찬위원회 "))
+BLOOD = ((" the ", " 헌혈 "), (" is ", " 대한적십자사 충북혈액원 "))
+BRACKETS = (("q", "("), ("w", ")"), (" the ", " ( "), (" in ", " ) "))
+
+
+@query(f"WITH {S.RECORDS}, changed AS (SELECT record_order, {S.replaced(SIGNS)} AS text FROM records), ranked AS (SELECT *, row_number() OVER (PARTITION BY record_order ORDER BY start) AS rn FROM {found_sql('changed', '특수기호', '[★→①]')}) SELECT record_order, match, start FROM ranked WHERE rn <= 10")
+def issues_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = inspect.inspect(replaced(from_documents(spark, sf_dir), SIGNS))
+    return found.where("type = 'symbol'").select("record_order", "match", "start")
+
+
+@query(f"""WITH {S.RECORDS}, changed AS (SELECT record_order, {S.replaced(NAMED)} AS text FROM records), found AS (SELECT 'business' AS type, * FROM {found_sql('changed', '상호명', '구글', "substr(text, CAST(start AS BIGINT), 1) <> '「'")} UNION ALL SELECT 'institution' AS type, * FROM {found_sql('changed', '기관명', '국세청')}),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY record_order, type ORDER BY start) AS rn FROM found) SELECT record_order, type, label, match, start FROM ranked WHERE rn <= 10""")
+def issues_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of businesses outside titles, and of institutions that aren't allowed."""
+    found = inspect.inspect(replaced(from_documents(spark, sf_dir), NAMED))
+    return found.where(F.col("match").isin("구글", "국세청", "국사편찬위원회")).select("record_order", "type", "label", "match", "start")
+
+
+@query(f"WITH {S.RECORDS}, changed AS (SELECT record_order, {S.replaced(BLOOD)} AS text FROM records) SELECT record_order, CAST(strpos(text, '헌혈') - 1 AS INTEGER) AS start FROM changed WHERE contains(text, '헌혈') AND NOT contains(text, '대한적십자사 충북혈액원')")
+def issues_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.inspect(replaced(from_documents(spark, sf_dir), BLOOD)).where("label = '헌혈 기관명'").select("record_order", "start")
+
+
+@query(f"""WITH {S.RECORDS}, changed AS (SELECT record_order, regexp_replace({S.replaced(BRACKETS)}, '[‘’“”''"\[\]「」『』〈〉《》]', ' ', 'g') AS text FROM records),
+ marks AS (SELECT * FROM (SELECT record_order, unnest(range(0, length(text))) AS start, unnest(string_split(text, '')) AS c FROM changed WHERE length(text) > 0) WHERE c IN ('(', ')')),
+ depths AS (SELECT *, sum(CASE WHEN c = '(' THEN 1 ELSE -1 END) OVER (PARTITION BY record_order ORDER BY start) AS depth FROM marks),
+ bounds AS (SELECT *, least(0, coalesce(min(depth) OVER (PARTITION BY record_order ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low, min(depth) OVER (PARTITION BY record_order ORDER BY start ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later FROM depths)
+ SELECT record_order, c AS match, CAST(start AS INTEGER) AS start FROM bounds WHERE (c = ')' AND depth < low) OR (c = '(' AND later >= depth)""")
+def unmatched_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = replaced(from_documents(spark, sf_dir), BRACKETS)
+    changed = changed.withColumn("text", F.regexp_replace("text", "[‘’“”'\"\\[\\]「」『』〈〉《》]", " "))
+    found = inspect.inspect(changed, cap=1 << 30)
+    return found.where("label = '짝 안 맞는 부호'").select("record_order", "match", "start")
+
+
+@query(f"""WITH {S.RECORDS}, t AS (SELECT record_order, record_order % 4 + 2021 AS a, record_order % 3 + 2022 AS b, record_order // 3 % 2 + 2023 AS c, record_order % 40 AS d FROM records),
+ terms AS (SELECT record_order, 1 AS k, 0 AS start, a - 1 AS o, '학급 임원(' AS lead, a || '.03.01.-' || a || '.08.' || lpad(CAST(d AS VARCHAR), 2, '0') || '.' AS match, CASE WHEN d = 0 OR d > 31 THEN 'danger' WHEN d <> 31 THEN 'warning' END AS severity FROM t
+   UNION ALL SELECT record_order, 2, 0, b - 2, '', b || '.03.01.-' || b || '.08.31.', NULL FROM t UNION ALL SELECT record_order, 3, 0, c - 3, '', c || '.03.01.-' || c || '.08.31.', NULL FROM t),
+ held AS (SELECT * FROM terms WHERE severity IS DISTINCT FROM 'danger'), votes AS (SELECT record_order, o, count(*) AS n, min(k) AS k FROM held GROUP BY ALL), usual AS (SELECT record_order, o FROM (SELECT *, row_number() OVER (PARTITION BY record_order ORDER BY n DESC, k) AS rn FROM votes) WHERE rn = 1)
+ SELECT record_order, match, severity FROM terms WHERE severity IS NOT NULL UNION ALL SELECT h.record_order, match, 'danger' FROM held h JOIN usual u ON u.record_order = h.record_order AND u.o <> h.o WHERE severity IS NULL""")
+def issues_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of office: days that don't exist, ends that aren't due, years that don't fit the grade."""
+    n = F.col("record_order")
+    term = lambda year, day: F.concat(year.cast("string"), F.lit(".03.01.-"), year.cast("string"), F.lit(".08."), day, F.lit("."))
+    years = n % 4 + 2021, n % 3 + 2022, F.floor(n / 3) % 2 + 2023
+    text = F.concat(F.lit("1학년 학급 임원("), term(years[0], F.lpad((n % 40).cast("string"), 2, "0")), F.lit(") 2학년 반장("), term(years[1], F.lit("31")), F.lit(") 3학년 반장("), term(years[2], F.lit("31")), F.lit(")"))
+    found = inspect.inspect(from_documents(spark, sf_dir).withColumn("text", text))
+    return found.where("label = '임원 기간'").select("record_order", "match", "severity")
+
+
 @query()
 def issues_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.inspect(from_documents(spark, sf_dir))
@@ -237,6 +290,11 @@ def class_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.filter_values(from_documents(spark, sf_dir), "class_name")
 
 
+@query(f"WITH {S.RECORDS} SELECT DISTINCT subject FROM records")
+def subject_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.filter_values(from_documents(spark, sf_dir), "subject")
+
+
 ORDER = "CASE status WHEN 'exact' THEN 0 WHEN 'high' THEN 1 WHEN 'review' THEN 2 ELSE 3 END, n_issues DESC, similarity DESC, name, record_order"
 
 
@@ -245,6 +303,21 @@ def review_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.page(classified(spark, sf_dir), "priority", 2).select("record_order", "status", "n_issues")
 
 
+@query(CLASSIFIED + "SELECT record_order, round(similarity, 9) AS similarity FROM classified ORDER BY similarity DESC, name, record_order LIMIT 30")
+def review_by_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.page(classified(spark, sf_dir), "risk").select("record_order", F.round("similarity", 9).alias("similarity"))
+
+
+@query(f"WITH {S.RECORDS} SELECT record_order, name FROM records ORDER BY name, record_order LIMIT 30 OFFSET 60")
+def review_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.page(from_documents(spark, sf_dir), "name", 3).select("record_order", "name")
+
+
+@query(f"WITH {S.RECORDS} SELECT record_order, subject FROM records ORDER BY subject, record_order LIMIT 30 OFFSET 60")
+def review_by_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.page(from_documents(spark, sf_dir), "subject", 3).select("record_order", "subject")
+
+
 @query(CLASSIFIED + f"SELECT c.record_order, status FROM classified c LEFT JOIN records o ON o.record_order = c.match_order WHERE {S.normalize("concat_ws(' ', c.name, c.class_name, c.subject, c.text, o.name)")} LIKE '%the of%' AND status <> 'normal'")
 def review_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.filtered(classified(spark, sf_dir), term="The, of").where("status <> 'normal'").select("record_order", "status")
@@ -338,6 +411,31 @@ def issue_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("type", "label", T.issue_category(F.col("label"), F.col("type")).alias("category")).agg(F.count(F.lit(1)).alias("n_issues"))
 
 
+@query(CLASSIFIED + "SELECT record_order, name, class_name, subject, text, status, round(similarity, 6) AS similarity, match_order FROM classified")
+def report_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.report_records(classified(spark, sf_dir))
+
+
+def _two_rules() -> tuple[rulebook.Rule, ...]:
+    return tuple(r for r in rulebook.RULES if r.label in ("따옴표 모양", "문장부호 반복"))
+
+
+def _rules_sql() -> str:
+    """The rules of two labels, numbered by first use, and their issues."""
+    found = " UNION ALL ".join(f"SELECT '{r.type}' AS type, label, '{r.reference}' AS reference, '{r.severity}' AS severity, '{r.guidance}' AS guidance, record_order, match, start FROM {found_sql('records', r.label, rx)}" for r, rx in zip(_two_rules(), (r"\.\.+|,,+|!!+|\?\?+", "[‘’“”]"), strict=True))
+    return f"WITH {S.RECORDS}, found AS ({found}), firsts AS (SELECT type, label, reference, severity, guidance, min(record_order * 1000000000 + start) AS first FROM found GROUP BY ALL), rules AS (SELECT *, CAST(row_number() OVER (ORDER BY first, type, label) - 1 AS INTEGER) AS rule FROM firsts) "
+
+
+@query(_rules_sql() + "SELECT type, label, reference, severity, guidance, rule FROM rules")
+def report_rule_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.report_rules(inspect.scan(from_documents(spark, sf_dir), _two_rules()))
+
+
+@query(_rules_sql() + "SELECT record_order, rule, start, match FROM found JOIN rules USING (type, label)")
+def report_issue_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.report_issues(inspect.scan(from_documents(spark, sf_dir), _two_rules()))
+
+
 @query()
 def report_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.report_rules(inspect.inspect(from_documents(spark, sf_dir)))
@@ -371,6 +469,29 @@ def spelling_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.verdicts(words, _dictionary(words)).where("explanation = 'neighbour'").select("word", "suggestion")
 
 
+#: The same letters with closed syllables and particles among them.
+PARTICLES = "가나다이마바사아자차카발파간너더러는을은버서어저처커"
+PARTICLE_SQL = HANGUL_SQL.replace(HANGUL, PARTICLES)
+
+
+@query(f"""WITH {S.RECORDS}, {PARTICLE_SQL}, u AS (SELECT word, right(word, 1) AS last, left(word, length(word) - 1) AS stem FROM words WHERE length(word) >= 3 AND n <= 5 AND word NOT IN (SELECT word FROM known)),
+ j AS (SELECT *, stem IN (SELECT word FROM known) AS stem_known, stem || '한' IN (SELECT word FROM known) AS root_known, (ord(right(stem, 1)) - 44032) % 28 <> 0 AS closed FROM u WHERE length(stem) >= 2),
+ r AS (SELECT *, CASE WHEN last IN ('을', '를') THEN CASE WHEN closed THEN '을' ELSE '를' END WHEN last IN ('은', '는') THEN CASE WHEN closed THEN '은' ELSE '는' END WHEN last IN ('이', '가') THEN CASE WHEN closed THEN '이' ELSE '가' END WHEN last IN ('과', '와') THEN CASE WHEN closed THEN '과' ELSE '와' END END AS due FROM j)
+ SELECT word, stem || due AS suggestion FROM r WHERE stem_known AND due IS NOT NULL AND due <> last""")
+def spelling_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = from_documents(spark, sf_dir)
+    words = spelling.frequency(r.withColumn("text", F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", PARTICLES)))
+    return spelling.verdicts(words, _dictionary(words)).where("explanation = 'particle'").select("word", "suggestion")
+
+
+@query()
+def dictionary_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole audit with a dictionary: records by status and issue type."""
+    r = with_key(with_tokens(hangul(from_documents(spark, sf_dir))))
+    records, _ = audit.audit(r, dictionary=_dictionary(spelling.frequency(r)))
+    return records.groupBy("status", F.array_join("issue_types", " ").alias("types")).agg(F.count(F.lit(1)).alias("n_records"), F.sum("n_issues").alias("n_issues"))
+
+
 @query()
 def spelling_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = hangul(from_documents(spark, sf_dir))
@@ -420,6 +541,37 @@ def layout_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layouts.records(cell_rows(spark, sf_dir)).select(*layouts.RECORD)
 
 
+def sheet_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layouts.records(subject_sheets(spark, sf_dir))
+
+
+@query(f"WITH {S.SHEETS} SELECT record_order, subject, number, name, text FROM records")
+def sheets_to_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sheet_records(spark, sf_dir).select("record_order", "subject", "number", "name", "text")
+
+
+@query(CLASSIFIED.replace(S.RECORDS, S.SHEETS) + "SELECT record_order, group_size, status, n_issues, match_order, round(similarity, 9) AS similarity FROM classified")
+def sheets_to_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From cells of sheets to classified records."""
+    rules = tuple(r for r in rulebook.RULES if r.label == "문장부호 반복")
+    r = with_key(sheet_records(spark, sf_dir))
+    return audit.classify(similarity.matched(r), inspect.scan(r, rules)).select("record_order", "group_size", "status", "n_issues", "match_order", F.round("similarity", 9).alias("similarity"))
+
+
+@query("""WITH p AS (SELECT doc_id AS person, doc_id % 2 = 0 AS named, doc_id % 3 + 1 AS last FROM documents), g AS (SELECT *, CASE WHEN named THEN 3 ELSE last END AS grade FROM p)
+ SELECT CASE WHEN named THEN '3학년 4반.pdf' ELSE 'x.pdf' END AS source_file, person, 'n' || person AS name, grade || '학년' AS grade, grade || '학년 ' || CASE WHEN named AND last < 3 THEN 4 ELSE person % 9 + last END || '반' AS class_name, CAST(person % 35 + last AS VARCHAR) AS number FROM g""")
+def line_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and classes of the persons of extracted lines."""
+    rows = people_lines(spark, sf_dir)
+    people = lines_op.names(rows)
+    return people.join(lines_op.classes(people.select("source_file", "person"), lines_op.enrolments(rows)), ["source_file", "person"])
+
+
+@query()
+def lines_to_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_op.records(lines(spark, sf_dir))
+
+
 @query()
 def subject_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.names(packed_cells(spark, sf_dir))

@@ -71,3 +71,30 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = docs.select(F.concat(F.lit("f"), (F.col("doc_id") % 7).cast("string")).alias("source_file"), F.col("doc_id").alias("person"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "text"))
     heads = docs.select(F.concat(F.lit("f"), (F.col("doc_id") % 7).cast("string")).alias("source_file"), F.col("doc_id").alias("person"), F.lit(-1).alias("line_no"), F.when(F.col("doc_id") % 4 == 0, "행동특성 및 종합의견").otherwise("과 목 세부능력 및 특기사항").alias("text"))
     return each.unionByName(heads).withColumn("page", F.lit(1))
+
+
+def subject_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as rows of sheets in the subject-wise layout, twenty conversations a file."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    file = F.concat(F.lit("f"), F.lpad(F.floor(F.col("conv_id") / 20).cast("string"), 9, "0"))
+    row = lambda row, cells: turns.select(file.alias("source_file"), F.lit("Sheet1").alias("sheet_name"), row.cast("long").alias("source_row"), cells.alias("cells"))
+    heads = row(F.lit(1), F.array(*map(F.lit, ["과목", "학년", "학기", "번호", "성명", "세부능력 및 특기사항"]))).distinct()
+    name = F.concat(F.lit("n"), F.col("conv_id").cast("string"))
+    return heads.unionByName(row(F.col("conv_id") * 1000 + F.col("turn") + 10, F.array("role", F.lit("2"), F.lit("1"), (F.col("conv_id") % 997).cast("string"), name, "text")))
+
+
+def people_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a person with lines of a name and of enrolments in one to three grades."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("person"))
+    file = F.when(F.col("person") % 2 == 0, "3학년 4반.pdf").otherwise("x.pdf")
+    grades = F.transform(F.sequence(F.lit(1).cast("long"), F.col("person") % 3 + 1), lambda g: F.concat_ws(" ", g, F.col("person") % 9 + g, F.col("person") % 35 + g, F.lit("담임")))
+    text = F.concat(F.array(F.concat(F.lit("성명 : n"), F.col("person").cast("string"), F.lit(" 반"))), grades)
+    return docs.select(file.alias("source_file"), "person", F.lit(1).alias("page"), F.posexplode_outer(text).alias("line_no", "text"))
+
+
+def replaced(records: DataFrame, pairs: tuple[tuple[str, str], ...]) -> DataFrame:
+    """records with words of their texts replaced, one pair after the other, so that rules meet them in invented prose."""
+    text = F.col("text")
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return records.withColumn("text", text)

@@ -32,3 +32,17 @@ BEST = """sizes AS (SELECT record_order, count(*) AS n FROM tokens GROUP BY 1),
    JOIN groups g ON g.record_order = a.record_order AND g.group_size = 1 JOIN groups h ON h.record_order = b.record_order AND h.first = b.record_order GROUP BY ALL),
  scored AS (SELECT a, b, pos, k / (x.n + y.n - k) AS similarity FROM shared JOIN sizes x ON x.record_order = a JOIN sizes y ON y.record_order = b),
  best AS (SELECT * FROM (SELECT a AS record_order, b AS match_order, similarity, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, pos, b) AS rn FROM scored WHERE similarity >= 0.45) WHERE rn = 1)"""
+
+
+def replaced(pairs: tuple[tuple[str, str], ...], x: str = "text") -> str:
+    for old, new in pairs:
+        x = f"replace({x}, '{old}', '{new}')"
+    return x
+
+
+#: Records of sheets in the subject-wise layout, as plans.records.subject_sheets and sources.layouts make them.
+SHEETS = f"""cleaned AS (SELECT *, {collapse("regexp_replace(coalesce(text, ''), '[\x00-\x1f\x7f]', ' ', 'g')")} AS chunk FROM conversations),
+ listed AS (SELECT conv_id, role, min(turn) AS turn, list(chunk ORDER BY turn, chunk) AS chunks FROM cleaned WHERE chunk <> '' GROUP BY ALL),
+ merged AS (SELECT *, list_reduce(chunks, lambda a, b: CASE WHEN contains(regexp_replace(a, '{SPACE}+', '', 'g'), regexp_replace(b, '{SPACE}+', '', 'g')) THEN a ELSE {trim("a || ' ' || b")} END) AS body FROM listed),
+ records AS (SELECT row_number() OVER (ORDER BY conv_id // 20, conv_id * 1000 + turn, role) - 1 AS record_order, 'subject' AS record_type, '학급 미상' AS class_name, '2학년' AS grade, role AS subject, CAST(conv_id % 997 AS VARCHAR) AS number,
+   'n' || conv_id AS name, role || ': ' || body AS text, {normalize("role || ': ' || body")} AS normalized_text FROM merged WHERE length(body) > 3)"""
