@@ -2,7 +2,9 @@
 
 Null texts count as empty and give no ids. Each match of the split pattern is merged on its own. Texts longer than
 CHUNK_CHARS are cut first, only at places where no match of the pattern can reach across, so the ids are those of the
-whole text. Ids outside the rank file make decode fail rather than give wrong bytes.
+whole text; a stretch without such a place, as of letters only, stays whole. Ids outside the rank file make decode fail
+rather than give wrong bytes. Repeated rows are encoded each, an empty table gives an empty one, and columns of docs with
+the names of the results are replaced.
 """
 
 from __future__ import annotations

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +27,6 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
-def bytes_of(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-
-
 def keep_free(columns: list[str], name: str) -> str:
     """A working-column name that clashes with none of the given columns, compared as Spark does, without case."""
     taken = {c.lower() for c in columns}

@@ -43,5 +43,20 @@ def test_cutting_long_texts_changes_nothing():
         assert [i for p in parts for i in encoding.encode_ordinary(p)] == whole
 
 
+def test_a_stretch_without_a_safe_place_stays_whole():
+    with open(RANKS, "rb") as f:
+        encoding = bpe._encoding(f.read(), public_tokenizers.PATTERN)
+    for text in ("ab" * 300, "\u6771\u4eac" * 300, "!?" * 300):
+        assert list(bpe.pieces(text, 50)) == [text]
+        assert bpe.encode_text(text, encoding).tolist() == encoding.encode_ordinary(text)
+    mixed = "ab" * 300 + "12" * 300
+    assert list(bpe.pieces(mixed, 50)) == ["ab" * 300, "12" * 300]
+
+
+def test_repeated_rows_are_encoded_each(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, None)], "doc_id long, text string")
+    assert sorted(r["n_tokens"] for r in bpe.digests(docs, RANKS, public_tokenizers.PATTERN).collect()) == [0, 2, 2]
+
+
 def test_an_empty_table_gives_an_empty_result(spark):
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string"), RANKS, public_tokenizers.PATTERN).count() == 0
