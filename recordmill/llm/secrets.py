@@ -3,7 +3,7 @@
 Every version of a text is a blob, named by its SHA-256. A ledger in the shared folder holds which (blob, rule, rule
 version) pairs have been scanned and what was found. A scan takes one row for each blob that has an unseen pair, scans
 it for those rules only, appends to the ledger, and joins the findings of the current rule versions back to all rows
-(paths) with that blob. Raise a rule's version to have every blob scanned for it again.
+(paths) with that blob. A rule whose version, pattern or lengths change is scanned for again in every blob.
 
 Null texts count as empty. Positions count code points, ends are exclusive. Matches of a rule are leftmost and don't
 overlap; matches that fail its length conditions are dropped after they have consumed their text. Repeated rows each
@@ -14,11 +14,14 @@ again, and repeats are dropped on reading.
 from __future__ import annotations
 
 import dataclasses
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordmill.llm.graph import materialize
+from recordmill import session
+from recordmill.llm.common import keep_free
+from recordmill.session import materialize
 
 
 @dataclasses.dataclass(frozen=True)
@@ -32,6 +35,11 @@ class Rule:
     at_least: int = 1
     version: int = 1
 
+    @property
+    def stamp(self) -> int:
+        """What the ledger knows the rule's version by: it changes with the version and with all that decides a match."""
+        return zlib.crc32(repr((self.version, self.pattern, self.group, self.at_least)).encode()) & 0x7FFFFFFF
+
     def may_match(self, text: Column) -> Column:
         return text.rlike(self.hint or self.pattern) if self.hint_is_pattern or not self.hint else text.contains(self.hint)
 
@@ -88,7 +96,7 @@ def find(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     placed = zipped.withColumn("stop", F.sum(F.col("m.own") + F.col("m.gap")).over(before).cast("int"))
     table = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (i, r.at_least)])
     kinds = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (i, r.kind)])
-    versions = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (i, r.version)])
+    versions = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (i, r.stamp)])
     kept = placed.where(F.col("m.part") >= F.element_at(table, F.col("rule")))
     return kept.select("blob", F.element_at(kinds, F.col("rule")).alias("kind"), F.element_at(versions, F.col("rule")).alias("version"), (F.col("stop") - F.col("m.own")).cast("int").alias("start"), "stop")
 
@@ -101,7 +109,7 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_col
     paths = materialize(named.select("id", "blob"), "paths")
     blobs = paths.groupBy("blob").agg(F.min("id").alias("keeper"))
     seen = _ledger(spark, ledger, "scanned", SCANNED)
-    current = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    current = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.stamp).alias("version")) for r in rules])
     if seen.isEmpty():
         unseen = blobs.withColumn("kinds", F.array(*[F.lit(r.kind) for r in rules]))
     else:
@@ -112,10 +120,10 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_col
     key = lambda df, c: df.withColumn("k", F.coalesce(F.col(c).cast("string"), F.lit("")))
     texts = key(named, "id").join(key(unseen, "keeper").drop("keeper").hint("shuffle_hash"), ["blob", "k"]).select("blob", "text", "kinds")
     find(texts, rules).distinct().write.mode("append").parquet(f"{ledger}/findings")
-    versions = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)])
+    versions = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.stamp)])
     done = unseen.select("blob", F.explode("kinds").alias("kind")).withColumn("version", F.element_at(versions, F.col("kind")))
     done.write.mode("append").parquet(f"{ledger}/scanned")
-    now = F.array(*[F.concat_ws("@", F.lit(r.kind), F.lit(r.version)) for r in rules])
+    now = F.array(*[F.concat_ws("@", F.lit(r.kind), F.lit(r.stamp)) for r in rules])
     findings = _ledger(spark, ledger, "findings", FINDINGS).where(F.array_contains(now, F.concat_ws("@", "kind", "version")))
     return paths, findings.distinct()
 
@@ -145,17 +153,23 @@ def report(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_c
 
 def redact(docs: DataFrame, ledger: str, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with every found span, overlapping ones merged, replaced by mark. Texts without a finding stay as they are,
-    null ones too."""
-    _, findings = scan(docs, ledger, rules, text_col, id_col)
+    null ones too, and so do other columns, whatever their names. Texts are streamed past the list of spans if that is
+    short enough to be broadcast; else they are dealt out by id and blob, so that copies of a text don't meet in one task."""
+    paths, findings = scan(docs, ledger, rules, text_col, id_col)
     order = Window.partitionBy("blob").orderBy("start", "stop")
     merged = findings.withColumn("reach", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     merged = merged.withColumn("part", F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = merged.groupBy("blob", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    spans = spans.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans")).withColumnRenamed("blob", "_blob")
-    text, at = F.col(text_col), F.col("_spans")
+    spans = materialize(spans.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans")), "spans")
+    blob, at, own = (keep_free(docs.columns, name) for name in ("_blob", "_spans", "_id"))
+    named = docs.withColumn(blob, blob_name(F.col(text_col)))
+    listed = spans.select(F.col("blob").alias(blob), F.col("spans").alias(at))
+    if (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= session.BROADCAST_ROWS:
+        joined = named.join(F.broadcast(listed), blob, "left")
+    else:
+        hits = paths.select(F.col("id").alias(own), F.col("blob").alias(blob)).distinct().join(listed, blob).withColumnRenamed(blob, "_" + blob)
+        joined = named.join(hits.hint("shuffle_hash"), (named[blob] == hits["_" + blob]) & named[id_col].eqNullSafe(hits[own]), "left")
+    text, at = F.col(text_col), F.col(at)
     stops = F.concat(F.array(F.lit(0)), F.transform(at, lambda s: s["stop"]))
     kept = F.zip_with(stops, F.concat(F.transform(at, lambda s: s["start"]), F.array(F.length(text))), lambda a, b: F.substring(text, a + 1, b - a))
-    # only the ids and names are joined with the spans; the texts are streamed
-    named = docs.withColumn("_blob", blob_name(text))
-    joined = named.join(spans.hint("shuffle_hash"), "_blob", "left")
-    return joined.withColumn(text_col, F.when(at.isNull(), text).otherwise(F.array_join(kept, mark))).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(at.isNull(), text).otherwise(F.array_join(kept, mark))).select(*[text_col if c == text_col else named[c] for c in docs.columns])

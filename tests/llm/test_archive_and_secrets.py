@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+from recordmill import session
 from recordmill.llm import secrets, warc
 from recordmill.session import fresh_path
 
@@ -84,3 +85,24 @@ def test_redaction_replaces_merged_spans_only(spark):
     docs = spark.createDataFrame([(0, 'a token = "0123456789abcdef0123456789" b', 1), (1, None, 1), (2, "clean", 1)], "doc_id long, text string, id int")
     got = {r["doc_id"]: r["text"] for r in secrets.redact(docs, fresh_path(spark, "ledger")).collect()}
     assert got == {0: 'a [SECRET]" b', 1: None, 2: "clean"}
+
+
+def test_redaction_keeps_columns_of_any_name_and_both_ways_agree(spark, monkeypatch):
+    key = "AKIA" + "Q7" * 10
+    rows = [(1, f"a {key} b", 5, [1], b"x"), (1, f"a {key} b", 6, [2], b"y"), (2, f"a {key} b", 7, None, None), (None, f"{key}", 8, None, None), (3, None, 9, None, None), (4, "plain", 1, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _blob int, _spans array<int>, _id binary")
+    for rows_ in (10**6, 0):
+        monkeypatch.setattr(session, "BROADCAST_ROWS", rows_)
+        got = secrets.redact(docs, fresh_path(spark, "ledger"))
+        assert got.dtypes == docs.dtypes
+        want = [(r[0], r[1].replace(key, "[SECRET]") if r[1] else r[1], *r[2:]) for r in docs.collect()]
+        assert sorted(map(str, [tuple(r) for r in got.collect()])) == sorted(map(str, want))
+
+
+def test_a_rule_whose_pattern_changes_is_scanned_for_again(spark):
+    ledger = fresh_path(spark, "ledger")
+    docs = spark.createDataFrame([(1, "xoxb-0123456789 AIza" + "k" * 35 + " eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl " + "-----BEGIN RSA PRIVATE KEY-----\nAb+/=\n-----END RSA PRIVATE KEY-----")], "doc_id long, text string")
+    kinds = lambda rules: {r["kind"] for r in secrets.scan(docs, ledger, rules)[1].collect()}
+    assert kinds(secrets.RULES) == {"chat", "cloud", "jwt", "pem"}
+    other = tuple(secrets.dataclasses.replace(r, pattern="zzz") if r.kind == "chat" else r for r in secrets.RULES)
+    assert kinds(other) == {"cloud", "jwt", "pem"} and kinds(secrets.RULES) == {"chat", "cloud", "jwt", "pem"}
