@@ -67,3 +67,7 @@ def test_key_stores(spark):
     assert [r["key"] for r in review.newest(store.unionByName(keys), 2).collect()] == ["b", "c"]
     raw = spark.createDataFrame([('["x", "y"]',), ("{}",), ("no",), (None,)], "value string")
     assert {r["key"] for r in review.load_keys(raw).collect()} == {"x", "y"}
+
+
+def test_shares_are_whole_per_cent_halves_up(spark):
+    assert [value(spark, T.percent(F.lit(x))) for x in (0.0, 0.125, 0.995, 1.0)] == ["0%", "13%", "100%", "100%"]
