@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordmill.session import fresh_path
-
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read again: a cut in the lineage that outlives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from recordmill.session import materialize, release
 
 
 def _shape(edges: DataFrame) -> tuple[int, int]:
@@ -37,7 +29,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last, edges = edges, materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        release(last)
         before, shape = shape, _shape(edges)
         if shape == before:
             break

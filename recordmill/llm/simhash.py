@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordmill.llm.common import keep_free, words
-from recordmill.llm.graph import components, materialize
+from recordmill.llm.graph import components
+from recordmill.session import materialize, small
 
 BITS = 64
 SEED = 42
@@ -156,8 +157,8 @@ def groups(rows: DataFrame, fp_col: str = "fp", radius: int = 4, id_col: str = "
     count = nodes.count()
     found = components(links(nodes.select("fp"), radius, 3 if count < 1 << 27 else 2))
     merged = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = merged.groupBy("component").agg(F.min("least").alias("component_id"))
-    label = merged.join(least, "component").select(F.col("fp").alias(keep_free(rows.columns, "node")), "component_id")
+    least = materialize(merged.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "least")
+    label = merged.join(small(least), "component", "left").withColumn("component_id", F.coalesce("component_id", "least")).select(F.col("fp").alias(keep_free(rows.columns, "node")), "component_id")
     node = label.columns[0]
     return rows.join(label, rows[fp_col] == label[node], "left").drop(node)
 

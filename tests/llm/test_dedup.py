@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from recordmill import session
 from recordmill.llm import dedup, simhash
 from recordmill.llm.common import words
 from recordmill.llm.graph import components
@@ -136,7 +137,7 @@ def test_leaders_that_go_open_what_they_took(spark):
     rows = [(i, [len(s), *dedup.prefix_of(np.array(sorted(s)), none, order).tolist()]) for i, s in sets.items()]
     table = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "tid long, sh array<long>")
     stars = spark.createDataFrame([(3, 2), (5, 2), (4, 1)], "tid long, leader long").where("tid <> 4").unionByName(spark.createDataFrame([(6, 1)], "tid long, leader long"))
-    gone = dedup.resolved(spark.createDataFrame(rows, "tid long, prefix array<long>"), stars, lambda tids: table.join(tids, "tid", "left_semi"))
+    gone = dedup.resolved(spark.createDataFrame(rows, "tid long, prefix array<long>"), stars, lambda tids: session.materialize(table.join(tids, "tid", "left_semi"), "shingles"))
     left = {r["tid"] for r in gone.collect()}
     alike = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
     stay = set(sets) - left
@@ -157,3 +158,43 @@ def test_similar_texts_meet_whatever_their_fingerprints(spark):
     docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     kept = {r["doc_id"] for r in dedup.keep_one(docs).collect()}
     assert far > 10 and len(kept) == 60 and {i // 2 for i in kept} == set(range(60))
+
+
+def test_odd_columns_and_repeated_rows(spark):
+    rows = [(1, "a b c d e f g", 7, {"k": 1}, "x"), (1, "a b c d e f g", 5, {"k": 2}, "y"), (2, "A b c d e f g", 5, {"k": 2}, "y"), (3, None, 1, None, None), (None, None, 1, None, None), (None, "only one here", 1, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _d1 int, m map<string,int>, keeper string")
+    got = dedup.keep_one(docs)
+    assert got.columns == docs.columns
+    kept = sorted(map(str, got.collect()))
+    assert kept == sorted(str(r) for r in docs.collect() if r["doc_id"] == 3 or r["text"] == "only one here" or (r["doc_id"], r["_d1"]) == (1, 5))
+
+
+def test_shuffled_and_broadcast_lists_give_the_same(spark, monkeypatch):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for _ in range(8):
+        base = [word() for _ in range(120)]
+        rows += [(len(rows) + k, " ".join(w if rng.random() > 0.02 or k == 0 else word() for w in base)) for k in range(24)]
+    docs = spark.createDataFrame(rows + [(len(rows), rows[0][1])], "doc_id long, text string")
+    kept = [{r["doc_id"] for r in dedup.keep_one(docs).collect()}]
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(dedup, "SHARE_ROWS", 4)
+    kept.append({r["doc_id"] for r in dedup.keep_one(docs).collect()})
+    texts = dict(rows)
+    for own in kept:
+        assert not [(a, b) for a in own for b in own if a < b and jaccard(texts[a], texts[b]) >= 0.8]
+        assert all(i in own or any(jaccard(t, texts[k]) >= 0.8 for k in own) for i, t in texts.items())
+
+
+def test_fingerprints_are_majorities_of_all_shingles_counted_bit_by_bit():
+    import xxhash
+
+    rng = random.Random(15)
+    for n in (1, 3, 4, 5, 40, 700):
+        text = " ".join(rng.choices(["Ab", "c", "d\u00e9", "E", "f"], k=n))
+        own = text.replace("A", "a").replace("E", "e").split(" ")
+        parts = [" ".join(own[i : i + 4]) for i in range(len(own) - 3)] or [" ".join(own)]
+        hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint_of(simhash.shingles(text, 4)) == want
