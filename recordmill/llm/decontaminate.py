@@ -5,10 +5,11 @@ length, so that any entry that stands in a document stands whole in one of its p
 distinct words) and retrieves every entry whose BM25 score reaches THRESHOLD of the entry's score against itself; there
 is no top-k. Document frequencies, the number of entries and their average length are those of the whole benchmark.
 
-Search is block-max WAND, for many passages at once. A passage's words are ordered by their largest impact; those before
-the pivot can't reach a threshold together, so only blocks of entries that hold a word from the pivot on are looked at.
-In each of these, the words' maxima in the block bound the score, and only blocks whose bound reaches the threshold are
-opened and scored. Postings and block maxima are sparse.
+Search is block-max WAND, for many passages at once. A passage whose words can't reach a threshold with their largest
+impacts is done. The pivot of another parts its common words, which stand in many blocks of entries, from its rare ones:
+where the common ones can't reach a threshold together, only blocks that hold a rare one are looked at. In each of these,
+the words' maxima in the block bound the score, and only blocks whose bound reaches the threshold are opened and scored.
+Block maxima are lists for rare words and rows for common ones, which take no more than COMMON times the lists' room.
 
 What is retrieved is verified: at least OVERLAP of the item's five-word shingles, and at least HALF of those of its
 question and of its answer, must stand in the document around the passage. Without an answer column, shingles that begin
@@ -50,10 +51,13 @@ SHINGLE = 5
 K1, B = 1.2, 0.75
 #: Entries in a block of the index, by number.
 ENTRY_BLOCK = 8
-#: Passages, and rows of expanded block lists, that are searched at once; and what rounding may take from a score of 1.
+#: A word is common if it stands in one of so many blocks.
+COMMON = 4
+#: Passages, and pairs of a passage and a block, that are searched at once; what rounding may take from a score of 1, and
+#: from a bound.
 PASSAGES = 4_000
-EXPANDED = 4_000_000
-SLACK = 1e-9
+CELLS = 400_000
+SLACK, BOUND_SLACK = 1e-9, 1e-5
 #: Words of the items in one broadcast index, about. An item isn't cut over indexes.
 INDEX_WORDS = 2_000_000
 _WORD = re.compile(r"\w+")
@@ -106,6 +110,9 @@ class Index:
     blocks: int
     lists: np.ndarray  # by term: where its blocks begin; one more for the end
     keys: np.ndarray  # term * blocks + block of each list entry, ascending
+    block: np.ndarray  # the block of each list entry
+    row: np.ndarray  # by term: its row, -1 for rare words
+    rows: np.ndarray  # by common word and block: the largest impact
     maxima: np.ndarray  # the largest impact of the term in the block
     starts: np.ndarray  # where the postings of the term in the block begin; one more for the end
     entry: np.ndarray
@@ -142,7 +149,12 @@ def build(rows: list[tuple], statistics: Statistics | None = None, entry_words:
     maxima = np.maximum.reduceat(impact, starts) if len(starts) else np.zeros(0)
     lists = np.searchsorted(keys, np.arange(len(terms) + 1) * blocks)
     largest = np.maximum.reduceat(maxima, lists[:-1]) if len(terms) else np.zeros(0)
-    return Index(terms, largest, blocks, lists, keys, maxima, np.append(starts, len(entry)), entry, impact, np.array(owner, np.int64), items)
+    common = np.diff(lists) * COMMON >= blocks
+    row = np.where(common, np.cumsum(common) - 1, -1)
+    rows_ = np.zeros((int(common.sum()), blocks), np.float32)
+    of = row[keys // blocks]
+    rows_[of[of >= 0], (keys % blocks)[of >= 0]] = maxima[of >= 0]
+    return Index(terms, largest, blocks, lists, keys, keys % blocks, row, rows_, maxima, np.append(starts, len(entry)), entry, impact, np.array(owner, np.int64), items)
 
 
 def _ranges(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,36 +167,36 @@ def retrieve(index: Index, passage: np.ndarray, term: np.ndarray) -> tuple[np.nd
     """(passage, entry, normed score) of every score of at least 1. passage, term: the distinct terms of each passage,
     sorted by passage."""
     empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    order = np.lexsort((index.largest[term], passage))
-    passage, term = passage[order], term[order]
     begin = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-    number = np.cumsum(np.concatenate([[True], passage[1:] != passage[:-1]])) - 1
-    sums = np.cumsum(index.largest[term])
-    sums -= np.concatenate([[0.0], sums])[begin][number]
-    late = sums >= 1 - SLACK  # from the pivot on
-    if not late.any():
+    number = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(term))))
+    alive = np.add.reduceat(index.largest[term], begin) >= 1 - BOUND_SLACK
+    passage, term, number = passage[alive[number]], term[alive[number]], number[alive[number]]
+    if not len(term):
         return empty
-    early = np.bincount(number[~late], index.largest[term[~late]], minlength=len(begin))
-    # blocks with a word from the pivot on; what those before it may add is bounded by their largest impacts
-    own, pos = _ranges(index.lists[term[late]], np.diff(index.lists)[term[late]])
-    keys, at = np.unique(number[late][own] * index.blocks + index.keys[pos] % index.blocks, return_inverse=True)
-    bound = np.bincount(at, index.maxima[pos])
-    who, block = np.divmod(keys, index.blocks)
-    near = bound + early[who] >= 1 - SLACK
-    who, block = who[near], block[near]
+    number = (np.cumsum(alive) - 1)[number]
+    begin = np.searchsorted(number, np.arange(number[-1] + 1))
+    # what rare words may add, by passage and block, and common ones at most
+    common = index.row[term] >= 0
+    own, pos = _ranges(index.lists[term[~common]], np.diff(index.lists)[term[~common]])
+    bound = np.bincount(number[~common][own] * index.blocks + index.block[pos], index.maxima[pos], minlength=len(begin) * index.blocks).astype(np.float64).reshape(len(begin), index.blocks)
+    most = np.bincount(number[common], index.largest[term[common]], minlength=len(begin))
+    looked = bound >= 1 - BOUND_SLACK - most[:, None]
+    some = looked.any(axis=1)
+    picked = common & some[number]
+    if picked.any():  # the maxima of the common words in the blocks
+        at = number[picked]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        bound[at[first]] += np.add.reduceat(index.rows[index.row[term[picked]]], first, axis=0)
+    who, block = np.nonzero(looked & (bound >= 1 - BOUND_SLACK))
     if not len(who):
         return empty
-    # the maxima of all words of the passage in those blocks
+    # where the words of the passages stand in those blocks
     ends = np.append(begin[1:], len(term))
     pair, pos = _ranges(begin[who], (ends - begin)[who])
     wanted = term[pos] * index.blocks + block[pair]
     slot = np.minimum(np.searchsorted(index.keys, wanted), len(index.keys) - 1)
     there = index.keys[slot] == wanted
     pair, slot = pair[there], slot[there]
-    opened = np.bincount(pair, index.maxima[slot], minlength=len(who)) >= 1 - SLACK
-    pair, slot = pair[opened[pair]], slot[opened[pair]]
-    if not len(pair):
-        return empty
     # opened blocks are scored
     own, pos = _ranges(index.starts[slot], np.diff(index.starts)[slot])
     found, at = np.unique(who[pair][own] * len(index.owner) + index.entry[pos], return_inverse=True)
@@ -199,31 +211,32 @@ def hits(index: Index, docs: list[np.ndarray], entry_words: int = ENTRY_WORDS) -
     word of no item). A passage is two neighbouring cuts of entry_words words."""
     cuts = np.array([max(1, -(-len(d) // entry_words) - 1) for d in docs], np.int64)
     offsets = np.concatenate([[0], np.cumsum(cuts)])
-    lengths = np.diff(index.lists)
+    at_once = max(1, min(PASSAGES, CELLS // index.blocks))  # so that a long document takes bounded memory
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    cost = first = 0
+    count = 0
 
     def search() -> Iterator[tuple[int, int, int, float]]:
         passage, term = np.concatenate([p for p, _ in held]), np.concatenate([t for _, t in held])
+        if not len(term):
+            return
         keys = np.unique(passage * len(index.terms) + term)
         for p, e, s in zip(*(x.tolist() for x in retrieve(index, *np.divmod(keys, len(index.terms)))), strict=True):
             d = int(np.searchsorted(offsets, p, "right")) - 1
             yield d, (p - int(offsets[d])) * entry_words, e, s
 
     for d, ids in enumerate(docs):
-        for begin in range(0, int(cuts[d]), PASSAGES):  # so that a long document takes bounded memory
-            end = min(int(cuts[d]), begin + PASSAGES)
+        begin = 0
+        while begin < cuts[d]:
+            end = min(int(cuts[d]), begin + at_once - count)
             part = ids[begin * entry_words : (end + 1) * entry_words]
             known = np.flatnonzero(part >= 0)
             at = known // entry_words
             both = np.concatenate([np.minimum(at, end - begin - 1), np.maximum(at - 1, 0)]) + offsets[d] + begin
-            term = np.tile(part[known], 2)
-            held.append((both, term.astype(np.int64)))
-            cost += int(lengths[term].sum())
-            first += end - begin
-            if first >= PASSAGES or cost >= EXPANDED:
+            held.append((both, np.tile(part[known], 2).astype(np.int64)))
+            count, begin = count + end - begin, end
+            if count == at_once:
                 yield from search()
-                held, cost, first = [], 0, 0
+                held, count = [], 0
     if held:
         yield from search()
 
