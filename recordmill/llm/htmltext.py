@@ -72,6 +72,8 @@ def _name(token: str) -> str:
         return ""
     while len(parts) > 1 and parts[-1] in TAIL:
         parts.pop()
+    if parts[-1] == "header" and parts[0] in GOOD:  # an article's own head, as in "entry-header"
+        return ""
     return "strong" if parts[-1] in STRONG or (parts[-1] in OFF and parts[0] in STRONG) else "off" if parts[-1] in OFF else "good" if parts[-1] in GOOD else ""
 
 
