@@ -192,7 +192,7 @@ def issues_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.inspect(replaced(from_documents(spark, sf_dir), BLOOD)).where("label = '헌혈 기관명'").select("record_order", "start")
 
 
-@query(f"""WITH {S.RECORDS}, changed AS (SELECT record_order, regexp_replace({S.replaced(BRACKETS)}, '[‘’“”''"\[\]「」『』〈〉《》]', ' ', 'g') AS text FROM records),
+@query(f"""WITH {S.RECORDS}, changed AS (SELECT record_order, regexp_replace({S.replaced(BRACKETS)}, '[‘’“”''"\\[\\]「」『』〈〉《》]', ' ', 'g') AS text FROM records),
  marks AS (SELECT * FROM (SELECT record_order, unnest(range(0, length(text))) AS start, unnest(string_split(text, '')) AS c FROM changed WHERE length(text) > 0) WHERE c IN ('(', ')')),
  depths AS (SELECT *, sum(CASE WHEN c = '(' THEN 1 ELSE -1 END) OVER (PARTITION BY record_order ORDER BY start) AS depth FROM marks),
  bounds AS (SELECT *, least(0, coalesce(min(depth) OVER (PARTITION BY record_order ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low, min(depth) OVER (PARTITION BY record_order ORDER BY start ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later FROM depths)
