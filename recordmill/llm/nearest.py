@@ -1,15 +1,17 @@
 """Approximate nearest neighbours by collision-counting hashing with virtual rehashing.
 
 Every vector is projected on each of PROJECTIONS random directions. In a shard of the table, each projection's values
-are kept as one sorted array. A query opens a window around its own value in every array; a vector that falls into the
-windows of at least a threshold of projections (a collision count) is a candidate, and candidates are verified by their
-exact distance. Windows grow by a factor (virtual rehashing: no array is built again) until the shard has given enough
-candidates for the query, or holds no more. Each shard returns its nearest verified candidates, and the nearest of
-those over all shards are the answer.
+are kept as one sorted array, with the place of every vector in it. A query opens a window around its own value in every
+array, a range of places; a vector whose places fall into the windows of at least a threshold of projections (a collision
+count) is a candidate. Windows grow by a factor (virtual rehashing: no array is built again) to the first that gives
+enough candidates, ENOUGH and SHARE of the shard's rows, or holds all. Candidates are verified by their exact distance.
+Each shard returns its nearest verified candidates, and the nearest of those over all shards are the answer.
 
 Vectors that are null, all zeros, or hold a null or a component that isn't finite, or whose length isn't the most
-common one, take no part. Shards come from a hash of id and vector, so copies of one vector spread evenly. Queries meet
-shards in blocks of bounded size. Ties go to the smaller id; rows that repeat an id count once, by their smallest distance.
+common one, take no part, nor do rows whose id is null or no integer. Rows that repeat an id and its vector are dropped
+first. Shards come from a hash of id and vector, so copies of one vector under many ids spread evenly. Queries meet shards
+in blocks of bounded size; a shard's arrays are sorted once for each block, a small part of what a full block costs. Ties
+go to the smaller id; an id that stands in several rows counts once, by its smallest distance. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from pyspark.sql import functions as F
 
 PROJECTIONS = 128
 #: Share of the projections that must collide.
-THRESHOLD = 0.55
+THRESHOLD = 0.7
 #: Half the first window, in standard deviations of a projection, and the factor by which windows grow.
-START = 0.5
-GROWTH = 1.15
-STEPS = 24
-#: Candidates that a shard verifies for a query: this many, and this share of its rows.
-ENOUGH = 400
-SHARE = 0.1
+START = 0.7
+GROWTH = 1.1
+STEPS = 32
+#: Candidates that a shard gathers before it verifies them: this many, and this share of its rows.
+ENOUGH = 200
+SHARE = 0.02
 SHARD_ROWS = 16384
 QUERY_BLOCK = 2048
 SEED = 7
@@ -51,9 +53,12 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     id that stands in several rows counts once, by its smallest distance."""
     a = directions(vectors.shape[1], projections)
     values = vectors @ a
-    order = np.argsort(values, axis=0, kind="stable").T.copy()  # one sorted array for each projection
-    arrays = np.take_along_axis(values.T, order, axis=1)
     n, distinct = len(ids), len(np.unique(ids))
+    arrays = np.sort(values, axis=0).T.copy()  # one sorted array for each projection
+    # where each vector stands in each array; a window is a range of places
+    places = np.empty((projections, n), np.uint16 if n < 1 << 16 else np.uint32)
+    for own, at in zip(places, np.argsort(values, axis=0, kind="stable").T, strict=True):
+        own[at] = np.arange(n)
     enough = min(distinct, max(ENOUGH, k) + int(SHARE * n))
     need = math.ceil(THRESHOLD * projections)
     spread = float(np.median(np.std(values, axis=0))) or 1.0
@@ -61,20 +66,28 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     radii = spread * START * GROWTH ** np.arange(STEPS)
     radii[-1] = np.inf  # the last window holds everything
     lows = np.stack([[own.searchsorted(c - r, "left") for own, c in zip(arrays, centres, strict=True)] for r in radii])
-    highs = np.stack([[own.searchsorted(c + r, "right") for own, c in zip(arrays, centres, strict=True)] for r in radii])
-    found = []
+    sizes = np.stack([[own.searchsorted(c + r, "right") for own, c in zip(arrays, centres, strict=True)] for r in radii]) - lows
+    lows, sizes = lows.astype(places.dtype), sizes.astype(places.dtype)
+
+    def colliding(q: int, step: int) -> np.ndarray:
+        """The vectors that fall into the windows of enough projections."""
+        inside = places - lows[step, :, q, None] < sizes[step, :, q, None]  # places before a window wrap round to large ones
+        return np.flatnonzero(sum(np.add.reduce(inside[i : i + 255].view(np.uint8), axis=0, dtype=np.uint8).astype(np.int32) for i in range(0, projections, 255)) >= need)
+
+    def suffices(candidates: np.ndarray) -> bool:
+        return len(candidates) >= enough and (distinct == n or len(np.unique(ids[candidates])) >= enough)
+
+    found, step = [], 0
     for q, (qid, query) in enumerate(zip(query_ids, queries, strict=True)):
-        counts, before = np.zeros(n, np.int64), None
-        for low, high in zip(lows[:, :, q].tolist(), highs[:, :, q].tolist(), strict=True):
-            if before is None:
-                opened = [own[x:y] for own, x, y in zip(order, low, high, strict=True)]
-            else:  # only what the wider windows add
-                opened = [own[x:y] for own, x, y in zip(order, low, before[0], strict=True)] + [own[x:y] for own, x, y in zip(order, before[1], high, strict=True)]
-            counts += np.bincount(np.concatenate(opened), minlength=n)
-            before = low, high
-            candidates = np.flatnonzero(counts >= need)
-            if len(candidates) >= enough and (distinct == n or len(np.unique(ids[candidates])) >= enough):
-                break
+        # the first window that suffices; the search for it starts where the last query's ended
+        candidates = colliding(q, step)
+        if suffices(candidates):
+            while step and suffices(less := colliding(q, step - 1)):
+                candidates, step = less, step - 1
+        else:
+            while step < STEPS - 1 and not suffices(candidates):
+                step += 1
+                candidates = colliding(q, step)
         candidates = candidates[ids[candidates] != qid]
         distances = np.sqrt(((vectors[candidates] - query) ** 2).sum(axis=1))
         near = np.lexsort((ids[candidates], distances))
@@ -86,7 +99,7 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
 def search(table: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, id_col and score (Euclidean distance, in double precision) of the k nearest rows of table to each
     query, the query's own id left out."""
-    clean = lambda df: df.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    clean = lambda df: df.select(F.col(id_col).try_cast("long").alias("id"), F.col(vector_col).alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull()).select("id", F.col("v").cast("array<double>").alias("v"))
     rows, asked = clean(table), clean(queries).dropDuplicates(["id"])
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None:

@@ -27,6 +27,8 @@ def test_nearest_finds_most_of_brute_force_and_takes_odd_vectors(spark):
         assert [(s, i) for i, s in found] == sorted((s, i) for i, s in found)
     assert hits >= 0.9 * 10 * len(got) and [i for i, _ in got[100][:3]] == [7, 200, 300]
     assert nearest.search(table.limit(0), table, 10).count() == 0
+    named = table.selectExpr("CASE WHEN vec_id = 100 THEN 'a' ELSE CAST(vec_id AS STRING) END AS vec_id", "embedding")
+    assert {r["vec_id"] for r in nearest.search(named, named.where("vec_id = '200'"), 2).collect()} == {7, 300}
 
 
 def test_repeated_rows_and_ids_take_no_place_of_others(spark):
@@ -58,7 +60,7 @@ def impacts(entries: list[list[str]], threshold: float) -> list[dict[str, float]
     return out
 
 
-def test_wand_finds_what_full_scoring_finds():
+def test_wand_finds_what_full_scoring_finds(monkeypatch):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(120)]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(3, 70))), None) for i in range(60)]
@@ -74,10 +76,13 @@ def test_wand_finds_what_full_scoring_finds():
             want |= {(d, start, e): s for e, x in enumerate(own) if (s := sum(v for t, v in x.items() if t in passage)) >= 1 - 1e-9}
     got = {(d, start, e): s for d, start, e, s in decontaminate.hits(index, docs)}
     assert want and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    for passages, expanded in ((1, 10**9), (10**9, 1)):
-        decontaminate.PASSAGES, before, decontaminate.EXPANDED, last = passages, decontaminate.PASSAGES, expanded, decontaminate.EXPANDED
+    for name, value in (("PASSAGES", 1), ("CELLS", 1), ("CELLS", 20)):
+        monkeypatch.setattr(decontaminate, name, value)
         assert {(d, start, e) for d, start, e, _ in decontaminate.hits(index, docs)} == set(want)
-        decontaminate.PASSAGES, decontaminate.EXPANDED = before, last
+    for common in (1, 10**6):  # no common words, and nothing else
+        monkeypatch.setattr(decontaminate, "COMMON", common)
+        again = decontaminate.build(items, threshold=0.3)
+        assert {(d, start, e) for d, start, e, _ in decontaminate.hits(again, docs)} == set(want)
 
 
 def test_contamination_is_what_brute_force_over_all_passages_and_items_finds(spark):
@@ -213,6 +218,7 @@ SHAPES = {
     "a sidebar by name": f'<div class="content with-sidebar">{ARTICLE}</div><div class="article-sidebar">{LIKED}</div>',
     "an advert and an aside within": f"<article>{ARTICLE.replace('<p>Second', '<div class=ad>Buy now this great product</div><aside>see also</aside><p>Second')}</article>",
     "a notice": f'<div class="cookie-notice">{LIKED}</div><div hidden>{LIKED}</div><div style="display:none">{LIKED}</div><div>{ARTICLE}</div>',
+    "an article's own head": f'<div class="page"><div class="entry-header"><h2>Big title here</h2></div>{ARTICLE[23:]}</div>{FOOT}',
     "a small teaser marked as an article": f"<nav>{MENU}</nav><div>{ARTICLE * 3}</div><article class=teaser>short</article>",
 }
 
