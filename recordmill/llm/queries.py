@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import bpe, decontaminate, htmltext, langid, nearest, ngram, secrets, simhash, toxicity, warc
+from recordmill.llm import bpe, decontaminate, htmltext, langid, nearest, ngram, secrets, simhash, toxicity, trie, warc
 from recordmill.llm.common import bound_batches, fold
 from recordmill.session import fresh_path
 
@@ -78,6 +78,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_of(read(spark, sf_dir, "documents"), size=4, radius=4)
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie over rebuilt conversations."""
+    return trie.trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_lm": op9_lm,
     "op10_simhash": op10_simhash,
+    "op13_trie": op13_trie,
 }
 _SPANS = """(SELECT doc_id, '{kind}' AS kind, {rank} AS rank, n, start, start + n AS stop FROM (
   SELECT doc_id, unnest(hits) AS hit, unnest(list_transform(hits, lambda x: len(x))) AS n, unnest(parts) AS part,
@@ -113,7 +119,27 @@ def _secret_sql() -> str:
  FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id"""
 
 
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    byte = "list_reduce([xor(h, c)] || range(8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+    codes = f"list_transform(list_filter(string_split({text}, ''), lambda c: c <> ''), lambda c: CAST(ord(c) AS BIGINT))"
+    return f"xor(list_reduce([CAST(4294967295 AS BIGINT)] || {codes}, lambda h, c: {byte}), 4294967295)"
+
+
+_TRIE_SQL = f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS rank FROM conversations WHERE conv_id IS NOT NULL),
+ c AS (SELECT conv_id, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h, conv_id - conv_id % 5 AS base FROM (SELECT DISTINCT conv_id FROM t)),
+ parts AS (SELECT c.conv_id, 0 AS own, rank, role, text FROM c JOIN t ON t.conv_id = c.base AND rank <= h UNION ALL SELECT c.conv_id, 1, rank, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND rank > h),
+ whole AS (SELECT c.conv_id, coalesce(list({{'r': role, 't': text}} ORDER BY own, rank) FILTER (rank IS NOT NULL), []) AS seq FROM c LEFT JOIN parts p ON p.conv_id = c.conv_id GROUP BY 1),
+ p AS (SELECT conv_id, len(seq) AS n, d, seq[1:d] AS prefix, CASE WHEN d > 0 THEN seq[1:d - 1] END AS up, CASE WHEN d > 0 THEN strlen(seq[d].t) ELSE 0 END AS bytes FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM whole)),
+ g AS (SELECT d, prefix, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d) AS ends FROM p GROUP BY d, prefix),
+ k AS (SELECT d - 1 AS d, up AS prefix, count(*) AS n_children FROM g WHERE d > 0 GROUP BY ALL),
+ e AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN k ON k.d = g.d AND k.prefix = g.prefix),
+ s AS (SELECT p.d, p.prefix, count(*) FILTER (e.n_children = 0) AS n_leaves, sum((e.n_convs - 1) * e.bytes) AS saved FROM e JOIN p ON p.conv_id = e.conv_id AND p.d <= e.d GROUP BY p.d, p.prefix)
+ SELECT e.conv_id, CAST(e.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, e.n_convs, e.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+ FROM e JOIN s ON s.d = e.d AND s.prefix = e.prefix LEFT JOIN e u ON u.d = e.d - 1 AND u.prefix = e.up"""
+
 ORACLE: dict[str, str] = {
+    "op13_trie": _TRIE_SQL,
     "op3_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages),
  k AS (SELECT body, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY body)
  SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(p.body) AS payload_digest,
