@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import bpe, decontaminate, htmltext, langid, nearest, ngram, secrets, simhash, toxicity, trie, warc
+from recordmill.llm import bpe, decontaminate, htmltext, langid, nearest, ngram, repair, secrets, simhash, toxicity, trie, warc
 from recordmill.llm.common import bound_batches, fold
 from recordmill.session import fresh_path
 
@@ -78,6 +78,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_of(read(spark, sf_dir, "documents"), size=4, radius=4)
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lightest repair of every conversation after its rows are damaged."""
+    table = read(spark, sf_dir, "conversations")
+    found = repair.report(repair.damaged(table), repair.TIES)
+    ids = table.select(F.col("conv_id").alias("id")).distinct()
+    all_ids = ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    return all_ids.select(F.col("id").alias("conv_id"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in repair.COUNTS], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the prefix trie over rebuilt conversations."""
     return trie.trie(read(spark, sf_dir, "conversations"))
@@ -94,6 +103,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_lm": op9_lm,
     "op10_simhash": op10_simhash,
+    "op12_repair": op12_repair,
     "op13_trie": op13_trie,
 }
 _SPANS = """(SELECT doc_id, '{kind}' AS kind, {rank} AS rank, n, start, start + n AS stop FROM (
@@ -138,7 +148,33 @@ _TRIE_SQL = f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(
  SELECT e.conv_id, CAST(e.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, e.n_convs, e.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
  FROM e JOIN s ON s.d = e.d AND s.prefix = e.prefix LEFT JOIN e u ON u.d = e.d - 1 AND u.prefix = e.up"""
 
+def _repair_sql() -> str:
+    """Weights are texts, nine digits of cost and the audit, whose order is that of the weights; a column for each state."""
+    plus = lambda w, cost, edit: f"(lpad(CAST(CAST(left({w}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({w}, 10) || '{edit}')"
+    stay = lambda w, more: f"CASE WHEN NOT must THEN {plus(w, more, 'R')} END"
+    keep = lambda w, initial: f"CASE WHEN NOT must AND initial = '{initial}' THEN {plus(w, 'extra', 'K')} END"
+    to_user = ", ".join(x for w in ("e", "s", "a") for x in (stay(w, "3 + extra"), keep(w, "u")))
+    step = f"SELECT r.conv_id, r.i, {plus('e', 4, 'D')} AS e, least({plus('s', 4, 'D')}, {keep('e', 's')}) AS s, least({plus('u', 4, 'D')}, {to_user}) AS u, least({plus('a', 4, 'D')}, {stay('u', '3 + extra')}, {keep('u', 'a')}) AS a FROM w JOIN r ON r.conv_id = w.conv_id AND r.i = w.i + 1"
+    closed = f"SELECT conv_id, i, e, s, u, least(a, {plus('u', 3, 'I')}) AS a FROM (SELECT conv_id, i, e, s, least(u, {plus('e', 3, 'I')}, {plus('s', 3, 'I')}, {plus('a', 3, 'I')}) AS u, a FROM ({{}}))"
+    start = "SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS e, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS a FROM sums"
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    return f"""WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role0, coalesce(text, ' ') AS text0, {crc32_sql(key)} % 20 AS code FROM conversations),
+ x AS (SELECT conv_id, turn, role0, text0, CASE WHEN code = 4 THEN 'user' ELSE role0 END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text0, '[.!?]', '', 'g') ELSE text0 END AS text, unnest(CASE WHEN code = 3 THEN [1, 2] ELSE [1] END) AS copy FROM d WHERE code <> 0),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role0, text0, copy) AS i FROM x),
+ m AS (SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM o),
+ r AS (SELECT conv_id, i, turn, role, text, pair, initial, blank, again AND NOT blank AS duplicate, cut AND NOT again AND NOT blank AS truncated, blank OR again AS must, CASE WHEN cut THEN 3 ELSE 0 END AS extra FROM m),
+ sums AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1),
+ w AS ({closed.format(start)} UNION ALL {closed.format(step)}),
+ best AS (SELECT w.conv_id, CAST(left(least(e, a), 9) AS BIGINT) AS cost, substr(least(e, a), 10) AS audit FROM w JOIN sums ON sums.conv_id = w.conv_id AND sums.n = w.i),
+ edits AS (SELECT *, sum(CAST(edit <> 'I' AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY p) AS i, sum(CAST(edit <> 'D' AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY p) - sum(CAST(edit <> 'D' AS INTEGER)) OVER (PARTITION BY conv_id) % 2 AS place FROM (SELECT conv_id, p, audit[p] AS edit FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM best))),
+ said AS (SELECT e.conv_id, e.p, CASE WHEN edit = 'K' THEN r.role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE r.text END AS line FROM edits e LEFT JOIN r ON r.conv_id = e.conv_id AND r.i = e.i WHERE edit <> 'D'),
+ whole AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY p) AS lines FROM said GROUP BY 1)
+ SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums ON sums.conv_id = c.conv_id LEFT JOIN best ON best.conv_id = c.conv_id LEFT JOIN whole ON whole.conv_id = c.conv_id"""
+
+
 ORACLE: dict[str, str] = {
+    "op12_repair": _repair_sql(),
     "op13_trie": _TRIE_SQL,
     "op3_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages),
  k AS (SELECT body, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY body)
