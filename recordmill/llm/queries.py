@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import bpe, decontaminate, htmltext, langid, nearest, ngram, repair, secrets, simhash, toxicity, trie, warc
+from recordmill.llm import bpe, decontaminate, htmltext, langid, nearest, ngram, pii, repair, secrets, simhash, toxicity, trie, warc
 from recordmill.llm.common import bound_batches, fold
 from recordmill.session import fresh_path
 
@@ -78,6 +78,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_of(read(spark, sf_dir, "documents"), size=4, radius=4)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text: base patterns, and what a tagger learned from them adds."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", pii.spans(F.col("text").cast("string"), pii.fit(docs), spark).alias("s"))
+    base = F.filter("s", lambda x: x["source"] == "base")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("s")).alias("spans"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lightest repair of every conversation after its rows are damaged."""
     table = read(spark, sf_dir, "conversations")
@@ -103,6 +113,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_lm": op9_lm,
     "op10_simhash": op10_simhash,
+    "op11_pii": op11_pii,
     "op12_repair": op12_repair,
     "op13_trie": op13_trie,
 }

@@ -96,8 +96,8 @@ class Sketch:
 
     def add(self, k1: np.ndarray, k2: np.ndarray) -> None:
         for row, at in zip(self.counts, self.places(k1, k2, self.counts.shape[1]), strict=True):
-            n = np.bincount(at, minlength=0)
-            row[: len(n)] = np.minimum(row[: len(n)] + np.minimum(n, 2), 2)
+            places, n = np.unique(at, return_counts=True)
+            row[places] = np.minimum(row[places] + np.minimum(n, 2), 2)
 
     def estimate(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
         return np.take_along_axis(self.counts, self.places(k1, k2, self.counts.shape[1]), 1).min(axis=0) if len(k1) else np.zeros(0, np.uint8)
