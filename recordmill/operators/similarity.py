@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordmill.session import materialize
+from recordmill.session import materialize, release
 
 #: Below this similarity no threshold setting looks at a partner, so one run at this floor serves all settings.
 FLOOR = 0.45
@@ -74,13 +74,58 @@ def best_partners(records: DataFrame, floor: float = FLOOR) -> DataFrame:
         pairs = materialize(pairs, "pairs")
         certain = pairs.groupBy("a").agg(F.max("low").alias("least"))
         pairs = pairs.join(certain, "a").where("high >= least")
-    texts = one.select("record_order", "hashes")
-    full = pairs.select("a", "b").join(texts.select(F.col("record_order").alias("a"), F.col("hashes").alias("ta")), "a").join(texts.select(F.col("record_order").alias("b"), F.col("hashes").alias("tb")), "b")
+    return _best(_scored(pairs.select("a", "b"), one).where(F.col("similarity") >= floor))
+
+
+def _scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, similarity, at) of pairs (a, b): at is the place of the first of a's tokens that b has too."""
+    own = texts.select("record_order", "hashes")
+    full = pairs.join(own.select(F.col("record_order").alias("a"), F.col("hashes").alias("ta")), "a").join(own.select(F.col("record_order").alias("b"), F.col("hashes").alias("tb")), "b")
     shared = F.transform(F.array(F.array_intersect("ta", "tb")), lambda s: F.struct(F.size(s).alias("k"), F.array_position(F.col("ta"), F.get(s, F.lit(0))).alias("at")))[0]
     each = full.select("a", "b", (F.size("ta") + F.size("tb")).alias("n"), shared.alias("s"))
-    scored = each.select("a", "b", (F.col("s.k") / (F.col("n") - F.col("s.k"))).alias("similarity"), F.col("s.at").alias("at"))
+    return each.select("a", "b", (F.col("s.k") / (F.col("n") - F.col("s.k"))).alias("similarity"), F.col("s.at").alias("at"))
+
+
+def _best(scored: DataFrame) -> DataFrame:
     best = F.max_by(F.struct("b", "similarity"), F.struct("similarity", -F.col("at"), -F.col("b")))
-    return scored.where(F.col("similarity") >= floor).groupBy("a").agg(best.alias("m")).select(F.col("a").alias("record_order"), F.col("m.b").alias("match_order"), F.col("m.similarity").alias("similarity"))
+    return scored.groupBy("a").agg(best.alias("m")).select(F.col("a").alias("record_order"), F.col("m.b").alias("match_order"), F.col("m.similarity").alias("similarity"))
+
+
+def best_partners_of_all(records: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """best_partners without a floor: every record without an exact partner gets the best of all records that share a token
+    with it.
+
+    A top-1 join by falling bounds. Records that have a partner of floor or more are done. Of each other record's candidates
+    by rare tokens the most promising one is verified: its similarity is the record's own bound from then on, since a
+    better partner must share a token within the prefixes that the bound gives on both sides. Candidates that can't reach
+    the bound by what both prefixes share aren't fetched. Texts drawn from few words have no rare tokens and low bounds: then
+    most pairs of one language are candidates, as in the definition."""
+    near = materialize(best_partners(records, floor), "near")
+    least = records.select("record_order", *_text_key()).groupBy("_k1", "_k2").agg(F.min("record_order").alias("record_order"), F.count(F.lit(1)).alias("copies"))
+    words = records.select("record_order", "tokens").join(least.select("record_order", "copies"), "record_order").where(F.size("tokens") > 0)
+    one = materialize(words.withColumn("hashes", F.transform("tokens", lambda t: F.xxhash64(t))), "texts")
+    index = materialize(_prefixes(one.select("record_order", "tokens"), 0).select("record_order", "n", F.posexplode("prefix").alias("i", "key")), "places")
+    rest = one.where("copies = 1").select("record_order").join(near, "record_order", "left_anti")
+
+    side = lambda df, e: df.select("key", F.col("record_order").alias(e), F.col("n").alias("n" + e), F.col("i").alias("i" + e))
+    within = lambda bound, e: F.col("i" + e) <= F.col("n" + e) - F.ceil(bound * F.col("n" + e) - 1e-9)
+    left, right = side(index.join(rest, "record_order", "left_semi"), "a"), side(index, "b")
+    of = lambda shared: shared / (F.col("na") + F.col("nb") - shared)
+    at_floor = F.lit(floor)
+    seeds = left.where(within(at_floor, "a")).join(right.where(within(at_floor, "b")), "key").where("a <> b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
+    seeds = seeds.groupBy("a").agg(F.max_by("b", F.struct(of(F.col("k")), -F.col("b"))).alias("b"))
+    bounds = materialize(_scored(seeds, one).select("a", F.col("similarity").alias("bound")), "bounds")
+
+    bounded = left.join(bounds, "a", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0))).where(within(F.col("bound"), "a"))
+    longest = F.greatest("na", "nb") * F.col("bound") <= F.least("na", "nb") + 1e-6
+    met = bounded.join(right, "key").where((F.col("a") != F.col("b")) & longest & within(F.col("bound"), "b"))
+    met = met.groupBy("a", "b", "na", "nb", "bound").agg(F.count(F.lit(1)).alias("k"), F.min("ia").alias("ia"), F.min("ib").alias("ib"))
+    behind = lambda e: F.ceil(F.col("bound") * F.col("n" + e) - 1e-9) - 1  # noqa: E731  tokens behind a prefix
+    most = F.least(F.col("k") + F.greatest(behind("a"), behind("b"), F.lit(0)), F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    pairs = materialize(met.where(of(most) >= F.col("bound") - 1e-9).select("a", "b"), "pairs")
+    found = materialize(_best(_scored(pairs, one)), "best")
+    release(one, index, bounds, pairs)
+    return near.unionByName(found)
 
 
 def matched(records: DataFrame, floor: float = FLOOR) -> DataFrame:

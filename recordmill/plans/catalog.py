@@ -66,6 +66,13 @@ def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("record_order", "match_order", F.round("similarity", 9).alias("similarity"))
 
 
+@query(f"WITH {S.RECORDS}, {S.TOKENS}, {S.GROUPS}, {S.BEST.replace('WHERE similarity >= 0.45', '')} SELECT record_order, match_order, round(similarity, 9) AS similarity FROM best")
+def best_match_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best partner of every record, near or not."""
+    best = similarity.best_partners_of_all(with_tokens(from_documents(spark, sf_dir)))
+    return best.select("record_order", "match_order", F.round("similarity", 9).alias("similarity"))
+
+
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.matched(with_tokens(from_documents(spark, sf_dir)))
 
@@ -120,6 +127,20 @@ def exact_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.exact_count(sentences.align(matched(spark, sf_dir).where("match_order IS NOT NULL")))
 
 
+_LCS = """list_reduce([[CAST(0 AS BIGINT)] || list_transform(b, lambda y: CAST(0 AS BIGINT))] || list_transform(a, lambda x: [CAST(list_position(ws, x) AS BIGINT)]),
+   lambda row, x: list_reduce([[CAST(0 AS BIGINT)]] || list_transform(range(1, len(b) + 1), lambda j: [j]), lambda line, j: line || [CASE WHEN ws[x[1]] = b[j[1]] THEN row[j[1]] + 1 ELSE greatest(row[j[1] + 1], line[j[1]]) END]))[len(b) + 1]"""
+_FORM = "list_transform(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w))"
+
+
+@query(ALIGNED + f""", alike AS (SELECT record_order, CAST("at" AS INTEGER) AS "at", {_FORM.format("sentence")} AS a, {_FORM.format("bs")} AS b FROM ranked WHERE rn = 1 AND NOT exact AND score >= 0.5 AND k >= 3),
+ s AS (SELECT *, list_distinct(a) AS ws FROM alike) SELECT record_order, "at", len(a) AS n_words, len(a) - {_LCS} AS n_changed FROM s""")
+def changed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each similar sentence are missing from the longest common subsequence with its match."""
+    d = sentences.differences(sentences.align(matched(spark, sf_dir).where("match_order IS NOT NULL")))
+    count = lambda runs: F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + F.size(F.regexp_extract_all(r["text"], F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
+    return d.select("record_order", "at", count(F.col("runs")).alias("n_words"), count(F.filter("runs", lambda r: r["changed"])).alias("n_changed"))
+
+
 @query()
 def word_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sentences.differences(sentences.align(matched(spark, sf_dir).where("match_order IS NOT NULL")))

@@ -73,3 +73,58 @@ def test_word_differences():
 def is_part(s, b):
     it = iter(b)
     return all(x in it for x in s)
+
+
+def test_best_partner_of_all_is_that_of_all_pairs(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words[: rng.choice([8, 60])], k=rng.randint(0, 9))) for _ in range(130)] + ["lonely words only", ""]
+    df = table(spark, texts).repartition(5)
+    got = {r["record_order"]: (r["match_order"], round(r["similarity"], 9)) for r in similarity.best_partners_of_all(df).collect()}
+    exact = {r["record_order"] for r in similarity.exact_groups(df).where("exact_partner IS NOT NULL").collect()}
+    assert got == {k: (m, round(s, 9)) for k, (m, s) in brute(texts, 0.0).items() if k not in exact}
+
+
+def test_places_are_those_of_all_sentences():
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = ([" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "x", "yy"], k=rng.randint(0, 5))) for _ in range(rng.randint(0, 6))] for _ in range(2))
+        want = []
+        for x in a:
+            best = (False, 0.0, 0, -1)
+            for at, y in enumerate(b):
+                wx, wy = ({w for w in s.split(" ") if len(w) > 1} for s in (x, y))
+                exact = len(x) >= 8 and x == y
+                score = 1.0 if exact else len(wx & wy) / len(wx | wy) if wx | wy else 0.0
+                if (exact, score) > best[:2]:
+                    best = (exact, score, len(wx & wy), at)
+            want.append(best)
+        assert sentences.best_places(a, b) == want
+
+
+def lcs_table(a, b):
+    best = [[0] * (len(b) + 1)]
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(best[-1][j] + 1 if x == y else max(best[-1][j + 1], row[j]))
+        best.append(row)
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            out, i, j = [i - 1, *out], i - 1, j - 1
+        elif best[i - 1][j] >= best[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def test_common_words_equal_the_full_table():
+    rng = random.Random(3)
+    for _ in range(1500):
+        words = "abcdefghij"[: rng.choice([2, 3, 10])]
+        a, b = (rng.choices(words, k=rng.randint(0, 25)) for _ in range(2))
+        assert sentences.common(a, b) == lcs_table(a, b)
+    long = [[str(rng.randrange(300)) for _ in range(20_000)] for _ in range(2)]
+    assert len(sentences.common(*long)) > 1000
