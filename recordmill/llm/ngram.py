@@ -40,8 +40,6 @@ CONTEXT_BUCKETS = 40
 ROUNDS = 40
 BINS_A_DECADE = 10
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000002)
-_P = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
 U = np.uint64
 
 
@@ -52,18 +50,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("p", ())) < n:
-        for name, base in (("p", _P), ("i", pow(_P, -1, 1 << 64))):
-            x = np.full(n, base, np.uint64)
-            x[0] = 1
-            _POWERS[name] = np.multiply.accumulate(x)
-    return _POWERS["p"][:n], _POWERS["i"][:n]
-
-
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each word of bytes. Words are told apart by a polynomial over their bytes, taken from running
-    sums, in blocks that end at white space."""
+    """(XXH64, start) of each word of bytes, in blocks that end at white space."""
     hashes, starts, at, n = [], [], 0, len(data)
     while at < n:
         end = min(n, at + HASH_BLOCK)
@@ -77,14 +65,9 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 space = (block == 32) | ((block >= 9) & (block <= 13))
                 last = np.flatnonzero(space) if end < n else np.array([len(block) - 1])
             block, space = block[: last[-1] + 1], space[: last[-1] + 1]
-        edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-        first, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        if len(first):
-            power, inverse = _powers(len(block) + 1)
-            upper = (block >= 65) & (block <= 90)
-            sums = np.zeros(len(block) + 1, np.uint64)
-            np.cumsum((block + (upper << np.uint8(5))).astype(np.uint64) * power[: len(block)], out=sums[1:])
-            hashes.append(mixed((sums[stop] - sums[first]) * inverse[first] + (stop - first).astype(np.uint64) * U(0xD6E8FEB86659FD93)))
+        first = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)) == -1)
+        if len(first):  # bytes.lower() and split() know the letters A-Z and the six white-space characters only
+            hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, block.tobytes().lower().split()), np.uint64, len(first)))
             starts.append(first + at)
         at += len(block)
     if not hashes:

@@ -216,6 +216,25 @@ def test_word_hashes_tell_words_apart_across_blocks(monkeypatch):
     assert (ngram.word_hashes(data)[0] == whole).all()
 
 
+def test_long_words_of_one_make_are_told_apart(spark):
+    flip = str.maketrans("ab", "ba")
+    words = []
+    for n in (1024, 2048, 4096):  # words and their mirror images collide under any polynomial modulo a power of two
+        w = "a"
+        while len(w) < n:
+            w += w.translate(flip)
+        words += [w, w.translate(flip)]
+    hashes, _ = ngram.word_hashes(np.frombuffer(" ".join(words).encode(), np.uint8))
+    assert len(set(hashes.tolist())) == len(words)
+    kept = [i for i in range(60) if zlib.crc32(str(i).encode()) % 10]
+    docs = [(i, words[0] if k else words[1]) for k, i in enumerate(kept[:8])]
+    got = ngram.scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    n, v = 2 * len(docs), 3
+    base = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+    for r in got:
+        assert r["train_tokens"] == n and abs(r["base_score"] - base(len(docs)) - base(1 if r["doc_id"] == kept[0] else 7)) < 1e-9
+
+
 def test_weights_of_deleted_interpolation_follow_the_data():
     # pair estimates are right in bucket 5 and useless in bucket 3
     context, n = np.array([5, 5, 3, 3]), np.array([100.0, 100, 100, 100])
