@@ -3,16 +3,16 @@
 A page is read as a row of tokens, tags and words. Words score positive and tags negative, by weights that labelled
 pages give: pages whose markup declares its content (an article or main element) label their own tokens as inside or
 outside, and a token kind's weight is the log ratio of its smoothed rates there, kept on its side of zero. Kinds of words
-are words, words of links, and words that stand outside a declared content; those of tags are the names of blocks, and
-inline tags. One linear scan finds the contiguous run of tokens with the highest sum; the blocks in it are the main text,
-but for those that stand outside a declared content.
+are words, words of links and of the first heading; those of tags are the names of blocks, and inline tags. One linear scan finds the contiguous
+run of tokens with the highest sum; the blocks in it are the main text, on every page: what a page declares labels it for
+the weights and decides nothing else.
 
 Some parts take no part in the scan and aren't text: scripts, styles, graphics and what is hidden; elements for menus,
-footers, asides and forms, page headers; and parts whose class, id or role names them as such, as notices, adverts or
-reader comments. A name is read by its head ("ad-free" is no advert, "comment-list" is comments), and a part that is also
-named as content isn't left out. Nor is a named part that holds the page's heading or declared content, or a named part,
-form, aside or header that scores over RIVAL times as much as all that is left (comments and consent notices excepted):
-names don't remove an article.
+footers, asides, forms and their buttons, page headers; and parts whose class, id or role names them as such, as notices,
+adverts or reader comments. A name is read by its head ("ad-free" is no advert, "comment-list" and "comment-body" are
+comments), and a part that is also named as content isn't left out. Nor is a named part that holds the page's heading or
+declared content, or a named part, form, aside or header that scores over RIVAL times as much as all that is left (comments
+and consent notices only where nothing else is left): names don't remove an article.
 
 Tags follow HTML's rules: an unquoted value ends at white space or ">", whatever quotes stand in it; a quoted one at its
 quote, or, where that never comes, like an unquoted one; blocks end open paragraphs, items end items. A comment or script
@@ -26,6 +26,7 @@ Repeated rows are read each; text and n_chars columns are replaced; a table with
 
 from __future__ import annotations
 
+import bisect
 import dataclasses
 import html
 import math
@@ -40,8 +41,8 @@ _TOKEN = re.compile(r"""<!--(?:-?>|(?s:.*?)(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))
 _ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?>"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-#: Elements whose content isn't markup; all but noscript end at their own end tag only.
-RAW = {"script", "style", "noscript", "iframe", "textarea", "title", "xmp", "noembed", "noframes"}
+#: Elements whose content isn't markup; they end at their own end tag only.
+RAW = {"script", "style", "iframe", "textarea", "title", "xmp", "noembed", "noframes"}
 #: Elements that are no text of a page.
 UNSEEN = {"head", "template", "svg", "object", "canvas", "audio", "video", "select", "button", "datalist"}
 PARTS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
@@ -62,7 +63,7 @@ RIVAL = 4
 #: Elements of PARTS, and page headers, that may hold an article all the same.
 RIVALS = {"form", "fieldset", "header", "aside", "dialog"}
 #: Counts added to those of labelled pages, inside and outside, so that a table without labels has weights too.
-PRIOR = {"word": (2000, 200), "word:link": (100, 200), "word:out": (1, 200), "tag": (300, 150)}
+PRIOR = {"word": (2000, 200), "word:h1": (400, 4), "word:link": (100, 600), "tag": (300, 150)}
 
 
 def _name(token: str) -> str:
@@ -70,9 +71,10 @@ def _name(token: str) -> str:
     parts = [p.lower() for p in _PART.findall(token)]
     if not parts or parts[0] in BEFORE:
         return ""
-    while len(parts) > 1 and parts[-1] in TAIL:
+    own_head = len(parts) > 1 and parts[-1] in ("header", "head") and parts[0] in GOOD  # as in "entry-header"
+    while len(parts) > 1 and (parts[-1] in TAIL or (parts[-1].removesuffix("s") in GOOD and parts[-2] in OFF | STRONG)):
         parts.pop()
-    if parts[-1] == "header" and parts[0] in GOOD:  # an article's own head, as in "entry-header"
+    if own_head:
         return ""
     return "strong" if parts[-1] in STRONG or (parts[-1] in OFF and parts[0] in STRONG) else "off" if parts[-1] in OFF else "good" if parts[-1] in GOOD else ""
 
@@ -134,53 +136,58 @@ def lex(page: str) -> list[str | Tag]:
     return found
 
 
+#: Elements that a sibling's start tag doesn't look beyond.
+_LISTS = ("ul", "ol", "dl", "table", "select", "menu")
+
+
 def match(tokens: list[str | Tag]) -> None:
-    """Sets where every element ends, by HTML's rules of implied ends, and what is left out."""
+    """Sets where every element ends, by HTML's rules of implied ends, and what is left out. Where the last open element of
+    each name stands is known, so a tag costs no walk through the open elements."""
     stack: list[tuple[int, Tag, bool]] = []  # token, tag, whether a content element is open
+    places: dict[str, list[int]] = {}  # of each name's open elements
+    blocks: list[int] = []  # places of open blocks
 
     def pop(k: int, at: int, closed: bool) -> None:
-        for _, tag, _ in stack[k + 1 :]:
-            tag.end, tag.closed = at, tag.name in ("p", "li", "dd", "dt", "tr", "td", "th", "option")
-        stack[k][1].end, stack[k][1].closed = at, closed
+        for n in range(len(stack) - 1, k - 1, -1):
+            tag = stack[n][1]
+            tag.end, tag.closed = at, closed if n == k else tag.name in ("p", "li", "dd", "dt", "tr", "td", "th", "option")
+            places[tag.name].pop()
+            if tag.name in BLOCK:
+                blocks.pop()
         del stack[k:]
 
+    last = lambda name: places[name][-1] if places.get(name) else -1
     for i, tag in enumerate(tokens):
         if isinstance(tag, str):
             continue
         if tag.closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][1].name == tag.name:
-                    pop(k, i + 1, True)
-                    break
-                if tag.name not in BLOCK and tag.name != "a" and stack[k][1].name in BLOCK:
-                    break  # the end of an inline element ends no block
+            k = last(tag.name)
+            # the end of an inline element ends no block
+            if k >= 0 and (tag.name in BLOCK or tag.name == "a" or not blocks or blocks[-1] <= k):
+                pop(k, i + 1, True)
             continue
-        if tag.name in BLOCK:  # a block ends an open paragraph
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][1].name == "p":
-                    pop(k, i, True)
-                    break
-                if stack[k][1].name in BLOCK:
-                    break
+        if tag.name in BLOCK and blocks and stack[blocks[-1]][1].name == "p":  # a block ends an open paragraph
+            pop(blocks[-1], i, True)
         if tag.name in SIBLINGS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][1].name in SIBLINGS[tag.name]:
-                    pop(k, i, True)
-                    break
-                if stack[k][1].name in ("ul", "ol", "dl", "table", "select", "menu"):
-                    break
+            k = max(map(last, SIBLINGS[tag.name]))
+            if k >= 0 and k > max(map(last, _LISTS)):
+                pop(k, i, True)
         inside = bool(stack) and stack[-1][2]
         tag.read(inside)
         tag.link = tag.name == "a"
         tag.end = i + 1
         if tag.name not in VOID:
+            places.setdefault(tag.name, []).append(len(stack))
+            if tag.name in BLOCK:
+                blocks.append(len(stack))
             stack.append((i, tag, inside or (tag.name in CONTENT and not tag.off)))
     if stack:
         pop(0, len(tokens), False)
     restarts = [i for i, t in enumerate(tokens) if isinstance(t, Tag) and not t.closing and t.name in RESTART]
     for i, tag in enumerate(tokens):
         if isinstance(tag, Tag) and tag.off and not tag.closed:
-            tag.end = next((k for k in restarts if i < k < tag.end), tag.end)
+            k = bisect.bisect_right(restarts, i)
+            tag.end = min(tag.end, restarts[k]) if k < len(restarts) else tag.end
 
 
 @dataclasses.dataclass
@@ -190,6 +197,7 @@ class Page:
     found: list[tuple[str, int, int]]
     blocks: list[list[str]]
     declared: bool
+    inside: set[int]  # blocks of a declared content
 
 
 def read(tokens: list[str | Tag], sizes: list[int], spared: frozenset[int] = frozenset()) -> Page:
@@ -214,18 +222,25 @@ def read(tokens: list[str | Tag], sizes: list[int], spared: frozenset[int] = fro
     name = "article" if own["article"] and 2 * sum(count(t, i) for i, t in own["article"]) >= words["main"] else "main"
     declared = bool(own[name]) and 5 * sum(count(t, i) for i, t in own[name]) >= seen[-1] > 0
     inside = [False] * len(tokens)
+    until = 0
     for i, t in own[name] if declared else []:
-        inside[i : t.end] = [True] * (t.end - i)
+        if t.end > until:  # nested ones are marked already
+            at = max(i, until)
+            inside[at : t.end] = [True] * (t.end - at)
+            until = t.end
     found: list[tuple[str, int, int]] = []
     blocks: list[list[str]] = [[]]
-    link = 0
+    within: set[int] = set()
+    link = title = 0
     for i, t in enumerate(tokens):
         if isinstance(t, str):
             if not skip[i]:
                 blocks[-1].append(html.unescape(t))
                 n = sizes[i + 1] - sizes[i]
                 if n:
-                    found.append(("word:out" if declared and not inside[i] else "word:link" if i < link else "word", n, len(blocks) - 1))
+                    found.append(("word:link" if i < link else "word:h1" if i < title else "word", n, len(blocks) - 1))
+                    if inside[i]:
+                        within.add(len(blocks) - 1)
             continue
         if t.name in BLOCK:
             if blocks[-1]:
@@ -236,8 +251,10 @@ def read(tokens: list[str | Tag], sizes: list[int], spared: frozenset[int] = fro
             continue
         if t.link and not t.closing:
             link = max(link, t.end)
+        if t.name == "h1" and not t.closing:
+            title = max(title, t.end)
         found.append(("tag:inline" if t.name not in BLOCK else f"tag:/{t.name}" if t.closing else f"tag:{t.name}", 1, -1))
-    return Page(found, blocks, declared)
+    return Page(found, blocks, declared, within)
 
 
 def tokens_of(page: str | None) -> tuple[list[str | Tag], list[int]]:
@@ -255,21 +272,18 @@ def counts(page: str | None) -> dict[str, list[int]]:
     own = read(tokens, sizes)
     seen: dict[str, list[int]] = {}
     if own.declared:
-        content = {b for kind, _, b in own.found if kind in ("word", "word:link")}
-        first, last = min(content, default=0), max(content, default=-1)
+        first, last = min(own.inside, default=0), max(own.inside, default=-1)
         block = 0
         for kind, n, b in own.found:
             block = max(block, b)
-            inside = kind != "word:out" and first <= block <= last
+            inside = b in own.inside if b >= 0 else first <= block <= last
             seen.setdefault(kind, [0, 0])[0 if inside else 1] += n
-        # links and words outside are told from those inside by their markup only, so they count as plain ones too
-        seen.setdefault("word", [0, 0])[1] += seen.get("word:out", [0, 0])[1]
     return seen
 
 
 def weights(summed: dict[str, tuple[int, int]]) -> dict[str, float]:
-    """Log ratios of the smoothed rates, within bounds: words are over, tags and words outside a declared content under
-    zero, words of links no lower than a plain word is high. Tags of kinds that weren't seen weigh as all seen together."""
+    """Log ratios of the smoothed rates, within bounds: words are over, tags under zero, words of links no lower than a
+    plain word is high. Tags of kinds that weren't seen weigh as all seen together."""
     tags = [v for k, v in summed.items() if k.startswith("tag:")]
     summed = {**summed, "tag": (sum(a for a, _ in tags), sum(b for _, b in tags))}
     full = {k: (a + PRIOR.get(k, (0, 0))[0], b + PRIOR.get(k, (0, 0))[1]) for k, (a, b) in {**dict.fromkeys(PRIOR, (0, 0)), **summed}.items()}
@@ -277,7 +291,7 @@ def weights(summed: dict[str, tuple[int, int]]) -> dict[str, float]:
     found = {}
     for kind, (a, b) in full.items():
         ratio = math.log((a + 1) / ins) - math.log((b + 1) / outs)
-        low, high = {"word": (0.2, 3.0), "word:link": (-1.0, 3.0), "word:out": (-1.0, -0.5)}.get(kind, (-3.0, -0.05))
+        low, high = {"word": (0.2, 3.0), "word:h1": (0.2, 4.0), "word:link": (-1.0, 3.0)}.get(kind, (-3.0, -0.05))
         found[kind] = min(max(ratio, low), high)
     return found
 
@@ -299,13 +313,14 @@ def extract_text(page: str | None, weight: dict[str, float]) -> str:
     score = lambda own: [weight.get(kind, weight["tag"]) * n for kind, n, _ in own.found]
     own = read(tokens, sizes)
     start, end, best = best_run(score(own))
-    named = {i: sizes[t.end] - sizes[i] for i, t in enumerate(tokens) if isinstance(t, Tag) and (t.off == "off" or (t.off == "part" and t.name in RIVALS))}
+    rest = any(b >= 0 for _, _, b in own.found)  # strong names give way only where nothing else is left
+    named = {i: sizes[t.end] - sizes[i] for i, t in enumerate(tokens) if isinstance(t, Tag) and (t.off == "off" or (t.off == "strong" and not rest) or (t.off == "part" and t.name in RIVALS))}
     if named and max(named.values()) * weight["word"] > RIVAL * best:  # a large part left out: taken in if it scores like an article
         wider = read(tokens, sizes, frozenset(i for i, n in named.items() if 2 * n >= max(named.values())))
         span = best_run(score(wider))
         if span[2] > RIVAL * best:
             own, (start, end, best) = wider, span
-    kept = sorted({b for kind, _, b in own.found[start:end] if b >= 0 and kind != "word:out"})
+    kept = sorted({b for _, _, b in own.found[start:end] if b >= 0})
     lines = (" ".join("".join(own.blocks[b]).split()) for b in kept)
     return "\n\n".join(line for line in lines if line)
 

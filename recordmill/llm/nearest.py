@@ -11,7 +11,8 @@ Vectors that are null, all zeros, or hold a null or a component that isn't finit
 common one, take no part, nor do rows whose id is null or no integer. Rows that repeat an id and its vector are dropped
 first. Shards come from a hash of id and vector, so copies of one vector under many ids spread evenly. Queries meet shards
 in blocks of bounded size; a shard's arrays are sorted once for each block, a small part of what a full block costs. Ties
-go to the smaller id; an id that stands in several rows counts once, by its smallest distance. Empty tables give no rows.
+go to the smaller id; an id that stands in several rows counts once, by its smallest distance, and so does a query id: its
+neighbours are the nearest to any of its vectors. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
     """query_id, rank, id_col and score (Euclidean distance, in double precision) of the k nearest rows of table to each
     query, the query's own id left out."""
     clean = lambda df: df.select(F.col(id_col).try_cast("long").alias("id"), F.col(vector_col).alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull()).select("id", F.col("v").cast("array<double>").alias("v"))
-    rows, asked = clean(table), clean(queries).dropDuplicates(["id"])
+    rows, asked = clean(table), clean(queries).dropDuplicates(["id", "v"])
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score")).limit(0)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -60,6 +61,17 @@ def impacts(entries: list[list[str]], threshold: float) -> list[dict[str, float]
     return out
 
 
+def test_a_repeated_query_id_has_the_neighbours_of_all_its_vectors(spark):
+    rng = np.random.default_rng(4)
+    vectors = [(i, rng.normal(0, 1, 6).tolist()) for i in range(1, 120)]
+    twice = [(0, [9.0] * 6), (0, [-9.0] * 6), (0, [9.0] * 6)]
+    want = sorted((min(float(np.linalg.norm(np.array(v) - q[1])) for q in twice), i) for i, v in vectors)[:10]
+    for order in (twice, twice[::-1], [twice[1], twice[0]]):
+        table = spark.createDataFrame(vectors + order, "vec_id long, embedding array<double>")
+        got = nearest.search(table, table.where("vec_id = 0")).orderBy("rank").collect()
+        assert [r["vec_id"] for r in got] == [i for _, i in want] and all(abs(r["score"] - d) < 1e-9 for r, (d, _) in zip(got, want))
+
+
 def test_wand_finds_what_full_scoring_finds(monkeypatch):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(120)]
@@ -182,7 +194,7 @@ def test_main_text(spark):
 
 
 def test_the_region_is_the_best_scoring_run():
-    weight = {"word": 1.0, "tag": -2.0, "word:link": -1.0, "word:out": -1.0}
+    weight = {"word": 1.0, "tag": -2.0, "word:link": -1.0}
     page = "<p>a b</p><p><i><i><i><i>c d e f g h</i></i></i></i></p>"
     assert htmltext.extract_text(page, weight) == "c d e f g h"
     rng = random.Random(6)
@@ -219,6 +231,13 @@ SHAPES = {
     "an advert and an aside within": f"<article>{ARTICLE.replace('<p>Second', '<div class=ad>Buy now this great product</div><aside>see also</aside><p>Second')}</article>",
     "a notice": f'<div class="cookie-notice">{LIKED}</div><div hidden>{LIKED}</div><div style="display:none">{LIKED}</div><div>{ARTICLE}</div>',
     "an article's own head": f'<div class="page"><div class="entry-header"><h2>Big title here</h2></div>{ARTICLE[23:]}</div>{FOOT}',
+    "a page title before the article": f"<nav>{MENU}</nav><main>{ARTICLE[:23]}<article>{ARTICLE[23:]}</article></main>{FOOT}",
+    "a comment by its text": f'<div class="post">{ARTICLE}</div><div class="comment-text">{LIKED}</div>{FOOT}',
+    "a sidebar's content": f'<div class="sidebar-content">{LIKED}</div><div class="content">{ARTICLE}</div><div class="footer-text">{LIKED}</div>',
+    "related articles": f'<div class="content">{ARTICLE}</div><div class="related-articles">{LIKED}</div><div class="newsletter-text">{LIKED}</div><div class="ad-text">{LIKED}</div>',
+    "comments as themes have them": f'<article class="post">{ARTICLE}</article><ol class="comment-list"><li class="comment"><div class="comment-body">{LIKED}</div></li></ol><form class="comment-form">Reply</form>',
+    "bare parts": f"<div><div>{MENU}</div><div><div>{ARTICLE}</div></div><div>{MENU}</div></div>",
+    "words without scripts": f"<div>{ARTICLE.replace('<p>End.', '<button>Share</button><noscript><p>End.').replace('End.</p>', 'End.</p></noscript>')}</div>",
     "a small teaser marked as an article": f"<nav>{MENU}</nav><div>{ARTICLE * 3}</div><article class=teaser>short</article>",
 }
 
@@ -231,6 +250,21 @@ def test_articles_of_many_shapes():
             assert got.startswith("\n\n".join([want] * 3)) if "teaser" in shape else got == want, (shape, got)
 
 
+def test_a_body_in_parts_outlives_the_articles_below_it():
+    body, card = "<p>" + "body " * 78 + "</p>", "<article><h3>Card</h3><p>" + "card " * 60 + "</p></article>"
+    for weight in (htmltext.weights({}), htmltext.weights({k: tuple(v) for k, v in htmltext.counts(PAGE * 20).items()})):
+        got = htmltext.extract_text(f"<div>{body * 5}</div>{card * 3}", weight)
+        assert got.count("body") == 390
+        assert htmltext.extract_text(f'<div class="comments">{body}</div>', weight).count("body") == 78
+
+
+def test_bad_nesting_costs_no_more_than_its_length():
+    start = time.time()
+    for page in ("<div>" * 20_000 + "</section>" * 20_000, "<nav>" * 20_000 + "<p>a" * 20_000, "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000, "<article>" * 20_000 + "x", "<li>" * 20_000 + "<td>" * 20_000):
+        htmltext.extract_text(page, htmltext.weights({}))
+    assert time.time() - start < 10
+
+
 def test_markup_by_the_rules_of_html():
     weight = htmltext.weights({})
     for page, want in (
