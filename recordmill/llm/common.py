@@ -35,6 +35,11 @@ def keep_free(columns: list[str], name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column name to look up by, whatever dots and quotes are in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def bound_batches(spark: SparkSession, records: int = 500, size: str = "16m") -> None:
     """Arrow batches of whole texts: few rows and few bytes each, so that long texts don't fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordmill import session
-from recordmill.llm.common import keep_free
+from recordmill.llm.common import keep_free, quoted
 from recordmill.session import materialize
 
 
@@ -172,4 +172,4 @@ def redact(docs: DataFrame, ledger: str, mark: str = "[SECRET]", rules: tuple[Ru
     text, at = F.col(text_col), F.col(at)
     stops = F.concat(F.array(F.lit(0)), F.transform(at, lambda s: s["stop"]))
     kept = F.zip_with(stops, F.concat(F.transform(at, lambda s: s["start"]), F.array(F.length(text))), lambda a, b: F.substring(text, a + 1, b - a))
-    return joined.withColumn(text_col, F.when(at.isNull(), text).otherwise(F.array_join(kept, mark))).select(*[text_col if c == text_col else named[c] for c in docs.columns])
+    return joined.withColumn(text_col, F.when(at.isNull(), text).otherwise(F.array_join(kept, mark))).select(*[text_col if c == text_col else named[quoted(c)] for c in docs.columns])

@@ -198,3 +198,19 @@ def test_fingerprints_are_majorities_of_all_shingles_counted_bit_by_bit():
         hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
         want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
         assert simhash.fingerprint_of(simhash.shingles(text, 4)) == want
+
+
+def test_columns_of_any_name_pass_through_the_stages(spark):
+    from recordmill.llm import decontaminate, secrets
+    from recordmill.session import fresh_path
+
+    names = ["a.b", "_one", "d1", "blob", "_Text", "`q`"]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(["one two three four five six", "one two three four five six", "password = hunter2hunter2", None, None])]
+    rows += rows[:1]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    kept = dedup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect()) == [0, 2, 3]
+    clean = decontaminate.clean(kept, spark.createDataFrame([(1, "seven eight nine ten eleven twelve thirteen")], "item_id long, text string"))
+    done = secrets.redact(clean, fresh_path(spark, "ledger"))
+    assert done.columns == docs.columns
+    assert {r[0]: tuple(r)[1:] for r in done.collect()} == {i: ("[SECRET]" if i == 2 else rows[i][1], *[f"{n}{i}" for n in names]) for i in (0, 2, 3)}
