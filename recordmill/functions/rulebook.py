@@ -14,10 +14,14 @@ from recordmill.functions.text import SPACE as S
 
 PAIRS = (("‘", "’", "작은따옴표"), ("“", "”", "큰따옴표"), ("(", ")", "소괄호"), ("[", "]", "대괄호"), ("「", "」", "낫표"), ("『", "』", "겹낫표"), ("〈", "〉", "홑화살괄호"), ("《", "》", "겹화살괄호"))
 
-INSTITUTIONS = """유엔|국제연합|세계보건기구|세계무역기구|국제통화기금|유네스코|유니세프|나토|국제원자력기구|세계기상기구|국제노동기구|세계식량계획|국제앰네스티|앰네스티|그린피스|국경없는의사회|국경 없는 의사회|적십자|대한적십자사|세계자연기금|국제방사선방호위원회|세계원자력발전사업자협회|통계청|경찰청|검찰청|국세청|관세청|기상청|산림청|특허청|수사청|질병관리청|식품의약품안전처|식약처|환경부|보건복지부|과학기술정보통신부|국토교통부|고용노동부|여성가족부|문화체육관광부|행정안전부|기획재정부|농림축산식품부|산업통상자원부|해양수산부|중소벤처기업부|국립국어원|국가인권위원회|헌법재판소|국민건강보험공단|국민연금공단|한국은행|한국전력공사|한국철도공사|코레일|한국소비자원|한국관광공사|한국장학재단|한국교육과정평가원|한국과학창의재단|한국연구재단|한국과학기술원|한국음악저작권협회|한국음악저작권 협회|한국전통문화전당|종로경찰서|독립협회|미국심장학회|식품안전나라|나눔의 집|나눔의집|달빛어린이병원|KBS 방송국|아마존협력조약기구|아마존 협력 조약기구|산남고|산남중|산남초|서울대|연세대|고려대|성균관대|한양대|중앙대|경희대|서강대|이화여대|건국대|동국대|홍익대|국민대|숭실대|세종대|단국대|아주대|인하대|부산대|경북대|전남대|전북대|충남대|충북대|강원대|제주대|카이스트|포스텍|유니스트|지스트|하버드|스탠퍼드|스탠포드|옥스퍼드|케임브리지|프린스턴|도쿄대|칭화대""".split("|")
-INSTITUTION_ACRONYMS = "UN WHO WTO IMF OECD OECE EU UNESCO UNICEF NATO NASA IAEA ILO FAO WFP WMO IPCC UNHCR UNDP UNEP ASEAN APEC OPEC WWF CDC FDA EPA NGO KBS MBC SBS EBS MIT KAIST POSTECH UNIST GIST DGIST ODA".split()
-BUSINESSES = """삼성|삼성전자|삼성그룹|현대자동차|현대그룹|포스코|한화|두산|신세계|이마트|롯데월드|롯데마트|네이버|카카오|카카오톡|카카오페이|카카오뱅크|카카오 헬스케어|카카오헬스케어|쿠팡|배달의민족|당근마켓|구글|애플|아마존|마이크로소프트|테슬라|엔비디아|인텔|퀄컴|화웨이|샤오미|소니|도요타|토요타|필립스|스페이스X|유튜브|넷플릭스|인스타그램|페이스북|틱톡|스레드|디즈니|픽사|지브리|나이키|아디다스|유니클로|스타벅스|맥도날드|버거킹|코카콜라|다이소|올리브영|세븐일레븐|프라다|세라젬|한강 버거|챗GPT|오픈AI|딥마인드|제미나이|파파고""".split("|")
-BUSINESS_ACRONYMS = "SpaceX ChatGPT OpenAI DeepMind Threads NVIDIA VIPKID LG SK CJ GS25 AMD".split()
+INSTITUTIONS = (
+    "유엔", "국제연합", "세계보건기구", "세계무역기구", "국제통화기금", "유네스코", "유니세프", "나토", "국제원자력기구", "세계기상기구", "국제노동기구", "세계식량계획", "국제앰네스티", "앰네스티", "그린피스", "국경없는의사회", "국경 없는 의사회", "적십자", "대한적십자사", "세계자연기금", "국제방사선방호위원회", "세계원자력발전사업자협회", "통계청", "경찰청", "검찰청", "국세청", "관세청", "기상청", "산림청", "특허청", "수사청", "질병관리청", "식품의약품안전처", "식약처", "환경부", "보건복지부", "과학기술정보통신부", "국토교통부", "고용노동부", "여성가족부", "문화체육관광부", "행정안전부", "기획재정부", "농림축산식품부", "산업통상자원부", "해양수산부", "중소벤처기업부", "국립국어원", "국가인권위원회", "헌법재판소", "국민건강보험공단", "국민연금공단", "한국은행", "한국전력공사", "한국철도공사", "코레일", "한국소비자원", "한국관광공사", "한국장학재단", "한국교육과정평가원", "한국과학창의재단", "한국연구재단", "한국과학기술원", "한국음악저작권협회", "한국음악저작권 협회", "한국전통문화전당", "종로경찰서", "독립협회", "미국심장학회", "식품안전나라", "나눔의 집", "나눔의집", "달빛어린이병원", "KBS 방송국", "아마존협력조약기구", "아마존 협력 조약기구", "산남고", "산남중", "산남초", "서울대", "연세대", "고려대", "성균관대", "한양대", "중앙대", "경희대", "서강대", "이화여대", "건국대", "동국대", "홍익대", "국민대", "숭실대", "세종대", "단국대", "아주대", "인하대", "부산대", "경북대", "전남대", "전북대", "충남대", "충북대", "강원대", "제주대", "카이스트", "포스텍", "유니스트", "지스트", "하버드", "스탠퍼드", "스탠포드", "옥스퍼드", "케임브리지", "프린스턴", "도쿄대", "칭화대",
+)
+INSTITUTION_ACRONYMS = ("UN", "WHO", "WTO", "IMF", "OECD", "OECE", "EU", "UNESCO", "UNICEF", "NATO", "NASA", "IAEA", "ILO", "FAO", "WFP", "WMO", "IPCC", "UNHCR", "UNDP", "UNEP", "ASEAN", "APEC", "OPEC", "WWF", "CDC", "FDA", "EPA", "NGO", "KBS", "MBC", "SBS", "EBS", "MIT", "KAIST", "POSTECH", "UNIST", "GIST", "DGIST", "ODA")
+BUSINESSES = (
+    "삼성", "삼성전자", "삼성그룹", "현대자동차", "현대그룹", "포스코", "한화", "두산", "신세계", "이마트", "롯데월드", "롯데마트", "네이버", "카카오", "카카오톡", "카카오페이", "카카오뱅크", "카카오 헬스케어", "카카오헬스케어", "쿠팡", "배달의민족", "당근마켓", "구글", "애플", "아마존", "마이크로소프트", "테슬라", "엔비디아", "인텔", "퀄컴", "화웨이", "샤오미", "소니", "도요타", "토요타", "필립스", "스페이스X", "유튜브", "넷플릭스", "인스타그램", "페이스북", "틱톡", "스레드", "디즈니", "픽사", "지브리", "나이키", "아디다스", "유니클로", "스타벅스", "맥도날드", "버거킹", "코카콜라", "다이소", "올리브영", "세븐일레븐", "프라다", "세라젬", "한강 버거", "챗GPT", "오픈AI", "딥마인드", "제미나이", "파파고",
+)
+BUSINESS_ACRONYMS = ("SpaceX", "ChatGPT", "OpenAI", "DeepMind", "Threads", "NVIDIA", "VIPKID", "LG", "SK", "CJ", "GS25", "AMD")
 ALLOWED = ("대한민국학술원", "국사편찬위원회", "국립국제교육원", "국립특수교육원", "교원소청심사위원회", "중앙교육연수원")
 
 STOP = rf"(?:$|[{S[1:-1]},.;:!?·→←\-)]|[\"'’])"
@@ -57,10 +61,23 @@ class Rule:
         return reduce(lambda a, b: a | b, [text.contains(n) for n in self.needs]) & found if self.needs else found
 
 
-def any_of(names: list[str]) -> str:
-    """Longest first, so that a name doesn't hide one that it begins. A look at the first character spares most tries."""
-    first = "".join(sorted({re.escape(n[0]) for n in names}))
-    return f"(?=[{first}])(?:" + "|".join(re.escape(n).replace(r"\ ", " ") for n in sorted(names, key=len, reverse=True)) + ")"
+def any_of(names: tuple[str, ...]) -> str:
+    """A pattern of a trie of names: each character is tried once, however many names begin with it. At every branch longer
+    names come first, so a name doesn't hide one that it begins; a look at the first character spares most tries."""
+    tree: dict = {}
+    for name in names:
+        node = tree
+        for c in name:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def branch(node: dict) -> str:
+        parts = [re.escape(c).replace(r"\ ", " ") + branch(below) for c, below in sorted(node.items()) if c]
+        if not parts:
+            return ""
+        return (f"(?:{'|'.join(parts)})" if len(parts) > 1 or "" in node else parts[0]) + ("?" if "" in node else "")
+
+    return f"(?=[{''.join(sorted(map(re.escape, tree)))}]){branch(tree)}"
 
 
 def entity(body: str, cased: bool = False) -> str:

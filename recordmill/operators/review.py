@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import dataclasses
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordmill.functions.text import normalize
 from recordmill.operators.risk import rank
-from recordmill.session import materialize
+from recordmill.operators.scan import PLACE, RANGE, ranged
+from recordmill.session import fresh_path, materialize, release
 
 #: Rows on a page, and keys that a store keeps.
 PAGE, KEPT = 30, 50_000
@@ -42,10 +47,43 @@ def sort_keys(mode: str) -> list[Column]:
     }[mode] + [F.col("record_order")]
 
 
+@dataclasses.dataclass(frozen=True)
+class Queue:
+    """Records in a sort order, stored as ranges, and how many each range has."""
+
+    rows: DataFrame
+    counts: list[tuple[int, int]]
+
+    def page(self, number: int = 1, size: int = PAGE) -> DataFrame:
+        """Rows of one page, from 1; a number past the end gives the last page. Only the ranges that the page lies in are
+        read."""
+        total = sum(n for _, n in self.counts)
+        first = (min(max(1, number), max(1, -(-total // size))) - 1) * size
+        at, wanted = 0, F.lit(False)
+        for block, n in self.counts:
+            low, high = max(0, first - at), min(n, first + size - at)
+            if low < high:
+                wanted = wanted | ((F.col(RANGE) == block) & F.col(PLACE).between(low, high - 1))
+            at += n
+        return self.rows.where(wanted).orderBy(RANGE, PLACE).drop(RANGE, PLACE)
+
+
+def queue(records: DataFrame, mode: str = "priority", ranges: int | None = None) -> Queue:
+    """records in a sort order: whatever made them runs once, any number of pages are read from what is stored. A range is
+    a folder, so a page opens no others; the driver holds a number for each range."""
+    held = materialize(records, "reviewed")
+    cut = ranged(held, [], sort_keys(mode), ranges=ranges, what="queue")
+    path = fresh_path(records.sparkSession, "queue")
+    cut.write.partitionBy(RANGE).parquet(path)
+    counts = [(r[RANGE], r["n"]) for r in cut.groupBy(RANGE).agg(F.count(F.lit(1)).alias("n")).orderBy(RANGE).collect()]
+    release(held, cut)
+    if not counts:  # no folder, no schema to read
+        return Queue(records.limit(0).withColumns({RANGE: F.lit(0), PLACE: F.lit(0).cast("long")}), [])
+    return Queue(records.sparkSession.read.schema(cut.schema).parquet(path), counts)
+
+
 def page(records: DataFrame, mode: str = "priority", number: int = 1, size: int = PAGE) -> DataFrame:
-    """Rows of one page, from 1; a number past the end gives the last page. Only the rows up to the page are sorted out."""
-    pages = max(1, -(-records.count() // size))
-    return records.orderBy(*sort_keys(mode)).offset((min(max(1, number), pages) - 1) * size).limit(size)
+    return queue(records, mode).page(number, size)
 
 
 def checked(records: DataFrame, keys: DataFrame) -> DataFrame:
@@ -85,11 +123,86 @@ def load_keys(rows: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(F.explode(items).alias("key")).where("key IS NOT NULL")
 
 
+# Saved stores: snapshots in folders of their own, and numbered pointers that name them. A snapshot is written whole before
+# the pointer to it; a pointer's file is made once, by whoever comes first, and counts once its name is written in full. So
+# a reader sees the old store or the new one, a save that dies changes nothing, and of two saves at once one fails.
+
+STORE = "key string, marked_at timestamp"
+_NAME = 32
+
+
+class SavedMeanwhile(RuntimeError):
+    """Another save has come first."""
+
+
+def _pointers(spark: SparkSession, path: str) -> tuple:
+    """(file system, folder, numbers of all pointers)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/pointers")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    return files, folder, sorted(int(n) for n in found if n.isdigit())
+
+
+def _snapshot(spark: SparkSession, files, folder, version: int) -> str | None:
+    """What a pointer names; nothing if its writer died."""
+    stream = files.open(spark._jvm.org.apache.hadoop.fs.Path(folder, str(version)))
+    try:
+        name = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return name if len(name) == _NAME else None
+
+
+def current(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """(version, snapshot) of a saved store; (0, None) where nothing was saved yet."""
+    files, folder, versions = _pointers(spark, path)
+    return next(((v, name) for v in reversed(versions) if (name := _snapshot(spark, files, folder, v))), (0, None))
+
+
+def save(store: DataFrame, path: str, limit: int = KEPT, since: int | None = None) -> int:
+    """Writes the newest keys of store (key, marked_at) as the next snapshot and returns its version. since: the version
+    that store was made from; the save fails if another one came after it. The snapshot before stays for its readers,
+    older ones are deleted."""
+    spark = store.sparkSession
+    before, last = current(spark, path)
+    if since is not None and before != since:
+        raise SavedMeanwhile(f"version {before} came after {since}")
+    snapshot = uuid.uuid4().hex
+    newest(store, limit).write.parquet(f"{path}/snapshots/{snapshot}")
+    version = _swing(spark, path, snapshot)
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    files, folder, versions = _pointers(spark, path)
+    for v in versions:
+        if v < before and (old := _snapshot(spark, files, folder, v)) not in (None, last, snapshot):
+            files.delete(of(f"{path}/snapshots/{old}"), True)
+            files.delete(of(folder, str(v)), False)
+    return version
+
+
+def _swing(spark: SparkSession, path: str, snapshot: str) -> int:
+    """Points to a snapshot by the next number."""
+    files, folder, versions = _pointers(spark, path)
+    version = (versions[-1] if versions else 0) + 1
+    try:
+        pointer = files.create(spark._jvm.org.apache.hadoop.fs.Path(folder, str(version)), False)
+    except Py4JJavaError as taken:
+        raise SavedMeanwhile(f"version {version} is taken") from taken
+    pointer.writeBytes(snapshot)
+    pointer.close()
+    return version
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The current snapshot of a saved store; empty where nothing was saved yet."""
+    _, snapshot = current(spark, path)
+    return spark.createDataFrame([], STORE) if snapshot is None else spark.read.schema(STORE).parquet(f"{path}/snapshots/{snapshot}")
+
+
 def in_group_rank(records: DataFrame, by: str, mode: str = "priority") -> DataFrame:
     """records with their place in their group. A group is cut into ranges of the sort order: a place is the place in the
     range and the number of the group's rows in ranges before it, so no group is one task."""
     order = sort_keys(mode)
-    block, ahead = "_range", "_ahead"
+    block, ahead = RANGE, "_ahead"
     cut = materialize(records.repartitionByRange(F.col(by), *order).withColumn(block, F.spark_partition_id()), "ranges")
     sizes = cut.groupBy(by, block).agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy(by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
