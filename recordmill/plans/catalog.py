@@ -492,13 +492,12 @@ def spelling_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same letters with closed syllables and particles among them.
 PARTICLES = "가나다이마바사아자차카발파간너더러는을은버서어저처커"
-PARTICLE_SQL = HANGUL_SQL.replace(HANGUL, PARTICLES)
 
 
-@query(f"""WITH {S.RECORDS}, {PARTICLE_SQL}, u AS (SELECT word, right(word, 1) AS last, left(word, length(word) - 1) AS stem FROM words WHERE length(word) >= 3 AND n <= 5 AND word NOT IN (SELECT word FROM known)),
- j AS (SELECT *, stem IN (SELECT word FROM known) AS stem_known, stem || '한' IN (SELECT word FROM known) AS root_known, (ord(right(stem, 1)) - 44032) % 28 <> 0 AS closed FROM u WHERE length(stem) >= 2),
- r AS (SELECT *, CASE WHEN last IN ('을', '를') THEN CASE WHEN closed THEN '을' ELSE '를' END WHEN last IN ('은', '는') THEN CASE WHEN closed THEN '은' ELSE '는' END WHEN last IN ('이', '가') THEN CASE WHEN closed THEN '이' ELSE '가' END WHEN last IN ('과', '와') THEN CASE WHEN closed THEN '과' ELSE '와' END END AS due FROM j)
- SELECT word, stem || due AS suggestion FROM r WHERE stem_known AND due IS NOT NULL AND due <> last""")
+@query(f"""WITH {S.RECORDS}, h AS (SELECT record_order, translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '{PARTICLES}') AS text FROM records), words AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[가-힣]+')) AS word FROM h) WHERE length(word) >= 2 GROUP BY 1), known AS (SELECT word AS k FROM words WHERE n >= 20),
+ u AS (SELECT word, right(word, 1) AS last, left(word, length(word) - 1) AS stem FROM words WHERE length(word) >= 3 AND n <= 5), due AS (SELECT * FROM (VALUES ('을', '을', '를'), ('를', '을', '를'), ('은', '은', '는'), ('는', '은', '는'), ('이', '이', '가'), ('가', '이', '가'), ('과', '과', '와'), ('와', '과', '와')) d(last, closed, open)),
+ r AS (SELECT word, stem, u.last, CASE WHEN (ord(right(stem, 1)) - 44032) % 28 <> 0 THEN closed ELSE open END AS fit FROM u JOIN due ON due.last = u.last JOIN known ON known.k = u.stem)
+ SELECT word, stem || fit AS suggestion FROM r WHERE fit <> last""")
 def spelling_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = from_documents(spark, sf_dir)
     words = spelling.frequency(r.withColumn("text", F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", PARTICLES)))
