@@ -14,7 +14,7 @@ again, and repeats are dropped on reading.
 from __future__ import annotations
 
 import dataclasses
-import zlib
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,7 +38,8 @@ class Rule:
     @property
     def stamp(self) -> int:
         """What the ledger knows the rule's version by: it changes with the version and with all that decides a match."""
-        return zlib.crc32(repr((self.version, self.pattern, self.group, self.at_least)).encode()) & 0x7FFFFFFF
+        told = repr((self.version, self.pattern, self.group, self.at_least)).encode()
+        return int.from_bytes(hashlib.sha256(told).digest()[:8], "big", signed=True)
 
     def may_match(self, text: Column) -> Column:
         return text.rlike(self.hint or self.pattern) if self.hint_is_pattern or not self.hint else text.contains(self.hint)
@@ -60,6 +61,10 @@ ADDED = (
 RULES = BASE + ADDED
 
 
+def _stamp(rule: Rule) -> Column:
+    return F.lit(rule.stamp).cast("long")
+
+
 def blob_name(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
@@ -72,8 +77,8 @@ def _ledger(spark: SparkSession, path: str, part: str, schema: str) -> DataFrame
     return spark.createDataFrame([], schema)
 
 
-SCANNED = "blob binary, kind string, version int"
-FINDINGS = "blob binary, kind string, version int, start int, stop int"
+SCANNED = "blob binary, kind string, version long"
+FINDINGS = "blob binary, kind string, version long, start int, stop int"
 
 
 def find(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -96,7 +101,7 @@ def find(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     placed = zipped.withColumn("stop", F.sum(F.col("m.own") + F.col("m.gap")).over(before).cast("int"))
     table = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (i, r.at_least)])
     kinds = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (i, r.kind)])
-    versions = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (i, r.stamp)])
+    versions = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(i), _stamp(r))])
     kept = placed.where(F.col("m.part") >= F.element_at(table, F.col("rule")))
     return kept.select("blob", F.element_at(kinds, F.col("rule")).alias("kind"), F.element_at(versions, F.col("rule")).alias("version"), (F.col("stop") - F.col("m.own")).cast("int").alias("start"), "stop")
 
@@ -109,7 +114,7 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_col
     paths = materialize(named.select("id", "blob"), "paths")
     blobs = paths.groupBy("blob").agg(F.min("id").alias("keeper"))
     seen = _ledger(spark, ledger, "scanned", SCANNED)
-    current = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.stamp).alias("version")) for r in rules])
+    current = F.array(*[F.struct(F.lit(r.kind).alias("kind"), _stamp(r).alias("version")) for r in rules])
     if seen.isEmpty():
         unseen = blobs.withColumn("kinds", F.array(*[F.lit(r.kind) for r in rules]))
     else:
@@ -120,10 +125,10 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_col
     key = lambda df, c: df.withColumn("k", F.coalesce(F.col(c).cast("string"), F.lit("")))
     texts = key(named, "id").join(key(unseen, "keeper").drop("keeper").hint("shuffle_hash"), ["blob", "k"]).select("blob", "text", "kinds")
     find(texts, rules).distinct().write.mode("append").parquet(f"{ledger}/findings")
-    versions = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.stamp)])
+    versions = F.create_map(*[x for r in rules for x in (F.lit(r.kind), _stamp(r))])
     done = unseen.select("blob", F.explode("kinds").alias("kind")).withColumn("version", F.element_at(versions, F.col("kind")))
     done.write.mode("append").parquet(f"{ledger}/scanned")
-    now = F.array(*[F.concat_ws("@", F.lit(r.kind), F.lit(r.stamp)) for r in rules])
+    now = F.array(*[F.concat_ws("@", F.lit(r.kind), _stamp(r)) for r in rules])
     findings = _ledger(spark, ledger, "findings", FINDINGS).where(F.array_contains(now, F.concat_ws("@", "kind", "version")))
     return paths, findings.distinct()
 
