@@ -55,10 +55,14 @@ class Rule:
     #: Texts of which every match holds one: looked for first, which costs little.
     needs: tuple[str, ...] = ()
 
+    def may_match(self, text: Column) -> Column:
+        """Whether a text holds what every match needs."""
+        return reduce(lambda a, b: a | b, [text.contains(n) for n in self.needs])
+
     def hits(self, text: Column) -> Column:
         """Whether a text has a match."""
         found = text.rlike(self.pattern)
-        return reduce(lambda a, b: a | b, [text.contains(n) for n in self.needs]) & found if self.needs else found
+        return self.may_match(text) & found if self.needs else found
 
 
 def any_of(names: tuple[str, ...]) -> str:
