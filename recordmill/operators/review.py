@@ -6,12 +6,12 @@ import dataclasses
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordmill.functions.text import normalize
 from recordmill.operators.risk import rank
-from recordmill.operators.scan import PLACE, RANGE, ranged
+from recordmill.operators.scan import PLACE, RANGE, Running, ranged, running
 from recordmill.session import fresh_path, materialize, release
 
 #: Rows on a page, and keys that a store keeps.
@@ -199,14 +199,6 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def in_group_rank(records: DataFrame, by: str, mode: str = "priority") -> DataFrame:
-    """records with their place in their group. A group is cut into ranges of the sort order: a place is the place in the
-    range and the number of the group's rows in ranges before it, so no group is one task."""
-    order = sort_keys(mode)
-    block, ahead = RANGE, "_ahead"
-    cut = materialize(records.repartitionByRange(F.col(by), *order).withColumn(block, F.spark_partition_id()), "ranges")
-    sizes = cut.groupBy(by, block).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(F.col(by).alias("_group"), F.col(block).alias("_block"), F.coalesce(before, F.lit(0)).alias(ahead))
-    own = cut.withColumn("place", F.row_number().over(Window.partitionBy(by, block).orderBy(*order)))
-    met = own.join(F.broadcast(offsets), own[by].eqNullSafe(F.col("_group")) & (own[block] == F.col("_block")))
-    return met.withColumn("place", (F.col("place") + F.col(ahead)).cast("int")).select(*records.columns, "place")
+    """records with their place in their group: a running count over ranges of the sort order, so no group is one task."""
+    cut = ranged(records, [by], sort_keys(mode))
+    return running(cut, [by], place=Running(F.lit(1), "sum")).select(*records.columns, F.col("place").cast("int").alias("place"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordmill.functions import text as T
 from recordmill.plans import sql as S
 from recordmill.plans.catalog import query
 from recordmill.sources import layouts
@@ -111,3 +112,19 @@ def generic_sheet_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sheet(turns, "conv_id * 1000 + turn + 10", GENERIC_CELLS)
     done = layouts.generic_rows(rows)
     return done.select("source_row", *[F.get("cells", F.lit(i)).alias(n) for i, n in ((1, "name"), (2, "c2"), (3, "c3"), (4, "c4"), (5, "c5"))])
+
+
+_CELL = "CASE conv_id % 6 WHEN 0 THEN NULL WHEN 1 THEN chr(9) || (turn + 1) || '학년 ' || (conv_id % 9 + 1) || ' 반 ' WHEN 2 THEN '자율 활동' WHEN 3 THEN ' 진로활동' || chr(10) WHEN 4 THEN coalesce(text, '') ELSE role || '  ' || (turn + 1) || '학년' END"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, {S.trim(f"coalesce({_CELL}, '')")} AS cell, (turn % 8) / 7.0 AS share FROM conversations), p AS (SELECT *, {S.collapse("regexp_replace(cell, '[\x00-\x1f\x7f]', ' ', 'g')")} AS cleaned, regexp_extract(cell, '([0-9]+){S.SPACE}*학년', 1) AS g, regexp_extract(cell, '(?s)([0-9]+){S.SPACE}*학년.*?([0-9]+){S.SPACE}*반', 2) AS k, regexp_replace(cell, '{S.SPACE}+', '', 'g') AS bare FROM c)
+ SELECT conv_id, turn, CASE WHEN k <> '' THEN g || '학년 ' || k || '반' ELSE cleaned END AS class_label, CASE WHEN g <> '' THEN g || '학년' ELSE '' END AS grade, CASE bare WHEN '자율활동' THEN '자율활동' WHEN '진로활동' THEN '진로활동' ELSE '' END AS activity,
+   CASE WHEN contains(bare, '활동') THEN 1 WHEN contains(bare, '학년') THEN 1 ELSE -1 END AS header_at, coalesce(nullif(cleaned, ''), '이름 미상') AS name, CAST(floor(share * 100 + 0.5) AS BIGINT) || '%' AS percent FROM p""")
+def cell_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of cells: class, grade, activity, place among headers, defaults, and shares as per cent."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    cell = T.cell_text(F.expr(_CELL))
+    own = turns.select("conv_id", "turn", cell.alias("cell"), ((F.col("turn") % 8) / 7.0).alias("share"))
+    c = F.col("cell")
+    at = T.header_index(F.array(F.lit("번 호"), c, F.lit("")), ["활동", "학년"])
+    return own.select("conv_id", "turn", T.class_label(c).alias("class_label"), T.grade_of_class(c).alias("grade"), T.activity_label(c).alias("activity"), at.alias("header_at"), T.or_default(T.clean(c), "name").alias("name"), T.percent(F.col("share")).alias("percent"))
