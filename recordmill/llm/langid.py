@@ -112,11 +112,15 @@ def predict_batch(texts: list[str | None], own: Profiles, group: int = 64) -> tu
     for start in range(0, len(texts), group):
         found = [trigrams(x) for x in texts[start : start + group]]
         grams, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
-        counts = np.zeros((len(found), len(grams)), np.float32)
-        counts[np.repeat(np.arange(len(found)), [len(g) for g, _ in found]), at] = np.concatenate([n for _, n in found])
+        rows, counts = np.repeat(np.arange(len(found)), [len(g) for g, _ in found]), np.concatenate([n for _, n in found])
+        order = np.argsort(at, kind="stable")
+        rows, counts, at = rows[order], counts[order].astype(np.float32), at[order]
         profiles = np.zeros((len(found), dimensions), np.float32)
-        for k in range(0, len(grams), 16384):
-            profiles += counts[:, k : k + 16384] @ gram_vectors(grams[k : k + 16384], dimensions)
+        for k in range(0, len(grams), 16384):  # a dense block of counts at a time, however many trigrams the texts have
+            low, high = np.searchsorted(at, (k, k + 16384))
+            block = np.zeros((len(found), min(16384, len(grams) - k)), np.float32)
+            block[rows[low:high], at[low:high] - k] = counts[low:high]
+            profiles += block @ gram_vectors(grams[k : k + 16384], dimensions)
         exact = profiles.astype(np.float64)  # whole numbers
         cosines = (exact @ own.vectors.T) / np.maximum(np.linalg.norm(exact, axis=1, keepdims=True), 1e-12)
         for (g, _), row in zip(found, cosines, strict=True):
