@@ -194,3 +194,19 @@ def lines_to_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = own.withColumns({"record_order": F.col("person") * 1000 + F.col("pos"), "record_type": F.lit("subject")})
     issues = inspect.inspect(numbered).groupBy("record_order").agg(F.count(F.lit(1)).alias("n_issues"), F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("labels"))
     return numbered.select("record_order", "person", "name", "class_name", "number", "subject", F.length("text").alias("n_chars")).join(issues, "record_order", "left")
+
+
+# Parts that are too long, cut at lone full stops planted in the prose
+
+
+STOPS = ((" the ", " . "), (" de ", " . "), (" der ", " . "), (" el ", " . "))
+_CUT = f"(?s)^(.+?){S.SPACE}\\.{S.SPACE}+(.+)$"
+
+
+@query(f"""WITH RECURSIVE {S.RECORDS}, c AS (SELECT record_order, subject, {S.replaced(STOPS)} AS text FROM records), w AS (SELECT record_order, CAST(0 AS INTEGER) AS piece, subject AS name, text AS rest, CAST(NULL AS VARCHAR) AS part, false AS done FROM c
+   UNION ALL SELECT record_order, piece + 1, '개인별 세특', CASE WHEN cut THEN regexp_extract(rest, '{_CUT}', 2) END, CASE WHEN cut THEN regexp_extract(rest, '{_CUT}', 1) ELSE rest END, NOT cut FROM (SELECT *, strlen(rest) > 1620 AND piece < 8 AND regexp_matches(rest, '{_CUT}') AS cut FROM w WHERE NOT done)),
+ p AS (SELECT record_order, CAST(piece - 1 AS INTEGER) AS piece, part, count(*) OVER (PARTITION BY record_order) > 1 AS several FROM w WHERE part IS NOT NULL)
+ SELECT p.record_order, p.piece, CASE WHEN p.piece = 0 OR NOT several THEN c.subject ELSE '개인별 세특' END AS subject, CASE WHEN several THEN CASE WHEN p.piece = 0 THEN c.subject ELSE '개인별 세특' END || ': ' || {S.trim("part")} ELSE c.text END AS text FROM p JOIN c ON c.record_order = p.record_order""")
+def resplit_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records over the limit cut at the first lone full stops, eight times at most."""
+    return segment.resplit_records(replaced(from_documents(spark, sf_dir), STOPS)).select("record_order", "piece", "subject", "text")
