@@ -128,3 +128,18 @@ def cell_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("cell")
     at = T.header_index(F.array(F.lit("번 호"), c, F.lit("")), ["활동", "학년"])
     return own.select("conv_id", "turn", T.class_label(c).alias("class_label"), T.grade_of_class(c).alias("grade"), T.activity_label(c).alias("activity"), at.alias("header_at"), T.or_default(T.clean(c), "name").alias("name"), T.percent(F.col("share")).alias("percent"))
+
+
+@query(f"""WITH k AS (SELECT conv_id, turn % 2 AS f, turn, {_CLEAN} AS chunk FROM conversations), l AS (SELECT conv_id, f, min(turn) AS turn, list(chunk ORDER BY turn) AS chunks FROM k WHERE chunk <> '' GROUP BY ALL), e AS (SELECT conv_id, f, turn, '체육: ' || {_FOLD} AS text FROM l WHERE length({_FOLD}) > 3),
+ j AS (SELECT conv_id, min(f) AS f, max(CASE WHEN f = 0 THEN text END) AS a, max(CASE WHEN f = 1 THEN text END) AS b FROM e GROUP BY 1), m AS (SELECT conv_id, CASE WHEN a IS NULL THEN b WHEN b IS NULL OR contains(a, b) THEN a ELSE {S.trim("a || ' ' || b")} END AS text FROM j),
+ c AS (SELECT conv_id, text, substr(text, 5) AS body, strlen(substr(text, 5)) > 1620 AND regexp_matches(substr(text, 5), '[.!?]{S.SPACE}*체육:') AS cut FROM m)
+ SELECT conv_id % 997 AS number, 'n' || conv_id AS name, 0 AS piece, CASE WHEN cut THEN '체육: ' || {S.trim(f"regexp_extract(body, '(?s)^(.*?[.!?]{S.SPACE}*)체육:', 1)")} ELSE text END AS text FROM c
+ UNION ALL SELECT conv_id % 997, 'n' || conv_id, 1, '체육: ' || {S.trim(f"regexp_extract(body, '(?s)^.*?[.!?]{S.SPACE}*체육:(.*)$', 1)")} FROM c WHERE cut""")
+def merged_across_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of one person and subject in two files, merged across them, and cut again where that made them too long."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    cells = ["'체육'", "'2'", "'1'", "string(conv_id % 997)", "concat('n', conv_id)", "coalesce(text, '')"]
+    rows = _sheet(turns, "conv_id * 1000 + turn + 10", cells).withColumn("source_file", F.when(F.col("source_row") % 2 == 0, "a.xlsx").otherwise("b.xlsx"))
+    heads = turns.select((F.col("turn") % 2).alias("k")).distinct().select(F.when(F.col("k") == 0, "a.xlsx").otherwise("b.xlsx").alias("source_file"), F.lit("Sheet1").alias("sheet_name"), F.lit(1).cast("long").alias("source_row"), F.array(*map(F.lit, SUBJECT_HEAD)).alias("cells"))
+    done = layouts.records(rows.unionByName(heads))
+    return done.select(F.col("number").cast("long").alias("number"), "name", "piece", "text")
