@@ -210,3 +210,20 @@ _CUT = f"(?s)^(.+?){S.SPACE}\\.{S.SPACE}+(.+)$"
 def resplit_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records over the limit cut at the first lone full stops, eight times at most."""
     return segment.resplit_records(replaced(from_documents(spark, sf_dir), STOPS)).select("record_order", "piece", "subject", "text")
+
+
+# Spans to mark, some of them over each other
+
+
+OVER = ((" the ", " 소논문 게재 "), (" in ", " 방과 후 학교 "), (" and ", " 장학금 "), (" de ", " 소논문 "), (" der ", " 논문 게재 "))
+_OVER_FOUND = " UNION ALL ".join(f"SELECT *, {rank} AS rank FROM {found_sql('changed', label, term)}" for label, term, rank in (("세특 입력 불가", "소논문", 0), ("논문 등재", "논문 게재", 0), ("방과후학교", "방과 후 학교", 1), ("장학 관련", "장학금", 0)))
+
+
+@query(f"""WITH RECURSIVE {S.RECORDS}, changed AS (SELECT record_order, {S.replaced(OVER)} AS text FROM records), found AS ({_OVER_FOUND}),
+ o AS (SELECT *, CAST(start + length(match) AS INTEGER) AS stop, row_number() OVER (PARTITION BY record_order ORDER BY start, rank, length(match) DESC) AS i FROM found),
+ w AS (SELECT record_order, CAST(1 AS BIGINT) AS i FROM o WHERE i = 1 UNION ALL SELECT w.record_order, min(n.i) AS i FROM w JOIN o c ON c.record_order = w.record_order AND c.i = w.i JOIN o n ON n.record_order = w.record_order AND n.start >= c.stop GROUP BY w.record_order)
+ SELECT o.record_order, o.start, o.stop, o.label, o.match FROM w JOIN o ON o.record_order = w.record_order AND o.i = w.i""")
+def spans_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prohibited terms to mark in each text, none over another."""
+    found = inspect.inspect(replaced(from_documents(spark, sf_dir), OVER), cap=1 << 30)
+    return inspect.spans(found.where("type = 'prohibited'")).select("record_order", "start", "stop", "label", "match")
