@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.session import materialize
+from recordmill.session import materialize, release
 
 MIN_REVISIT = 1000
 DATE = "2000-01-01T00:00:00Z"
@@ -43,7 +43,7 @@ def _head(rows: DataFrame) -> Column:
         "WARC-Record-ID: ", urn("id"), END,
         "WARC-Target-URI: ", url, END,
         "WARC-Date: ", DATE, END,
-        "WARC-Payload-Digest: sha1:", F.col("sha1"), END,
+        "WARC-Payload-Digest: sha1:", F.lower(F.hex("sha1")), END,
         F.when(revisit, _lines("WARC-Profile: ", PROFILE, END, "WARC-Refers-To: ", urn("response"), END)).otherwise(""),
         "Content-Type: application/http; msgtype=response", END,
         "Content-Length: ", length.cast("string"), END, END,
@@ -56,13 +56,14 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     full = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     full = full.withColumn("key", F.unhex(F.sha2("payload", 256)))
-    brief = materialize(full.select("id", "url", "key", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n")), "digests")
+    brief = materialize(full.select("id", "url", "key", F.unhex(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("n")), "digests")
     keepers = brief.groupBy("key", "n", "id").agg(F.count(F.lit(1)).alias("copies")).groupBy("key", "n").agg(F.max("id").alias("keeper"), F.max_by("copies", "id").alias("copies"), F.max("copies").alias("most"))
     keepers = materialize(keepers.withColumn("copies", F.coalesce("copies", "most")).drop("most"), "keepers")
     joined = brief.join(keepers, ["key", "n"])
     response = F.when((F.col("n") >= MIN_REVISIT) & F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper")), F.col("keeper"))
     records = joined.select("id", "url", "key", "sha1", "n", response.alias("response"))
-    records.select("key", _head(records).alias("head")).write.parquet(f"{path}/records")
+    records.select("key", _head(records).alias("head")).write.option("compression", "zstd").parquet(f"{path}/records")
+    release(brief)
     # one row of each payload, streamed past a hash table of the keepers; the id in the key deals out many copies
     named = lambda df, c: df.withColumn("k", F.coalesce(F.col(c).cast("string"), F.lit("")))
     kept = named(full, "id").select("key", "k", "payload").join(named(keepers, "keeper").select("key", "k", "copies").hint("shuffle_hash"), ["key", "k"])
@@ -70,6 +71,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     if not keepers.where("copies > 1").isEmpty():
         single = single.unionByName(kept.where("copies > 1").select("key", "payload").dropDuplicates(["key"]))
     single.write.option("compression", "zstd").parquet(f"{path}/payloads")
+    release(keepers)
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
