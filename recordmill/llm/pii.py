@@ -6,17 +6,16 @@ the corpus that base spans label, and from copies of these windows whose persona
 and dot in words or brackets, other separators, no plus sign) with new digits, the labels moved along. It finds such
 spellings in all texts.
 
-An anchor is a digit, an at sign, a bracketed at or dot, or the word dot; the bare word at is none, being too common, so an
-address that has no other sign than it isn't looked for. Windows of WINDOW characters, each overlapping
-the next by half, cover whole texts but for what is farther than REACH from any anchor. The windows' spans are reconciled
-over the whole text: pieces of one kind that windows have cut are joined where they overlap, and of overlapping spans those
-with the greatest sum of weights (probability times length) stay. A span is added if it is probable (LEAST), passes its
-kind's test once its spelling is undone, and touches neither a base span nor a failed match of its kind.
-
-The fit reads at most PER_KIND windows a kind, and PER_KIND without spans, chosen by a hash of the window: a bounded sample
-in one task. A kind with fewer than FEWEST distinct windows gets no added spans. Null texts are empty; repeated rows and
-ties are treated alike; an empty table gives no rows. Positions count code points, ends are exclusive. Extra columns may
-have any names.
+The tagger reads every character: windows of WINDOW characters, each overlapping the next by REACH, cover all of every
+text. Viterbi is left out where it can find nothing (Tagger.hopeful). The windows' spans are reconciled over the whole text:
+pieces of one kind that windows have cut are joined where they overlap, and of overlapping spans those with the greatest sum
+of weights (probability times length) stay. A span is added if it is probable (LEAST), passes its kind's test once its
+spelling is undone, and touches neither a base span nor a failed match of its kind.
+
+The fit reads at most PER_KIND windows a kind, and PER_KIND without spans around digits, signs and written-out dots, chosen
+by a hash of the window: a bounded sample in one task. A kind with fewer than FEWEST distinct windows gets no added spans.
+Null texts are empty; repeated rows and ties are treated alike; an empty table gives no rows. Positions count code points,
+ends are exclusive. Extra columns may have any names.
 """
 
 from __future__ import annotations
@@ -38,16 +37,17 @@ from recordmill.llm.tagger import SEED, Tagger, classes
 from recordmill.session import materialize, release
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, REACH, BATCH = 96, 48, 256
+#: Length and overlap of windows, and how many are tagged at once.
+WINDOW, REACH, BATCH = 1024, 64, 768
 #: Bounds of the fit.
-PER_KIND, FEWEST, FIT_WINDOW = 400, 8, 72
+PER_KIND, FEWEST, FIT_WINDOW, NEAR = 400, 8, 72, 48
 LEAST = 0.85
 
 # Base patterns. A run of digits or name characters is tried once, from its first character: a later start can't succeed
 # where that one fails, and possessive runs don't give characters back in vain.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]")
@@ -101,25 +101,10 @@ def candidates(text: str) -> dict[str, list[tuple[int, int, bool]]]:
 
 # Windows
 
-_ANCHOR = re.compile(r"(?ai)[0-9@＠]|[\[({<]\s{0,2}(?:at|dot|\.)\s{0,2}[\])}>]|\bdot\b")
-
 
 def windows(text: str) -> list[int]:
-    """Starts of the windows that cover everything within REACH of an anchor."""
-    starts: list[int] = []
-    end = -1  # of what is covered
-    for m in _ANCHOR.finditer(text):
-        if m.end() + REACH <= end:
-            continue
-        start = max(0, m.start() - REACH)
-        if start >= end:
-            starts.append(start)
-        else:  # goes on from the last window, half of it again
-            starts.append(starts[-1] + WINDOW // 2)
-        while starts[-1] + WINDOW < min(len(text), m.end() + REACH):
-            starts.append(starts[-1] + WINDOW // 2)
-        end = starts[-1] + WINDOW
-    return starts
+    """Starts of windows that cover the whole text, each overlapping the next by REACH."""
+    return list(range(0, max(len(text) - REACH, 1), WINDOW - REACH)) if text else []
 
 
 # What other spellings undo to
@@ -170,6 +155,26 @@ def ways(kind: str, span: str, rng: random.Random) -> str:
 
 # Fit
 
+_ANCHOR = re.compile(r"(?ai)[0-9@＠]|[\[({<]\s{0,2}(?:at|dot|\.)\s{0,2}[\])}>]|\bdot\b")
+
+
+def confusable(text: str) -> list[int]:
+    """Starts of windows around what personal data has too: digits, signs and written-out dots."""
+    starts: list[int] = []
+    end = -1  # of what is covered
+    for m in _ANCHOR.finditer(text):
+        if m.end() + NEAR <= end:
+            continue
+        start = max(0, m.start() - NEAR)
+        if start >= end:
+            starts.append(start)
+        else:
+            starts.append(starts[-1] + NEAR)
+        while starts[-1] + 2 * NEAR < min(len(text), m.end() + NEAR):
+            starts.append(starts[-1] + NEAR)
+        end = starts[-1] + 2 * NEAR
+    return starts
+
 
 def examples(text: str) -> Iterator[tuple[str, int, int, str]]:
     """(kind, start, stop, window) of each base span of a text, and ('', 0, 0, window) around anchors far from any."""
@@ -180,7 +185,7 @@ def examples(text: str) -> Iterator[tuple[str, int, int, str]]:
             if b - a <= FIT_WINDOW - 16:
                 left = max(0, a - (FIT_WINDOW - (b - a)) // 2)
                 yield kind, a - left, b - left, text[left : left + FIT_WINDOW]
-    for start in windows(text):
+    for start in confusable(text):
         end = start + FIT_WINDOW
         if not any(a < end and start < b for a, b in near[max(0, bisect.bisect_left(near, (start, 0)) - 4) : bisect.bisect_left(near, (end, 0)) + 1]):
             yield "", 0, 0, text[start:end]
@@ -317,23 +322,35 @@ def reconciled(spans: list[Span]) -> list[Span]:
 
 def tagged(texts: list[str], tagger: Tagger, taught: tuple[str, ...]) -> list[list[Span]]:
     """Reconciled spans of the tagger for each text."""
-    at = [(n, start) for n, text in enumerate(texts) for start in windows(text)]
+    at = sorted(((n, start, min(WINDOW, len(text) - start)) for n, text in enumerate(texts) for start in windows(text)), key=lambda w: -w[2])
     found: list[list[Span]] = [[] for _ in texts]
-    for k in range(0, len(at), BATCH):
-        part = at[k : k + BATCH]
-        ids = np.stack([classes(texts[n][start : start + WINDOW], WINDOW) for n, start in part])
-        s, _ = tagger.emissions(ids)
-        tags = tagger.best(s)
-        some = np.flatnonzero(tags.any(axis=1))
-        if not len(some):
-            continue
-        sure = np.take_along_axis(tagger.marginals(s[:, some]), tags[some].T[:, :, None], 2)[:, :, 0].T
-        for row, p in zip(some, sure, strict=True):
-            n, start = part[row]
-            size = min(WINDOW, len(texts[n]) - start)
-            for a, b, kind in _runs(tags[row][:size]):
+    held: list[tuple[int, int, np.ndarray]] = []  # windows that may have spans, and their scores
+
+    def searched() -> None:
+        sizes = np.array([len(s) for _, _, s in held])
+        scores = np.zeros((sizes[0], len(held), held[0][2].shape[1]), np.float32)
+        for k, (_, _, s) in enumerate(held):
+            scores[: len(s), k] = s
+        tags = tagger.best(scores, sizes)
+        sure = np.take_along_axis(tagger.marginals(scores, sizes), tags.T[:, :, None], 2)[:, :, 0].T
+        for (n, start, _), marks, p in zip(held, tags, sure, strict=True):
+            for a, b, kind in _runs(marks):
                 if KINDS[kind] in taught:
-                    found[n].append(Span(start + a, start + b, KINDS[kind], float(p[a:b].mean()), a == 0 and start > 0, b == WINDOW))
+                    found[n].append(Span(start + a, start + b, KINDS[kind], float(p[a:b].mean()), a == 0 and start > 0, b == WINDOW and start + b < len(texts[n])))
+        held.clear()
+
+    while at:
+        # about as long as each other, so that little is spent past the ends of short ones
+        size = next((k for k in range(BATCH // 3, min(BATCH, len(at))) if at[k][2] < 0.8 * at[0][2]), BATCH)
+        part, at = at[:size], at[size:]
+        s = tagger.scores([classes(texts[n][start : start + size], size) for n, start, size in part])
+        for k in np.flatnonzero(tagger.hopeful(s, np.array([size for _, _, size in part]))):
+            n, start, size = part[k]
+            held.append((n, start, s[:size, :, k].copy()))
+        if len(held) >= BATCH:
+            searched()
+    if held:
+        searched()
     return [reconciled(spans) for spans in found]
 
 

@@ -81,6 +81,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every text: base patterns, and what a tagger learned from them adds."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    bound_batches(spark, 2000)  # many windows of about one length are tagged at once
     found = docs.select("doc_id", pii.spans(F.col("text").cast("string"), pii.fit(docs), spark).alias("s"))
     base = F.filter("s", lambda x: x["source"] == "base")
     listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")

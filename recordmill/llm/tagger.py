@@ -6,6 +6,7 @@ outside, then B and I of each kind; I follows B or I of its kind, or starts a wi
 
 from __future__ import annotations
 
+import functools
 import io
 
 import numpy as np
@@ -18,14 +19,19 @@ CLASSES = 99
 BATCH, STEPS, RATE, SEED = 64, 320, 0.012, 11
 
 
+@functools.cache
+def _class_of() -> np.ndarray:
+    """The class of every code point."""
+    rest = (SPACE_CLASS if c.isspace() else LETTER_CLASS if c.isalpha() else OTHER_CLASS for c in map(chr, range(0x110000)))
+    out = np.fromiter(rest, np.uint8, 0x110000)
+    out[32:127] = np.arange(95) + _FIRST
+    return out
+
+
 def classes(text: str, length: int) -> np.ndarray:
-    codes = np.frombuffer(text[:length].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    codes = np.frombuffer(text[:length].encode("utf-32-le", "surrogatepass"), np.uint32)
     out = np.full(length, PAD, np.int64)
-    kind = np.where((codes >= 32) & (codes < 127), codes - 32 + _FIRST, LETTER_CLASS)
-    for i in np.flatnonzero((codes < 32) | (codes >= 127)):
-        c = chr(codes[i])
-        kind[i] = SPACE_CLASS if c.isspace() else LETTER_CLASS if c.isalpha() else OTHER_CLASS
-    out[: len(codes)] = kind
+    out[: len(codes)] = _class_of()[codes]
     return out
 
 
@@ -44,6 +50,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _live(s: np.ndarray, sizes: np.ndarray | None) -> np.ndarray:
+    """How many windows, longest first, have a character at each time."""
+    return np.full(len(s), s.shape[1]) if sizes is None else len(sizes) - np.searchsorted(sizes[::-1], np.arange(len(s)), "right")
+
+
 class Tagger:
     def __init__(self, kinds: int, rng: np.random.Generator | None = None) -> None:
         rng = rng or np.random.default_rng(SEED)
@@ -110,39 +121,109 @@ class Tagger:
         both = np.concatenate([forward, back[::-1]], axis=2)
         return both @ self.w["out"] + self.w["bias"], (x, both, kept_f, kept_b)
 
-    def _chains(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+        """time x tags x windows: what emissions gives for windows of several lengths, longest first, each run on its own
+        length. What lies past a window's end means nothing.
+
+        Gates are rows and windows columns; a step is one product with the state, the embedded character and a one for
+        the bias. A sigmoid is a tanh of the half: gates and outputs are kept doubled, weights take halves of them.
+        """
+        n, length = len(rows), len(rows[0])
+        ids = np.zeros((n, length), np.uint8)
+        for own, r in zip(ids, rows, strict=True):
+            own[: len(r)] = r
+        ids = np.ascontiguousarray(ids.T)
+        embed = np.ascontiguousarray(self.w["embed"].T)
+        half = np.where(np.arange(4 * HIDDEN) < 3 * HIDDEN, 0.5, 1).astype(np.float32)[:, None]
+        out = np.empty((length, len(self.w["bias"]), n), np.float32)
+        live = [*_live(out, np.array([len(r) for r in rows])), 0]
+        z, c, g, e = (np.empty((k, n), np.float32) for k in (4 * HIDDEN, HIDDEN, HIDDEN, out.shape[1]))
+        i, f, o, new = (z[k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+        state = np.ones((HIDDEN + EMBED + 1, n), np.float32)
+        h, x = state[:HIDDEN], state[HIDDEN:-1]
+        for d, heads in (("f", self.w["out"][:HIDDEN]), ("b", self.w["out"][HIDDEN:])):
+            step = half * np.concatenate([self.w[f"h{d}"].T / 2, self.w[f"x{d}"].T, self.w[f"c{d}"][:, None]], axis=1)
+            heads = np.ascontiguousarray(heads.T / 2)
+            h[:] = c[:] = 0
+            for t in range(length) if d == "f" else range(length - 1, -1, -1):
+                if d == "b":  # windows that end here begin
+                    h[:, live[t + 1] : live[t]] = c[:, live[t + 1] : live[t]] = 0
+                embed.take(ids[t], axis=1, out=x, mode="clip")
+                np.tanh(np.matmul(step, state, out=z), out=z)
+                np.add(z[: 3 * HIDDEN], 1, out=z[: 3 * HIDDEN])
+                np.multiply(c, f, out=c)
+                np.add(c, np.multiply(i, new, out=g), out=c)
+                np.multiply(c, np.float32(0.5), out=c)
+                np.multiply(o, np.tanh(c, out=g), out=h)
+                np.matmul(heads, h, out=e)
+                np.add(e, self.w["bias"][:, None] if d == "f" else out[t], out=out[t])
+        return out
+
+    def hopeful(self, s: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Windows (columns of scores, longest first) that can have another best path than all tags 0; the others need no Viterbi.
+
+        For each tag, the most that a run of tags other than 0 that ends in it can gain over zeros; steps from run to run
+        count with their greatest value.
+        """
+        steps = (np.where(self.ok > 0, self.w["steps"], -np.inf) - self.w["steps"][0, 0]).astype(np.float32)
+        enter, again, leave = steps[0, 1::2, None], steps[1:, 1::2].max(axis=0)[:, None], steps[1:, :1]
+        first = np.diagonal(steps[1::2, 2::2])[:, None]
+        more = np.diagonal(steps[2::2, 2::2])[:, None]
+        live = [*_live(s, sizes), 0]
+        run, top = np.empty((2 * self.kinds, len(sizes)), np.float32), np.full((2 * self.kinds, len(sizes)), -np.inf, np.float32)
+        for t in range(len(s)):
+            k, on = live[t], live[t + 1]
+            gain = s[t, 1:, :k] - s[t, :1, :k]
+            own = run[:, :k]
+            if t:
+                begun = np.maximum(own.max(axis=0) + again, enter)
+                np.maximum(own[::2] + first, own[1::2] + more, out=own[1::2])
+                own[::2] = begun
+                own += gain
+            else:
+                own[:] = gain + (self.w["start"][1:] - self.w["start"][0])[:, None]
+            np.maximum(top[:, :on], own[:, :on] + leave, out=top[:, :on])
+            if on < k:
+                np.maximum(top[:, on:k], own[:, on:], out=top[:, on:k])
+        return top.max(axis=0) > -1e-3
+
+    def _chains(self, s: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """exp of emissions and steps, and normed forward and backward sums."""
         e = np.exp(s - s.max(axis=2, keepdims=True))
         steps = np.exp(self.w["steps"]) * self.ok
-        alpha, beta = np.empty_like(e), np.empty_like(e)
+        alpha, beta, live = np.empty_like(e), np.ones_like(e), _live(s, sizes)
         a = np.exp(self.w["start"]) * e[0]
         alpha[0] = a / a.sum(1, keepdims=True)
         for t in range(1, len(e)):
             a = (alpha[t - 1] @ steps) * e[t]
             alpha[t] = a / a.sum(1, keepdims=True)
-        beta[-1] = 1
         for t in range(len(e) - 1, 0, -1):
-            b = (beta[t] * e[t]) @ steps.T
-            beta[t - 1] = b / b.sum(1, keepdims=True)
+            b = (beta[t, : live[t]] * e[t, : live[t]]) @ steps.T
+            beta[t - 1, : live[t]] = b / b.sum(1, keepdims=True)
         return e, steps, alpha, beta
 
-    def marginals(self, s: np.ndarray) -> np.ndarray:
-        _, _, alpha, beta = self._chains(s)
+    def marginals(self, s: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """time x batch x tags; sizes are the windows' lengths, longest first, where they differ."""
+        _, _, alpha, beta = self._chains(s, sizes)
         m = alpha * beta
         return m / m.sum(axis=2, keepdims=True)
 
-    def best(self, s: np.ndarray) -> np.ndarray:
-        """The best allowed tags (batch x time) by Viterbi."""
-        steps = np.where(self.ok > 0, self.w["steps"], -1e9).astype(np.float32)
-        score, came = self.w["start"] + s[0], []
+    def best(self, s: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """The best allowed tags (batch x time) by Viterbi; sizes as for marginals."""
+        steps = np.where(self.ok > 0, self.w["steps"], -1e9).astype(np.float32).T
+        live = _live(s, sizes)
+        score, came, rows = self.w["start"] + s[0], [], np.arange(s.shape[1])
         for t in range(1, len(s)):
-            through = score[:, :, None] + steps
-            came.append(through.argmax(1))
-            score = np.take_along_axis(through, came[-1][:, None], 1)[:, 0] + s[t]
-        tags = np.empty((s.shape[1], len(s)), np.int64)
-        tags[:, -1] = score.argmax(1)
-        for t in range(len(s) - 2, -1, -1):
-            tags[:, t] = np.take_along_axis(came[t], tags[:, t + 1][:, None], 1)[:, 0]
+            through = score[: live[t], None] + steps
+            came.append(through.argmax(2).astype(np.int8))
+            score[: live[t]] = through.max(2) + s[t, : live[t]]
+        tags = np.zeros((s.shape[1], len(s)), np.int64)
+        now = score.argmax(1)
+        for t in range(len(s) - 1, -1, -1):
+            if t < len(s) - 1:
+                k = live[t + 1]
+                now[:k] = came[t][rows[:k], now[:k]]
+            tags[: live[t], t] = now[: live[t]]
         return tags
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> dict[str, np.ndarray]:

@@ -62,6 +62,31 @@ def test_windows_cover_what_is_near_an_anchor():
         assert all(b - a >= pii.WINDOW // 2 for a, b in zip(starts, starts[1:]))
 
 
+def test_windows_cover_whole_texts():
+    for n in (0, 1, pii.REACH, pii.WINDOW - 1, pii.WINDOW, pii.WINDOW + 1, 5 * pii.WINDOW):
+        starts = pii.windows("x" * n)
+        assert {i for s in starts for i in range(s, min(n, s + pii.WINDOW))} == set(range(n))
+        assert all(a + pii.WINDOW - b >= pii.REACH for a, b in zip(starts, starts[1:]))
+
+
+def test_windows_of_any_lengths_are_tagged_as_each_alone():
+    own = tagger.Tagger(2, np.random.default_rng(5))
+    rng = np.random.default_rng(6)
+    own.w |= {"steps": rng.normal(0, 1, (5, 5)).astype(np.float32), "bias": np.array([1.2, 0, 0, 0, 0], np.float32)}
+    sizes = np.array(sorted(rng.integers(1, 60, 80), reverse=True))
+    rows = [rng.integers(0, tagger.CLASSES, n) for n in sizes]
+    s = own.scores(rows)
+    tags, sure = own.best(s.transpose(0, 2, 1), sizes), own.marginals(s.transpose(0, 2, 1), sizes)
+    hopeful = own.hopeful(s, sizes)
+    for k, row in enumerate(rows):
+        alone, _ = own.emissions(row[None])
+        assert np.abs(s[: len(row), :, k] - alone[:, 0]).max() < 1e-5
+        assert tags[k, : len(row)].tolist() == own.best(alone)[0].tolist() and not tags[k, len(row) :].any()
+        assert np.abs(sure[: len(row), k] - own.marginals(alone)[:, 0]).max() < 1e-4
+        assert hopeful[k] or not tags[k].any()
+    assert 0 < hopeful.sum() < len(rows)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     own = tagger.Tagger(2, rng)
@@ -155,6 +180,31 @@ def test_query(spark, corpus):
     assert hits >= 3
 
 
+class Knows(tagger.Tagger):
+    """Is sure of one email address and of nothing else."""
+
+    def scores(self, rows):
+        own = tagger.classes(ADDRESS, len(ADDRESS))
+        out = np.zeros((len(rows[0]), 9, len(rows)), np.float32)
+        out[:, 0] = 5
+        for k, row in enumerate(rows):
+            for i in range(len(row) - len(own) + 1):
+                if (row[i : i + len(own)] == own).all():
+                    out[i, 1, k] = out[i + 1 : i + len(own), 2, k] = 30
+        return out
+
+
+ADDRESS = "anna.smith at mail.example.com"
+
+
+def test_addresses_without_digit_or_sign_are_looked_for_anywhere():
+    prose = "the ing and of " * 400
+    texts = [prose[:n] + " " + ADDRESS + " " + prose[:m] for n in (0, 7, 900, 940, 1000, 1019, 3000, 5000) for m in (0, 3, 2000)] + [prose, ""]
+    for text, found in zip(texts, pii.found_in(texts, Knows(4), pii.KINDS)):
+        at = text.find(ADDRESS)
+        assert found == ([("email", at, at + len(ADDRESS), "tagger")] if at >= 0 else [])
+
+
 def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], "text string")
     assert pii.fit(empty) == pii.Model(None, ())
