@@ -160,6 +160,24 @@ def test_similar_texts_meet_whatever_their_fingerprints(spark):
     assert far > 10 and len(kept) == 60 and {i // 2 for i in kept} == set(range(60))
 
 
+def test_the_sample_of_frequent_shingles_changes_no_result(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    licence = [word() for _ in range(40)]
+    rows = []
+    for g in range(20):
+        base = [word() for _ in range(100)]
+        for k in range(3):
+            rows.append((len(rows), " ".join(licence + [word() if i in (20, 30 * k) and k else w for i, w in enumerate(base)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, frequent = [], []
+    for sample in (20_000, 1):
+        monkeypatch.setattr(dedup, "SAMPLE", sample)
+        frequent.append(len(dedup.frequent_shingles(docs, "text")))
+        kept.append({r["doc_id"] for r in dedup.keep_one(docs).collect()})
+    assert frequent[0] > frequent[1] and kept[0] == kept[1] and 20 <= len(kept[0]) < 60
+
+
 def test_odd_columns_and_repeated_rows(spark):
     rows = [(1, "a b c d e f g", 7, {"k": 1}, "x"), (1, "a b c d e f g", 5, {"k": 2}, "y"), (2, "A b c d e f g", 5, {"k": 2}, "y"), (3, None, 1, None, None), (None, None, 1, None, None), (None, "only one here", 1, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _d1 int, m map<string,int>, keeper string")
