@@ -21,6 +21,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordmill.llm.common import keep_free
+
 CHUNK_CHARS = 200_000
 #: White space after a character that isn't: every match ends before it, and what follows it doesn't look back.
 _SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
@@ -51,6 +53,19 @@ def encode_text(text: str | None, encoding: tiktoken.Encoding) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
+def _encoded(texts: pa.Array, encoding: tiktoken.Encoding) -> pa.ListArray:
+    ids = [encode_text(x, encoding) for x in texts.to_pylist()]
+    offsets = np.zeros(len(ids) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in ids], out=offsets[1:])
+    flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def _decoded(ids: pa.ListArray, encoding: tiktoken.Encoding) -> pa.Array:
+    flat, offsets, present = ids.values.to_numpy(), ids.offsets.to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
+    return pa.array([encoding.decode_bytes(flat[a:b].tolist()) if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], present, strict=True)], pa.binary())
+
+
 def encode(text: Column, rank_bytes: bytes, pattern: str) -> Column:
     """array<int> of token ids. rank_bytes: the contents of a rank file, a vocabulary of fixed size."""
 
@@ -58,11 +73,7 @@ def encode(text: Column, rank_bytes: bytes, pattern: str) -> Column:
     def token_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoding = _encoding(rank_bytes, pattern)
         for batch in batches:
-            ids = [encode_text(x, encoding) for x in batch.to_pylist()]
-            offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            yield _encoded(batch, encoding)
 
     return token_ids(text)
 
@@ -74,17 +85,32 @@ def decode(ids: Column, rank_bytes: bytes, pattern: str) -> Column:
     def raw_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoding = _encoding(rank_bytes, pattern)
         for batch in batches:
-            flat, offsets, present = batch.values.to_numpy(), batch.offsets.to_numpy(), batch.is_valid().to_numpy(zero_copy_only=False)
-            yield pa.array([encoding.decode_bytes(flat[a:b].tolist()) if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], present, strict=True)], pa.binary())
+            yield _decoded(batch, encoding)
 
     return raw_bytes(ids)
 
 
+def there_and_back(text: Column, rank_bytes: bytes, pattern: str) -> Column:
+    """struct<ids,decoded>: what encode gives, and what decode gives for these ids, by one Python worker a task. With a
+    node each, a task has two workers with a vocabulary each, which stay in an executor's memory as long as it has work."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoding = _encoding(rank_bytes, pattern)
+        for batch in batches:
+            ids = _encoded(batch, encoding)
+            yield pa.StructArray.from_arrays([ids, _decoded(ids, encoding)], ["ids", "decoded"])
+
+    return both(text)
+
+
 def tokenize(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
     """docs with ids_col and bytes_col (columns of these names are replaced)."""
     with open(rank_path, "rb") as file:
         rank_bytes = file.read()
-    return docs.withColumn(ids_col, encode(F.col(text_col), rank_bytes, pattern)).withColumn(bytes_col, decode(F.col(ids_col), rank_bytes, pattern))
+    both = keep_free([*docs.columns, ids_col, bytes_col], "_both")
+    done = docs.withColumn(both, there_and_back(F.col(text_col), rank_bytes, pattern))
+    return done.withColumns({ids_col: F.col(both)["ids"], bytes_col: F.col(both)["decoded"]}).drop(both)
 
 
 def digest_columns(done: DataFrame, *more: str) -> DataFrame:

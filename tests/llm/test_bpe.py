@@ -60,3 +60,10 @@ def test_repeated_rows_are_encoded_each(spark):
 
 def test_an_empty_table_gives_an_empty_result(spark):
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string"), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_a_task_has_one_python_worker(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    done = bpe.digest_columns(bpe.tokenize(docs, RANKS, public_tokenizers.PATTERN), "token_ids")
+    assert done._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r["doc_id"]: len(r["token_ids"]) for r in done.collect()} == {1: 2, 2: 0}
