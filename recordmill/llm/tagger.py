@@ -162,30 +162,37 @@ class Tagger:
     def hopeful(self, s: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Windows (columns of scores, longest first) that can have another best path than all tags 0; the others need no Viterbi.
 
-        For each tag, the most that a run of tags other than 0 that ends in it can gain over zeros; steps from run to run
-        count with their greatest value.
+        For B and for I, the most that a run of tags other than 0 that ends in one of them can gain over zeros; a character
+        counts with the best of all kinds, a step with the greatest value of its sort, steps from run to run included.
         """
         steps = (np.where(self.ok > 0, self.w["steps"], -np.inf) - self.w["steps"][0, 0]).astype(np.float32)
-        enter, again, leave = steps[0, 1::2, None], steps[1:, 1::2].max(axis=0)[:, None], steps[1:, :1]
-        first = np.diagonal(steps[1::2, 2::2])[:, None]
-        more = np.diagonal(steps[2::2, 2::2])[:, None]
-        live = [*_live(s, sizes), 0]
-        run, top = np.empty((2 * self.kinds, len(sizes)), np.float32), np.full((2 * self.kinds, len(sizes)), -np.inf, np.float32)
+        enter, again, leave = steps[0, 1::2].max(), steps[1:, 1::2].max(), steps[1:, 0].max()
+        first, more = np.diagonal(steps[1::2, 2::2]).max(), np.diagonal(steps[2::2, 2::2]).max()
+        begin = self.w["start"][1:] - self.w["start"][0]
+        live = [*_live(s, sizes).tolist(), 0]
+        b, i, most, going, spare, top = np.full((6, len(sizes)), -np.inf, np.float32)  # top: of runs to a window's end
+        k = 0
         for t in range(len(s)):
-            k, on = live[t], live[t + 1]
-            gain = s[t, 1:, :k] - s[t, :1, :k]
-            own = run[:, :k]
+            if t % 32 == 0:  # gains of some times at once, each with a step
+                part = s[t : t + 32, :, : live[t]]
+                gain_b, gain_i = part[:, 1::2].max(axis=1) - part[:, 0] + again, part[:, 2::2].max(axis=1) - part[:, 0] + more
+            if live[t] != k:
+                k = live[t]
+                own_b, own_i, own_most, own_going, own_spare = b[:k], i[:k], most[:k], going[:k], spare[:k]
+            up_b, up_i = gain_b[t % 32][:k], gain_i[t % 32][:k]
             if t:
-                begun = np.maximum(own.max(axis=0) + again, enter)
-                np.maximum(own[::2] + first, own[1::2] + more, out=own[1::2])
-                own[::2] = begun
-                own += gain
+                np.maximum(own_going, own_most, out=own_going)
+                np.maximum(own_i, np.add(own_b, first - more, out=own_spare), out=own_i)
+                np.add(own_i, up_i, out=own_i)
+                np.maximum(own_most, enter - again, out=own_b)
+                np.add(own_b, up_b, out=own_b)
             else:
-                own[:] = gain + (self.w["start"][1:] - self.w["start"][0])[:, None]
-            np.maximum(top[:, :on], own[:, :on] + leave, out=top[:, :on])
-            if on < k:
-                np.maximum(top[:, on:k], own[:, on:], out=top[:, on:k])
-        return top.max(axis=0) > -1e-3
+                np.add(up_b, begin[::2].max() - again, out=own_b)
+                np.add(up_i, begin[1::2].max() - more, out=own_i)
+            np.maximum(own_b, own_i, out=own_most)
+            if live[t + 1] < k:
+                top[live[t + 1] : k] = most[live[t + 1] : k]
+        return np.maximum(top, going + leave) > -2e-3
 
     def _chains(self, s: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """exp of emissions and steps, and normed forward and backward sums."""

@@ -87,6 +87,28 @@ def test_windows_of_any_lengths_are_tagged_as_each_alone():
     assert 0 < hopeful.sum() < len(rows)
 
 
+def test_the_bound_takes_all_kinds_together_and_rules_out_no_window_with_a_span():
+    rng = np.random.default_rng(7)
+    own = tagger.Tagger(3, rng)
+    kept = []
+    for quiet in (0.5, 2.0, 6.0):
+        own.w |= {"steps": rng.normal(0, 0.7, (7, 7)).astype(np.float32), "start": rng.normal(0, 1, 7).astype(np.float32)}
+        own.w["steps"][0, 1:] -= quiet / 2
+        sizes = np.array(sorted(rng.integers(1, 90, 120), reverse=True))
+        s = rng.normal(0, 1, (sizes[0], 7, len(sizes))).astype(np.float32)
+        s[:, 0] += quiet
+        tags, hopeful = own.best(s.transpose(0, 2, 1), sizes), own.hopeful(s, sizes)
+        assert (hopeful | ~tags.any(axis=1)).all()
+        kept.append(int(hopeful.sum()))
+    assert kept[0] > kept[2] and kept[2] < 120
+    # a run that changes its kind at each character gains by the joint bound only, which a bound by kinds doesn't let through
+    own.w |= {"steps": np.zeros((7, 7), np.float32), "start": np.zeros(7, np.float32)}
+    own.w["steps"][1:, 1::2] = -9
+    s = np.full((3, 7, 1), -5, np.float32)
+    s[:, 0], s[0, 1], s[1, 4] = 0, -1, 2
+    assert own.hopeful(s, np.array([3])).tolist() == [True] and not own.best(s.transpose(0, 2, 1), np.array([3])).any()
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     own = tagger.Tagger(2, rng)
